@@ -12,6 +12,31 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _remainder(n: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op1_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conformix.llm.html import extract
+
+    return extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
+
+
+def op3_string_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conformix.llm.langid import fit, identify
+
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+    return identify(docs, fit(docs.where("not held_out")), keep=["doc_id", "held_out"])
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conformix.llm.quality import fit, score
+
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(4) == 2, F.lit(False)))
+    labels = _read(spark, sf_dir, "labels").where(_remainder(4) != 2)
+    return score(docs, fit(docs.where("not held_out"), labels), keep=["doc_id", "held_out"])
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conformix.llm.packing import pack
 
@@ -32,6 +57,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_consensus_html": op1_consensus_html,
+    "op3_string_kernel_language_id": op3_string_kernel_language_id,
+    "op8_quality_classifier": op8_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_block_matrix_ann": op6_block_matrix_ann,
     "op10_mixing": op10_mixing,
