@@ -50,6 +50,12 @@ def op6_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(vectors.where("vec_id % 20 = 0"), vectors, k=20)
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conformix.llm.jaccard import join
+
+    return join(_read(spark, sf_dir, "documents"), width=3, percent=90)
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conformix.llm.mixing import mix
 
@@ -62,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_block_matrix_ann": op6_block_matrix_ann,
+    "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_mixing": op10_mixing,
 }
 
