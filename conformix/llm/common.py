@@ -120,14 +120,25 @@ def powers(n: int, base: int = 0x9E3779B97F4A7C15) -> np.ndarray:
 _INV = pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 
 
+_tables: dict[int, np.ndarray] = {}
+
+
+def table(n: int, base: int) -> np.ndarray:
+    """powers(n, base), kept and grown as longer texts come."""
+    have = _tables.get(base)
+    if have is None or len(have) < n:
+        have = _tables[base] = powers(max(n, 1 << 16), base)
+    return have[:n]
+
+
 class PrefixHash:
     """Hashes of substrings of one byte array in constant time each (polynomial, modulo 2**64, then mixed)."""
 
     def __init__(self, data: np.ndarray):
         n = len(data)
         self.sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum((data.astype(_U) + _U(1)) * powers(n), out=self.sums[1:])
-        self.inverse = powers(n + 1, _INV)
+        np.cumsum((data.astype(_U) + _U(1)) * table(n, 0x9E3779B97F4A7C15), out=self.sums[1:])
+        self.inverse = table(n + 1, _INV)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         h = (self.sums[end] - self.sums[start]) * self.inverse[start]

@@ -22,6 +22,12 @@ def op1_consensus_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_read(spark, sf_dir, "pages"), keep=["page_id", "url"])
 
 
+def op2_columnwise_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conformix.llm.suffix import dedup
+
+    return dedup(_read(spark, sf_dir, "documents"), keep=["doc_id"]).drop("kept")
+
+
 def op3_string_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conformix.llm.langid import fit, identify
 
@@ -64,6 +70,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consensus_html": op1_consensus_html,
+    "op2_columnwise_suffix_dedup": op2_columnwise_suffix_dedup,
     "op3_string_kernel_language_id": op3_string_kernel_language_id,
     "op8_quality_classifier": op8_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,

@@ -44,3 +44,21 @@ def jaccard_rows(docs, width, percent):
         links += [(a, b) for b, n in over.items() if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n)]
     comp = brute_components(ids, links)
     return {i: (len(sets[i]), comp[i]) for i in ids}
+
+
+def dedup_rows(docs, length):
+    """docs: list of (id, text); list of (id, n_bytes, n_removed, n_spans, sha256 of the kept bytes)."""
+    import hashlib
+    from collections import Counter
+
+    data = [(t or "").encode() for _, t in docs]
+    seen = Counter(hash(b[i : i + length]) for b in data for i in range(len(b) - length + 1))
+    out = []
+    for (i, _), b in zip(docs, data):
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if seen[hash(b[k : k + length])] > 1:
+                gone[k : k + length] = b"\x01" * length
+        runs = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
+        out.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
+    return out
