@@ -35,6 +35,13 @@ def op3_string_kernel_language_id(spark: SparkSession, sf_dir: str) -> DataFrame
     return identify(docs, fit(docs.where("not held_out")), keep=["doc_id", "held_out"])
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conformix.llm.katz import fit, score
+
+    docs = _read(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(_remainder(7) == 2, F.lit(False)))
+    return score(docs, fit(docs.where("not held_out")), keep=["doc_id", "held_out"])
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conformix.llm.quality import fit, score
 
@@ -72,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_consensus_html": op1_consensus_html,
     "op2_columnwise_suffix_dedup": op2_columnwise_suffix_dedup,
     "op3_string_kernel_language_id": op3_string_kernel_language_id,
+    "op7_katz_backoff": op7_katz_backoff,
     "op8_quality_classifier": op8_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_block_matrix_ann": op6_block_matrix_ann,

@@ -62,3 +62,43 @@ def dedup_rows(docs, length):
         runs = sum(1 for k in range(len(b)) if gone[k] and (k == 0 or not gone[k - 1]))
         out.append((i, len(b), sum(gone), runs, hashlib.sha256(bytes(x for x, g in zip(b, gone) if not g)).hexdigest()))
     return out
+
+
+def katz_rows(docs, held, min_count=2, top=5):
+    """docs: {id: text}, held: set of ids; {id: (n_tokens, n_known, base, score)} and a function P(word | history)."""
+    from collections import Counter, defaultdict
+    from math import log10
+
+    seqs = {i: [*lower_words(t), "</s>\n"] for i, t in docs.items()}
+    uni, bi = Counter(), Counter()
+    for i, s in seqs.items():
+        if i not in held:
+            uni.update(s)
+            bi.update(zip(["<s>\n", *s], s))
+    n, v = sum(uni.values()), len(uni)
+    hist = Counter()
+    for (h, _), c in bi.items():
+        hist[h] += c
+    of = Counter(bi.values())
+    a = (top + 1) * of[top + 1] / of[1] if of[1] else 1.0
+    d = {}
+    for r in range(1, top + 1):
+        x = (((r + 1) * of[r + 1] / of[r] if of[r] else 0.0) / r - a) / (1 - a) if a < 1 else 1.0
+        d[r] = x if 0 < x <= 1 else 1.0
+    low = lambda w: (uni[w] + 1) / (n + v + 1)
+    mass, below = defaultdict(float), defaultdict(float)
+    for (h, w), c in bi.items():
+        if c >= min_count:
+            mass[h] += d.get(c, 1.0) * c
+            below[h] += low(w)
+    all_ = {h: hist[h] + 1 if mass[h] > hist[h] - 1e-6 else hist[h] for h in mass}
+
+    def p(w, h):
+        if bi[h, w] >= min_count:
+            return d.get(bi[h, w], 1.0) * bi[h, w] / all_[h]
+        return low(w) * ((1 - mass[h] / all_[h]) / (1 - below[h]) if h in all_ else 1.0)
+
+    out = {}
+    for i, s in seqs.items():
+        out[i] = (len(s), sum(uni[w] > 0 for w in s), sum(log10(low(w)) for w in s), sum(log10(p(w, h)) for h, w in zip(["<s>\n", *s], s)))
+    return out, p, uni
