@@ -56,6 +56,12 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_read(spark, sf_dir, "documents"))
 
 
+def op5_nn_descent_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from conformix.llm.neardup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 def op6_block_matrix_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from conformix.llm.ann import search
 
@@ -82,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_katz_backoff": op7_katz_backoff,
     "op8_quality_classifier": op8_quality_classifier,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_nn_descent_near_dedup": op5_nn_descent_near_dedup,
     "op6_block_matrix_ann": op6_block_matrix_ann,
     "op9_ngram_jaccard_join": op9_ngram_jaccard_join,
     "op10_mixing": op10_mixing,
