@@ -268,12 +268,12 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
     """docs with each text as what dedup() leaves of it; a character cut in two by a span's edge goes with it."""
 
+    columns = docs.columns
+
     def decode(batches):
-        at = None
         for b in batches:
-            at = at if at is not None else b.schema.get_field_index("kept")
-            kept = [None if x is None else x.decode("utf-8", "ignore") for x in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == text else b.column(c) for c in docs.columns], docs.columns)
+            kept = [None if x is None else x.decode("utf-8", "ignore") for x in b.column("kept").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == text else b.column(c) for c in columns], columns)
 
     others = [c for c in docs.columns if c != text]
     return dedup(docs, text=text, length=length, keep=others).mapInArrow(decode, docs.schema)
