@@ -70,8 +70,12 @@ def line_intersection(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(t.isNotNull(), point(a["x"] + t * rx, a["y"] + t * ry))
 
 
+def measured(d: Column, pa: Column, pb: Column) -> Column:
+    return F.struct(d.alias("d"), F.lit(0).alias("k"), pa.alias("pa"), pb.alias("pb"))
+
+
 def segment_distance(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """struct<d, pa, pb>: 0 and a shared point if they meet, else the best of the four point-segment distances."""
+    """struct<d, k, pa, pb>: 0 and a shared point if they meet, else the best of the four point-segment distances (k: which)."""
     near = tol(a, b, c, d) * 10
     shared = F.coalesce(
         line_intersection(a, b, c, d),
@@ -87,8 +91,7 @@ def segment_distance(a: Column, b: Column, c: Column, d: Column) -> Column:
         return F.struct(dist(p, q).alias("d"), F.lit(k).alias("k"), (p if first else q).alias("pa"), (q if first else p).alias("pb"))
 
     best = F.least(one(0, a, c, d, True), one(1, b, c, d, True), one(2, c, a, b, False), one(3, d, a, b, False))
-    best = F.struct(best["d"].alias("d"), best["pa"].alias("pa"), best["pb"].alias("pb"))
-    return F.when(segments_intersect(a, b, c, d), F.struct(lit(0).alias("d"), shared.alias("pa"), shared.alias("pb"))).otherwise(best)
+    return F.when(segments_intersect(a, b, c, d), measured(lit(0), shared, shared)).otherwise(best)
 
 
 def polygon_edges(poly: Column) -> Column:
@@ -203,7 +206,7 @@ def toward(c: Column, p: Column, r: Column) -> Column:
 
 
 def circle_segment(c: Column, r: Column, a: Column, b: Column) -> Column:
-    """struct<d, pa, pb>: distance of a circle's rim and a segment, the point on the rim and the one on the segment."""
+    """struct<d, k, pa, pb>: distance of a circle's rim and a segment, the point on the rim and the one on the segment."""
     q = closest_on_segment(c, a, b)
     dmin, da, db = dist(c, q), dist(c, a), dist(c, b)
     far = F.when(da >= db, a).otherwise(b)
@@ -216,9 +219,7 @@ def circle_segment(c: Column, r: Column, a: Column, b: Column) -> Column:
     t = F.when((t0 >= 0) & (t0 <= 1), t0).when((t1 >= 0) & (t1 <= 1), t1)
     hit = F.coalesce(F.when(t.isNotNull(), point(a["x"] + t * dx, a["y"] + t * dy)), q)
 
-    def out(d, p, s):
-        return F.struct(d.alias("d"), p.alias("pa"), s.alias("pb"))
-
+    out = measured
     return F.when(dmin >= r, out(dmin - r, toward(c, q, r), q)).when(dmax <= r, out(r - dmax, toward(c, far, r), far)).otherwise(out(lit(0), hit, hit))
 
 
@@ -227,23 +228,20 @@ def circle_circle(a: Column, b: Column) -> Column:
     d = dist(ca, cb)
     gap = F.greatest(ra, rb) - d - F.least(ra, rb)
 
-    def out(v, p, q):
-        return F.struct(v.alias("d"), p.alias("pa"), q.alias("pb"))
-
+    out = measured
     inside = out(gap, F.when(ra >= rb, toward(ca, cb, ra)).otherwise(ca), F.when(rb > ra, toward(cb, ca, rb)).otherwise(cb))
     mid = toward(ca, cb, ra)
     return F.when(d >= ra + rb, out(d - ra - rb, toward(ca, cb, ra), toward(cb, ca, rb))).when(d + F.least(ra, rb) <= F.greatest(ra, rb), inside).otherwise(out(lit(0), mid, mid))
 
 
-def contained_vertex(a: Column, b: Column) -> Column:
-    """The first vertex that a closed shape holds of the other (a around b is tried first); no polygon is built for boxes apart."""
+def contained_vertex(a: Column, b: Column, va: Column, vb: Column) -> Column:
+    """The first vertex that a closed shape holds of the other (a around b is tried first); va and vb are their vertices."""
 
-    def held(outer, inner):
-        poly = vertices(outer)
-        inside = F.filter(vertices(inner), lambda v: (v["x"] >= outer["minx"]) & (v["x"] <= outer["maxx"]) & (v["y"] >= outer["miny"]) & (v["y"] <= outer["maxy"]) & point_in_polygon(v, poly))
-        return F.when(is_closed(outer) & bbox_overlaps(outer, inner), F.try_element_at(inside, F.lit(1)))
+    def held(outer, poly, verts):
+        inside = F.filter(verts, lambda v: (v["x"] >= outer["minx"]) & (v["x"] <= outer["maxx"]) & (v["y"] >= outer["miny"]) & (v["y"] <= outer["maxy"]) & point_in_polygon(v, poly))
+        return F.when(is_closed(outer), F.get(inside, F.lit(0)))
 
-    return F.coalesce(held(a, b), held(b, a))
+    return F.coalesce(held(a, va, vb), held(b, vb, va))
 
 
 def segment_inside_polygon(a: Column, b: Column, poly: Column) -> Column:
@@ -266,12 +264,11 @@ def segment_inside_polygon(a: Column, b: Column, poly: Column) -> Column:
     return F.when(l2.isNull(), point_in_polygon(a, poly)).otherwise(ok)
 
 
-def zone_relation(s: Column, z: Column) -> Column:
-    """'inside', 'partial' or 'outside' of a closed zone; boxes apart are outside without building a polygon."""
-    poly, verts, segs = vertices(z), vertices(s), segments(s)
+def zone_relation(s: Column, z: Column, verts: Column, poly: Column, segs: Column, rim: Column) -> Column:
+    """'inside', 'partial' or 'outside' of a closed zone; verts and segs are s's, poly and rim the zone's."""
     all_in = F.forall(verts, lambda v: point_in_polygon(v, poly)) & F.forall(segs, lambda g: segment_inside_polygon(g["a"], g["b"], poly))
     any_in = F.exists(verts, lambda v: point_in_polygon(v, poly))
-    touch = F.exists(segs, lambda g: F.exists(segments(z), lambda h: segments_intersect(g["a"], g["b"], h["a"], h["b"])))
+    touch = F.exists(segs, lambda g: F.exists(rim, lambda h: segments_intersect(g["a"], g["b"], h["a"], h["b"])))
     around = is_closed(s) & point_in_polygon(F.element_at(poly, 1), verts)
     return F.when(~is_closed(z) | (bbox_distance(s, z) > 0), "outside").when(all_in, "inside").when(any_in | touch | around, "partial").otherwise("outside")
 

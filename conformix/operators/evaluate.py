@@ -161,7 +161,7 @@ class Evaluator:
         subjects = self.side(rule["subject"], "s")
         zones = self.side(rule["zone"], "t").where(G.is_closed(F.col("t")))
         pairs = spatial.candidates(subjects.drop("unit_to_mm"), zones.drop("unit_to_mm"), 2000.0).where("s.seq <> t.seq")
-        rel = pairs.withColumn("rel", G.zone_relation(F.col("s"), F.col("t"))).where("rel <> 'outside'")
+        rel = spatial.zone_relations(pairs).where("rel <> 'outside'")
         per = rel.groupBy("drawing_key", F.col("s.seq").alias("seq")).agg(F.array_sort(F.collect_list(F.struct("t.seq", "t.handle"))).alias("ts"), F.max((F.col("rel") == "inside").cast("int")).alias("inside"))
         have = zones.select("drawing_key").distinct().withColumn("zoned", F.lit(True))
         out = subjects.withColumn("seq", F.col("s.seq")).join(per, ["drawing_key", "seq"], "left").join(have, "drawing_key", "left")
@@ -205,9 +205,8 @@ class Evaluator:
             out = pairs.withColumns({"v": F.when(d <= EPS, 1.0).otherwise(0.0), "_u": F.lit(False), "_skip": F.lit(False)})
         else:  # overlap
             t = F.greatest(F.lit(EPS), self.to_drawing(0.01, rule))
-            shared = F.aggregate(F.flatten(F.transform(G.segments(F.col("s")), lambda g: F.transform(G.segments(F.col("t")), lambda h: G.collinear_overlap(g["a"], g["b"], h["a"], h["b"], t)))), F.lit(0.0), lambda acc, x: acc + x)
-            out = pairs.withColumn("_o", shared).where((F.col("_o") > 0) | F.col("contained")).withColumns({"v": self.to_rule(F.col("_o"), rule), "_u": F.lit(False), "_skip": F.lit(False)})
-        return out.withColumn("status", F.when(F.col("_u"), "UNKNOWN").otherwise(classify(F.col("v"), rule))).drop("_u", "_o")
+            out = spatial.overlap_lengths(pairs, t).where((F.col("overlap") > 0) | F.col("contained")).withColumns({"v": self.to_rule(F.col("overlap"), rule), "_u": F.lit(False), "_skip": F.lit(False)}).drop("overlap")
+        return out.withColumn("status", F.when(F.col("_u"), "UNKNOWN").otherwise(classify(F.col("v"), rule))).drop("_u")
 
     def pairs(self, rule: dict) -> DataFrame:
         subjects, targets = self.side(rule["subject"], "s"), self.side(rule["target"], "t")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from conformix.functions import geometry as G
+from conformix.functions import kernels
 
 #: An entity that covers more cells than this is joined by its drawing instead.
 MANY_CELLS = 4096
@@ -65,52 +66,31 @@ def brute_candidates(left: DataFrame, right: DataFrame, radius: float = 0.0) ->
     return left.join(right, "drawing_key").where(G.bbox_overlaps(F.col("s"), F.col("t"), F.lit(float(radius)))).select("drawing_key", "s", "t")
 
 
-def _measured(dist: Column) -> Column:
-    return F.struct(dist["d"].alias("d"), dist["pa"].alias("pa"), dist["pb"].alias("pb"))
+def _shape(e: Column) -> Column:
+    return F.struct(*[e[n].alias(n) for n in ("kind", "points", "closed", "cx", "cy", "radius", "minx", "miny", "maxx", "maxy")])
 
 
 def distances(pairs: DataFrame, cutoff: Column) -> DataFrame:
     """pairs with distance, pa, pb (closest points) and contained; pairs beyond the cutoff are dropped.
 
-    Circles are exact. Two single segments, or a circle and one, need no explosion; other shapes compare their segments
-    pairwise in array functions, whose first smallest entry wins. A closed shape that holds a vertex of the other has distance 0.
+    The exact measurement is one Arrow kernel over whole batches: as Column expressions the branches for circles, segments
+    and many-sided shapes plan for longer than they run. Boxes beyond the cutoff never reach it.
     """
     s, t = F.col("s"), F.col("t")
-    pairs = pairs.where(G.bbox_distance(s, t) <= cutoff)
-    both, one = (s["kind"] == "circle") & (t["kind"] == "circle"), (s["kind"] == "circle") | (t["kind"] == "circle")
-    flip = s["kind"] != "circle"
-
-    def segs(e):
-        return F.when(e["kind"] == "polyline", G.segments_of(e["points"], F.coalesce(e["closed"], F.lit(False)))).when(e["kind"] == "text", G.segments_of(F.array(G.point(e["cx"], e["cy"])), F.lit(False)))
-
-    pairs = pairs.withColumns({"_ss": segs(s), "_ts": segs(t)})
-    circle = F.when(flip, F.struct(t["cx"].alias("x"), t["cy"].alias("y"))).otherwise(F.struct(s["cx"].alias("x"), s["cy"].alias("y")))
-    pairs = pairs.withColumns({"_c": circle, "_cr": F.when(flip, t["radius"]).otherwise(s["radius"]), "_os": F.when(flip, F.col("_ss")).otherwise(F.col("_ts"))})
-    single = F.when(one, F.size("_os") == 1).otherwise((F.size("_ss") == 1) & (F.size("_ts") == 1))
-    ends = {"_a": F.get("_ss", F.lit(0))["a"], "_b": F.get("_ss", F.lit(0))["b"], "_p": F.get("_ts", F.lit(0))["a"], "_q": F.get("_ts", F.lit(0))["b"], "_oa": F.get("_os", F.lit(0))["a"], "_ob": F.get("_os", F.lit(0))["b"]}
-    pairs = pairs.withColumns(ends)
-
-    def swapped(d):
-        return F.when(flip, F.struct(d["d"].alias("d"), d["pb"].alias("pa"), d["pa"].alias("pb"))).otherwise(_measured(d))
-
-    def best(arr):
-        return F.aggregate(arr, F.element_at(arr, 1), lambda m, x: F.when(x["d"] < m["d"], x).otherwise(m))
-
-    many_c = best(F.transform("_os", lambda g: _measured(G.circle_segment(F.col("_c"), F.col("_cr"), g["a"], g["b"]))))
-    many = best(F.flatten(F.transform("_ss", lambda g: F.transform("_ts", lambda h: _measured(G.segment_distance(g["a"], g["b"], h["a"], h["b"]))))))
-    dist = (
-        F.when(both, _measured(G.circle_circle(s, t)))
-        .when(one & single, swapped(G.circle_segment(F.col("_c"), F.col("_cr"), F.col("_oa"), F.col("_ob"))))
-        .when(one, swapped(many_c))
-        .when(single, _measured(G.segment_distance(F.col("_a"), F.col("_b"), F.col("_p"), F.col("_q"))))
-        .otherwise(many)
-    )
-    out = pairs.withColumn("_m", dist)
-    inside = F.when((F.col("_m")["d"] > 0) & (G.is_closed(s) | G.is_closed(t)) & G.bbox_overlaps(s, t), G.contained_vertex(s, t))
-    out = out.withColumn("_v", inside)
-    held = F.col("_v").isNotNull()
-    out = out.withColumns({"distance": F.when(held, F.lit(0.0)).otherwise(F.col("_m")["d"]), "pa": F.coalesce("_v", F.col("_m")["pa"]), "pb": F.coalesce("_v", F.col("_m")["pb"]), "contained": held})
-    return out.where(F.col("distance") <= cutoff).drop("_ss", "_ts", "_c", "_cr", "_os", *ends, "_m", "_v")
+    near = pairs.where(G.bbox_distance(s, t) <= cutoff)
+    out = near.withColumn("_m", kernels.distance_udf()(_shape(s), _shape(t)))
+    p, q = G.point(F.col("_m.pax"), F.col("_m.pay")), G.point(F.col("_m.pbx"), F.col("_m.pby"))
+    return out.where(F.col("_m.d") <= cutoff).withColumns({"distance": F.col("_m.d"), "pa": p, "pb": q, "contained": F.col("_m.contained")}).drop("_m")
+
+
+def overlap_lengths(pairs: DataFrame, tol: Column) -> DataFrame:
+    """pairs with overlap: the summed length of collinear overlaps of their boundaries."""
+    return pairs.withColumn("overlap", kernels.overlap_udf()(_shape(F.col("s")), _shape(F.col("t")), tol))
+
+
+def zone_relations(pairs: DataFrame) -> DataFrame:
+    """pairs of an entity s and a closed zone t with rel: inside, partial or outside."""
+    return pairs.withColumn("rel", kernels.zone_udf()(_shape(F.col("s")), _shape(F.col("t"))))
 
 
 def within(left: DataFrame, right: DataFrame, cell, radius, cutoff: Column | None = None) -> DataFrame:
