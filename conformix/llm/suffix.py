@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conformix.llm.common import PrefixHash, checked_join, chunks, discard, materialise, tasks
+from conformix.llm.common import PrefixHash, chunks, discard, materialise, tasks
 
 _U = np.uint64
 #: Length of the repeated strings, and of the grams among which their anchors are chosen.
@@ -192,8 +192,8 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
 
     marks = materialise(rows.mapInArrow(find, "h long, _row long, pos int"), "anchors")
     often = materialise(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated")
-    n_often = often.count()
-    places = checked_join(marks, often, "h", "inner", 16, n_often).groupBy("_row").agg(F.collect_set("pos").alias("at"))
+    # sides that grow with the texts are never broadcast, at any size
+    places = marks.join(often.hint("merge"), "h").groupBy("_row").agg(F.collect_set("pos").alias("at"))
     places = materialise(places, "places")
     discard(marks)
 
@@ -210,7 +210,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
                         out.append((_digest(anchor, ctx), anchor, row, p, ctx))
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))], ["id", "key", "_row", "pos", "ctx"])
 
-    held = checked_join(rows, places, "_row", "inner", 120).select("_row", "t", "at")
+    held = rows.join(places.hint("merge"), "_row").select("_row", "t", "at")
     seen = materialise(held.mapInArrow(cut, "id binary, key binary, _row long, pos int, ctx binary"), "contexts")
     one = seen.groupBy("id").agg(F.first("key").alias("key"), F.count("*").alias("m"), F.first("ctx").alias("ctx"))
     one = materialise(one.select("id", "key", "m", F.lit(-reach).alias("o1"), F.lit(reach).alias("width"), "ctx"), "entries")
@@ -237,7 +237,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     spans = repeated_spans(docs, key, text, length, gram, group)
     wide = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_row"), F.col(text).cast("binary").alias("_t"), *keep)
-    wide = checked_join(wide, spans, "_row", "left", 150).select("_t", "spans", *keep)
+    wide = wide.join(spans.hint("merge"), "_row", "left").select("_t", "spans", *keep)
     schema = T.StructType([wide.schema[c] for c in keep] + [T.StructField(n, t) for n, t in zip(new, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType()))])
 
     def run(batches):
