@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conformix.llm.common import checked_join, chunks, components, discard, materialise, mix, tasks, words_of
+from conformix.llm.common import chunks, components, discard, materialise, mix, tasks, words_of
 
 _U = np.uint64
 #: Sets of one side of a tile of the matrix product.
@@ -209,7 +209,8 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
     signs = materialise(raw.mapInArrow(signed, "sig long, node long"), "signatures")
     # a signature's smallest and largest class come from a map-side combined aggregate; those of one class are gone
     lows = materialise(signs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig", "low"), "lows")
-    star = materialise(checked_join(signs, lows, "sig", "inner", 40).where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "star")
+    # sides that grow with the texts are never broadcast, at any size
+    star = materialise(signs.join(lows.hint("merge"), "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "star")
     discard(signs, lows)
     groups = materialise(components(star), "groups").withColumnRenamed("component", "grp")
 
@@ -232,7 +233,7 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
             got = [g for g in shingle_sets(texts, width) if len(g)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], ["node", "grams"])
 
-    held = checked_join(raw, spread.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi", 16)
+    held = raw.join(spread.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
     bags = materialise(held.mapInArrow(grams, "node long, grams binary"), "grams").dropDuplicates(["node"])
     placed = spread.join(bags.hint("merge"), "node").join(ends.hint("merge"), ["grp", "blk"]).select("grp", "tile1", "tile2", "blk", "node", "grams")
 
@@ -265,4 +266,4 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
     """Rows of docs but those whose key is not the smallest of its component; documents without words all stay."""
     gone = materialise(join(docs, width, percent, key).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
-    return checked_join(docs, gone, key, "left_anti", 16)
+    return docs.join(gone.hint("merge"), key, "left_anti")
