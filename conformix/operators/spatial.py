@@ -20,20 +20,15 @@ def auto_cell(entities: DataFrame) -> DataFrame:
     return agg.select("drawing_key", F.when(cell > 0, cell).otherwise(1.0).alias("cell"))
 
 
-def _cells(e: str, by: Column, cell: Column) -> list[Column]:
-    c = F.col(e)
-    return [F.floor((c["minx"] - by) / cell), F.floor((c["maxx"] + by) / cell), F.floor((c["miny"] - by) / cell), F.floor((c["maxy"] + by) / cell)]
+def _spread(df: DataFrame, p: str, by: Column, cell: Column) -> DataFrame:
+    low = lambda n: F.floor((F.col(p + n) - by) / cell)
+    high = lambda n: F.floor((F.col(p + n) + by) / cell)
+    df = df.withColumns({f"{p}x0": low("minx"), f"{p}x1": high("maxx"), f"{p}y0": low("miny"), f"{p}y1": high("maxy")})
+    return df.withColumn("_few", (F.col(f"{p}x1") - F.col(f"{p}x0") + 1) * (F.col(f"{p}y1") - F.col(f"{p}y0") + 1) <= MANY_CELLS)
 
 
-def _spread(df: DataFrame, e: str, by: Column, cell: Column) -> DataFrame:
-    x0, x1, y0, y1 = _cells(e, by, cell)
-    df = df.withColumns({"_x0": x0, "_x1": x1, "_y0": y0, "_y1": y1})
-    few = (F.col("_x1") - F.col("_x0") + 1) * (F.col("_y1") - F.col("_y0") + 1) <= MANY_CELLS
-    return df.withColumn("_few", few)
-
-
-def _explode(df: DataFrame) -> DataFrame:
-    return df.where("_few").withColumn("gx", F.explode(F.sequence("_x0", "_x1"))).withColumn("gy", F.explode(F.sequence("_y0", "_y1")))
+def _explode(df: DataFrame, p: str) -> DataFrame:
+    return df.where("_few").withColumn("gx", F.explode(F.sequence(f"{p}x0", f"{p}x1"))).withColumn("gy", F.explode(F.sequence(f"{p}y0", f"{p}y1")))
 
 
 def candidates(left: DataFrame, right: DataFrame, cell: float | Column, radius: float | Column = 0.0) -> DataFrame:
@@ -45,20 +40,21 @@ def candidates(left: DataFrame, right: DataFrame, cell: float | Column, radius:
     Boxes over more than MANY_CELLS cells are joined with all of their drawing.
     """
     cell, radius = (x if isinstance(x, Column) else F.lit(float(x)) for x in (cell, radius))
-    zero = F.lit(0.0)
-    a = _spread(left, "s", radius, cell).withColumns({"_r": radius})
-    b = _spread(right, "t", zero, cell)
     keep = [c for c in left.columns if c not in ("s", "drawing_key")]
-    right_only = b.select("drawing_key", "t", "_few", *[F.col(c).alias(f"_b{c}") for c in ("_x0", "_x1", "_y0", "_y1")])
-    near = G.bbox_overlaps(F.col("s"), F.col("t"), F.col("_r"))
-    lo = a.select("drawing_key", "s", "_r", "_x0", "_x1", "_y0", "_y1", "_few", *keep)
-    tb = right_only.where("_few").withColumn("gx", F.explode(F.sequence("_b_x0", "_b_x1"))).withColumn("gy", F.explode(F.sequence("_b_y0", "_b_y1")))
-    once = (F.col("gx") == F.greatest("_x0", "_b_x0")) & (F.col("gy") == F.greatest("_y0", "_b_y0"))
-    main = _explode(lo).join(tb.drop("_few").hint("shuffle_hash"), ["drawing_key", "gx", "gy"]).where(once & near)
-    out = main.select("drawing_key", "s", "t", *keep)
-    wide_s = lo.where("not _few").join(right_only.drop("_few").hint("merge"), "drawing_key").where(near).select("drawing_key", "s", "t", *keep)
-    wide_t = lo.where("_few").join(right_only.where("not _few").drop("_few").hint("merge"), "drawing_key").where(near).select("drawing_key", "s", "t", *keep)
-    return out.unionByName(wide_s).unionByName(wide_t)
+    sides = ("minx", "miny", "maxx", "maxy")
+    # boxes as flat columns: what the join compares does not reach into the entities
+    a = left.withColumns({f"_a{n}": F.col("s")[n] for n in sides} | {"_r": radius})
+    b = right.withColumns({f"_b{n}": F.col("t")[n] for n in sides})
+    a = _spread(a, "_a", F.col("_r"), cell).select("drawing_key", "s", "_few", "_r", *[f"_a{n}" for n in (*sides, "x0", "x1", "y0", "y1")], *keep)
+    b = _spread(b, "_b", F.lit(0.0), cell).select("drawing_key", "t", "_few", *[f"_b{n}" for n in (*sides, "x0", "x1", "y0", "y1")])
+    c = F.col
+    near = (c("_aminx") - c("_r") <= c("_bmaxx")) & (c("_bminx") <= c("_amaxx") + c("_r")) & (c("_aminy") - c("_r") <= c("_bmaxy")) & (c("_bminy") <= c("_amaxy") + c("_r"))
+    once = (c("gx") == F.greatest("_ax0", "_bx0")) & (c("gy") == F.greatest("_ay0", "_by0"))
+    out = _explode(a, "_a").join(_explode(b, "_b").drop("_few").hint("shuffle_hash"), ["drawing_key", "gx", "gy"]).where(once & near)
+    wide_s = a.where("not _few").join(b.drop("_few").hint("merge"), "drawing_key").where(near)
+    wide_t = a.where("_few").join(b.where("not _few").drop("_few").hint("merge"), "drawing_key").where(near)
+    pick = lambda df: df.select("drawing_key", "s", "t", *keep)
+    return pick(out).unionByName(pick(wide_s)).unionByName(pick(wide_t))
 
 
 def brute_candidates(left: DataFrame, right: DataFrame, radius: float = 0.0) -> DataFrame:

@@ -1 +1,301 @@
+"""Queries over drawings: normalisation, predicates, joins, aggregates, routes and reports (S, N, P, J, A, M, O, W, G)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from conformix.functions import geometry as G
+from conformix.functions import predicates as P
+from conformix.operators import evaluate as E
+from conformix.operators import spatial
+from conformix.operators.graph import components
+from conformix.plans import normalize as N
+from conformix.plans import oracle_parts as O
+from conformix.sources import derived as D
+
 QUERIES, ORACLES = {}, {}
+
+
+def query(name, sql=None):
+    def keep(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.stored_entities(spark, sf_dir)
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.classify_systems(entities(spark, sf_dir), D.SYSTEMS)
+
+
+def side(df: DataFrame, name: str) -> DataFrame:
+    return df.select("drawing_key", F.struct(*[c for c in df.columns if c != "drawing_key"]).alias(name))
+
+
+ENT = O.entities()
+
+
+@query("s01_entities", f"WITH {ENT} SELECT drawing_key, seq, eid, handle, layer, entity_type, kind, closed, round(cx,6) cx, round(cy,6) cy, radius, txt AS text, z_known, z::double z_min FROM ent")
+def s01(spark, sf_dir):
+    return entities(spark, sf_dir).select("drawing_key", "seq", "eid", "handle", "layer", "entity_type", "kind", "closed", "cx", "cy", "radius", "text", "z_known", "z_min")
+
+
+@query("s03_drawing_catalog", f"WITH {ENT}, l AS (SELECT drawing_key, layer, entity_type, count(*) n FROM ent GROUP BY 1,2,3) SELECT drawing_key, layer, sum(n)::bigint entities, string_agg(entity_type||':'||n, ',' ORDER BY entity_type) types FROM l GROUP BY 1,2")
+def s03(spark, sf_dir):
+    per = entities(spark, sf_dir).groupBy("drawing_key", "layer", "entity_type").agg(F.count("*").alias("n"))
+    kinds = F.array_sort(F.collect_list(F.struct("entity_type", F.concat_ws(":", "entity_type", "n").alias("t"))))
+    return per.groupBy("drawing_key", "layer").agg(F.sum("n").alias("entities"), F.array_join(F.transform(kinds, lambda x: x["t"]), ",").alias("types"))
+
+
+@query("n12_bounding_boxes", f"WITH {ENT} SELECT seq, round(minx,6) minx, round(miny,6) miny, round(maxx,6) maxx, round(maxy,6) maxy FROM ent")
+def n12(spark, sf_dir):
+    return entities(spark, sf_dir).select("seq", *[F.round(c, 6).alias(c) for c in ("minx", "miny", "maxx", "maxy")])
+
+
+@query("n13_distinct_layers", f"WITH {ENT} SELECT drawing_key, string_agg(DISTINCT layer, ',' ORDER BY layer) layers FROM ent GROUP BY 1")
+def n13(spark, sf_dir):
+    return entities(spark, sf_dir).groupBy("drawing_key").agg(F.array_join(F.sort_array(F.collect_set("layer")), ",").alias("layers"))
+
+
+def _predicate(name, node, where):
+    @query(name, f"WITH {ENT} SELECT seq FROM ent WHERE {where}")
+    def run(spark, sf_dir):
+        return classified(spark, sf_dir).where(P.selects(node)).select("seq")
+
+
+_predicate("p01_layer_regex", {"layer_regex": "^s.*e$"}, "regexp_matches(lower(layer), '^s.*e$') AND kind<>'text'")
+_predicate("p02_layer_equals", {"layer_equals": "nogo"}, "layer='NOGO'")
+_predicate("p03_layer_contains", {"layer_contains": "cable"}, "layer LIKE '%CABLE%'")
+_predicate("p04_entity_type", {"entity_type": ["line", "text"]}, "entity_type IN ('LINE','TEXT')")
+_predicate("p05_system", {"system": ["power", "support"]}, "system IN ('POWER','SUPPORT')")
+_predicate("p06_text_regex", {"text_regex": "[02468]$"}, "kind='text' AND regexp_matches(txt,'[02468]$')")
+_predicate("p07_and_or_not", {"or": [{"system": "SCADA", "entity_type": "LINE"}, {"not": {"layer_contains": "A"}}]}, "kind<>'text' AND ((system='SCADA' AND entity_type='LINE') OR layer NOT LIKE '%A%')")
+
+
+@query("j01_system_classification", f"WITH {ENT} SELECT layer, system, count(*) n FROM ent GROUP BY 1,2")
+def j01(spark, sf_dir):
+    return classified(spark, sf_dir).groupBy("layer", "system").agg(F.count("*").alias("n"))
+
+
+@query(
+    "j02_grid_bbox_join",
+    f"WITH {ENT} SELECT s.seq a, t.seq b FROM ent s JOIN ent t ON s.drawing_key=t.drawing_key AND s.layer='SCADA-CABLE' AND t.layer IN ('WATER','TRENCH','NOTE') AND s.minx-250<=t.maxx AND t.minx<=s.maxx+250 AND s.miny-250<=t.maxy AND t.miny<=s.maxy+250",
+)
+def j02(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    a, b = side(e.where("layer = 'SCADA-CABLE'"), "s"), side(e.where("layer IN ('WATER', 'TRENCH', 'NOTE')"), "t")
+    cells = spatial.auto_cell(e)
+    a, b = (x.join(cells, "drawing_key") for x in (a, b))
+    return spatial.candidates(a, b, F.col("cell"), 250.0).select(F.col("s.seq").alias("a"), F.col("t.seq").alias("b"))
+
+
+@query("j04_distance_within", f"WITH {ENT}, p AS (SELECT s.seq a, t.seq b, {O.line_circle()} d FROM ent s JOIN ent t ON s.drawing_key=t.drawing_key AND s.layer='WATER' AND t.layer='SUPPORT' AND s.minx-400<=t.maxx AND t.minx<=s.maxx+400 AND s.miny-400<=t.maxy AND t.miny<=s.maxy+400) SELECT a, b, round(d,3) distance FROM p WHERE d<=400+1e-6")
+def j04(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    pairs = spatial.within(side(e.where("layer = 'WATER'"), "s"), side(e.where("layer = 'SUPPORT'"), "t"), 2000.0, 400.0)
+    return pairs.select(F.col("s.seq").alias("a"), F.col("t.seq").alias("b"), F.round("distance", 3).alias("distance"))
+
+
+@query(
+    "j05_pair_filter",
+    f"WITH {ENT} SELECT s.layer a, t.layer b, count(*) n FROM ent s JOIN ent t ON s.drawing_key=t.drawing_key AND s.seq<>t.seq AND s.kind='polyline' AND t.kind='polyline' AND s.minx<=t.maxx AND t.minx<=s.maxx AND s.miny<=t.maxy AND t.miny<=s.maxy WHERE s.system IS NOT NULL AND t.system IS NOT NULL AND s.system<>t.system AND s.layer<>t.layer GROUP BY 1,2",
+)
+def j05(spark, sf_dir):
+    e = classified(spark, sf_dir).where("kind = 'polyline'")
+    pairs = spatial.candidates(side(e, "s"), side(e, "t"), 2000.0).where("s.seq <> t.seq")
+    return pairs.where(P.pair({"different_system": True, "different_layer": True}, F.col("s"), F.col("t"))).groupBy(F.col("s.layer").alias("a"), F.col("t.layer").alias("b")).agg(F.count("*").alias("n"))
+
+
+@query("j16_entities_by_handle", f"WITH {ENT} SELECT seq, handle FROM ent WHERE handle IN ('10','91','FF1','NONE')")
+def j16(spark, sf_dir):
+    wanted = spark.createDataFrame([(h,) for h in ("10", "91", "FF1", "NONE", "10")], "handle string").distinct()
+    return entities(spark, sf_dir).join(F.broadcast(wanted), "handle", "left_semi").select("seq", "handle")
+
+
+@query("a06_a08_extent", f"WITH {ENT} SELECT drawing_key, min(minx) minx, min(miny) miny, max(maxx) maxx, max(maxy) maxy FROM ent GROUP BY 1")
+def a08(spark, sf_dir):
+    return entities(spark, sf_dir).groupBy("drawing_key").agg(F.min("minx").alias("minx"), F.min("miny").alias("miny"), F.max("maxx").alias("maxx"), F.max("maxy").alias("maxy"))
+
+
+@query(
+    "a09_auto_cell_size",
+    f"WITH {ENT}, a AS (SELECT drawing_key, median(greatest(maxx-minx,maxy-miny)) m, greatest(max(maxx)-min(minx),max(maxy)-min(miny)) e FROM ent GROUP BY 1) SELECT drawing_key, round(greatest(CASE WHEN m>0 THEN 2*m ELSE e/64 END, e/1000),3) cell FROM a",
+)
+def a09(spark, sf_dir):
+    return spatial.auto_cell(entities(spark, sf_dir)).withColumn("cell", F.round("cell", 3))
+
+
+@query("a14_lengths", f"WITH {ENT} SELECT layer, count(*) n, round(sum(CASE WHEN kind='circle' THEN 2*pi()*radius WHEN kind='text' THEN 0 WHEN closed THEN 2*(bx-ax+ye-ay) ELSE sqrt(pow(bx-ax,2)+pow(ye-ay,2)) END),2) length FROM ent GROUP BY 1")
+def a14(spark, sf_dir):
+    e = side(entities(spark, sf_dir), "s")
+    return e.groupBy(F.col("s.layer").alias("layer")).agg(F.count("*").alias("n"), F.round(F.sum(G.length(F.col("s"))), 2).alias("length"))
+
+
+@query("m01_orientation", f"WITH {ENT} SELECT seq, ((bx-ax)*(miny-100-ay)-(ye-ay)*(minx-100-ax))::double o FROM ent WHERE kind='polyline' AND NOT closed")
+def m01(spark, sf_dir):
+    e = entities(spark, sf_dir).where("kind = 'polyline' AND NOT closed")
+    p, q = F.element_at("points", 1), F.element_at("points", 2)
+    return e.select("seq", G.orient(p, q, G.point(F.col("minx") - 100, F.col("miny") - 100)).alias("o"))
+
+
+@query("m03_point_segment_distance", f"WITH {ENT} SELECT seq, round({O.point_segment('minx+300', 'miny+77', 'ax', 'ay', 'bx', 'ye')},4) d FROM ent WHERE kind='polyline' AND NOT closed")
+def m03(spark, sf_dir):
+    e = entities(spark, sf_dir).where("kind = 'polyline' AND NOT closed")
+    return e.select("seq", F.round(G.point_segment_distance(G.point(F.col("minx") + 300, F.col("miny") + 77), F.element_at("points", 1), F.element_at("points", 2)), 4).alias("d"))
+
+
+@query("m04_segments_intersect", f"WITH {ENT} SELECT s.seq a, t.seq b FROM ent s JOIN ent t ON s.k=t.k AND s.slot IN (0,9) AND t.slot IN (1,4,5) AND {O.crosses()}")
+def m04(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    a = e.where("layer = 'SCADA-CABLE'").select((F.floor(F.col("seq") / 16)).alias("k"), F.col("seq").alias("a"), F.col("points").alias("p"))
+    b = e.where("layer IN ('POWER-CABLE', 'WATER', 'POWER-CROSS')").select((F.floor(F.col("seq") / 16)).alias("k"), F.col("seq").alias("b"), F.col("points").alias("q"))
+    hit = G.segments_intersect(F.element_at("p", 1), F.element_at("p", 2), F.element_at("q", 1), F.element_at("q", 2))
+    return a.join(b.hint("merge"), "k").where(hit).select("a", "b")
+
+
+@query("m07_point_in_polygon", f"WITH {ENT} SELECT t.seq zone, s.seq subject FROM ent s JOIN ent t ON s.k=t.k AND t.closed AND s.kind='polyline' AND NOT s.closed AND s.ax BETWEEN t.minx AND t.maxx AND s.ay BETWEEN t.miny AND t.maxy")
+def m07(spark, sf_dir):
+    e = entities(spark, sf_dir).where("kind = 'polyline'").withColumn("k", F.floor(F.col("seq") / 16))
+    z = e.where("closed").select("k", F.col("seq").alias("zone"), F.col("points").alias("poly"))
+    s = e.where("NOT closed").select("k", F.col("seq").alias("subject"), F.element_at("points", 1).alias("p"))
+    return s.join(z.hint("merge"), "k").where(G.point_in_polygon(F.col("p"), F.col("poly"))).select("zone", "subject")
+
+
+@query("m16_bbox_distance", f"WITH {ENT} SELECT s.seq a, t.seq b, round(sqrt(pow(greatest(0,greatest(s.minx,t.minx)-least(s.maxx,t.maxx)),2)+pow(greatest(0,greatest(s.miny,t.miny)-least(s.maxy,t.maxy)),2)),4) d FROM ent s JOIN ent t ON s.k=t.k AND s.seq<t.seq")
+def m16(spark, sf_dir):
+    e = entities(spark, sf_dir).withColumn("k", F.floor(F.col("seq") / 16))
+    s, t = (e.select("k", F.struct("seq", "minx", "miny", "maxx", "maxy").alias(n)) for n in "st")
+    return s.join(t.hint("merge"), "k").where("s.seq < t.seq").select(F.col("s.seq").alias("a"), F.col("t.seq").alias("b"), F.round(G.bbox_distance(F.col("s"), F.col("t")), 4).alias("d"))
+
+
+@query("m17_z_interval", f"WITH {ENT} SELECT layer, count(*) FILTER (WHERE z_known) known, sum(CASE WHEN z_known THEN z END)::double total FROM ent GROUP BY 1")
+def m17(spark, sf_dir):
+    z = G.z_interval(F.col("s"))
+    return side(entities(spark, sf_dir), "s").groupBy(F.col("s.layer").alias("layer")).agg(F.count(z).alias("known"), F.sum(z["hi"]).alias("total"))
+
+
+# -- routes --------------------------------------------------------------------------------------
+
+
+def routes(e: DataFrame, drawings: DataFrame, tolerance_mm: float = 1.0) -> DataFrame:
+    """(drawing_key, seq, system, root): connected components of one system's geometric entities that touch within the tolerance."""
+    m = e.where("system IS NOT NULL AND kind IN ('polyline', 'circle')").join(drawings.select("drawing_key", "unit_to_mm"), "drawing_key")
+    s, t = (m.select("drawing_key", "system", F.struct(*[c for c in m.columns if c not in ("drawing_key", "unit_to_mm", "system")]).alias(n), F.col("unit_to_mm").alias(f"u{n}")) for n in "st")
+    left = s.withColumnsRenamed({"system": "sys", "us": "u"})
+    right = side(m.drop("unit_to_mm"), "t")
+    tol = F.lit(tolerance_mm) / F.col("u")
+    a = left.withColumn("r", F.lit(tolerance_mm) / F.col("u"))
+    pairs = spatial.candidates(a, right, 2000.0, tolerance_mm).where("t.seq > s.seq AND t.system = sys")
+    edges = spatial.distances(pairs, tol).select(F.col("s.seq").alias("a"), F.col("t.seq").alias("b"))
+    comp = components(edges)
+    return m.join(comp.select(F.col("node").alias("seq"), "component"), "seq", "left").withColumn("root", F.coalesce("component", "seq")).drop("component", "unit_to_mm")
+
+
+def route_table(members: DataFrame) -> DataFrame:
+    """(drawing_key, route_id, system, entity_count, length): numbered by system in order of their first member."""
+    stats = side(members, "s").groupBy("drawing_key", F.col("s.system").alias("system"), F.col("s.root").alias("root")).agg(F.count("*").alias("entity_count"), F.round(F.sum(G.length(F.col("s"))), 3).alias("length"))
+    n = F.row_number().over(Window.partitionBy("drawing_key", "system").orderBy("root"))
+    return stats.withColumn("route_id", F.format_string("R-%s-%03d", "system", n)).drop("root")
+
+
+@query(
+    "j07_g1_routes",
+    f"""WITH {ENT}, m AS (SELECT * FROM ent WHERE system='SCADA' AND kind='polyline'),
+st AS (SELECT drawing_key, min(seq) root, count(*) entity_count, round(sum(sqrt(pow(bx-ax,2)+pow(ye-ay,2))),3) length FROM m GROUP BY drawing_key, k)
+SELECT drawing_key, printf('R-SCADA-%03d', row_number() OVER (PARTITION BY drawing_key ORDER BY root)) route_id, 'SCADA' system, entity_count, length FROM st""",
+)
+def j07(spark, sf_dir):
+    return route_table(routes(classified(spark, sf_dir).where("system = 'SCADA'"), D.drawings(spark, sf_dir)))
+
+
+@query(
+    "j09_nearby_objects",
+    f"""WITH {ENT}, p AS (SELECT s.seq a, t.seq b, t.handle h, round({O.line_circle()}*1.0,1) d FROM ent s JOIN ent t ON s.drawing_key=t.drawing_key AND s.layer='POWER-CROSS' AND t.layer='SUPPORT' AND s.minx-1000/s.unit_to_mm<=t.maxx AND t.minx<=s.maxx+1000/s.unit_to_mm AND s.miny-1000/s.unit_to_mm<=t.maxy AND t.miny<=s.maxy+1000/s.unit_to_mm WHERE {O.line_circle()}<=1000/s.unit_to_mm),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, h) n FROM p) SELECT a, h AS handle, d AS distance, n::int rank FROM r WHERE n<=2""",
+)
+def j09(spark, sf_dir):
+    e = entities(spark, sf_dir).join(D.drawings(spark, sf_dir).select("drawing_key", "unit_to_mm"), "drawing_key")
+    s, t = side(e.where("layer = 'POWER-CROSS'"), "s"), side(e.where("layer = 'SUPPORT'"), "t")
+    r = F.lit(1000.0) / F.col("s.unit_to_mm")
+    s = s.withColumn("r", r)
+    pairs = spatial.distances(spatial.candidates(s, t, 2000.0, 1000.0), F.col("r"))
+    w = Window.partitionBy("a").orderBy("distance", "handle")
+    return pairs.select(F.col("s.seq").alias("a"), F.col("t.handle").alias("handle"), F.round("distance", 1).alias("distance")).withColumn("rank", F.row_number().over(w)).where("rank <= 2")
+
+
+# -- normalisation -------------------------------------------------------------------------------
+
+
+@query("n01_unit_resolution", "SELECT n_nationkey drawing, c code, CASE c WHEN 1 THEN 25.4 WHEN 2 THEN 304.8 WHEN 4 THEN 1.0 WHEN 5 THEN 10.0 WHEN 6 THEN 1000.0 ELSE 1.0 END::double unit_to_mm, c NOT IN (1,2,4,5,6) units_assumed FROM (SELECT n_nationkey, [4,5,6,1,2,0,99][(n_nationkey%7+1)::int] c FROM nation)")
+def n01(spark, sf_dir):
+    codes = F.element_at(F.array(*map(F.lit, (4, 5, 6, 1, 2, 0, 99))), (F.col("n_nationkey") % 7 + 1).cast("int"))
+    raw = D.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("drawing"), codes.alias("code"))
+    return N.resolve_units(raw, "code").select("drawing", "code", "unit_to_mm", "units_assumed")
+
+
+@query("n02_arc_flattening", "SELECT c_custkey arc, greatest(1, ceil(radians(30+c_custkey%300)/(2*acos(1-0.1/(50+c_custkey%500)))))::int chords, round(50+c_custkey%500,3)::double end_distance FROM customer")
+def n02(spark, sf_dir):
+    c = F.col("c_custkey")
+    arcs = D.read(spark, sf_dir, "customer").select(c.alias("arc"), (50 + c % 500).cast("double").alias("radius"), (c * 37 % 360).cast("double").alias("start"), (30 + c % 300).cast("double").alias("sweep"))
+    pts = N.flatten_arc(F.lit(0.0), F.lit(0.0), F.col("radius"), F.col("start"), F.col("start") + F.col("sweep"), 0.1)
+    out = arcs.withColumn("p", pts)
+    return out.select("arc", (F.size("p") - 1).alias("chords"), F.round(F.hypot(F.element_at("p", -1)["x"], F.element_at("p", -1)["y"]), 3).alias("end_distance"))
+
+
+@query("n04_circle_scaling", "SELECT c_custkey k, CASE WHEN c_custkey%2=0 THEN 'circle' ELSE 'polyline' END kind, CASE WHEN c_custkey%2=0 THEN 2.0*(50+c_custkey%500) END::double radius FROM customer")
+def n04(spark, sf_dir):
+    c = F.col("c_custkey")
+    raw = D.read(spark, sf_dir, "customer").select(c.alias("k"), (50 + c % 500).cast("double").alias("r"), F.array(F.lit(2.0), F.lit(0.0), F.lit(0.0), F.when(c % 2 == 0, 2.0).otherwise(3.0), F.lit(10.0), F.lit(20.0)).alias("m"))
+    return raw.select("k", N.transform_circle(F.lit(1.0), F.lit(1.0), F.col("r"), F.col("m")).alias("g")).select("k", "g.kind", "g.radius")
+
+
+def _blocks(spark, sf_dir):
+    n = D.read(spark, sf_dir, "nation")
+    c = D.read(spark, sf_dir, "customer")
+    scale = F.when(F.col("n_nationkey") % 2 == 0, 1.0).otherwise(2.0)
+    many = F.col("n_nationkey") % 3 == 0
+    identity = lambda s, x, y: F.array(s, F.lit(0.0), F.lit(0.0), s, x, y)
+    ins = n.select(F.concat(F.lit("R"), "n_regionkey").alias("container"), F.concat(F.lit("N"), "n_nationkey").alias("handle"), F.concat(F.lit("B"), "n_nationkey").alias("block"), identity(scale, F.col("n_nationkey") * 1000.0, F.lit(0.0)).alias("m"), F.when(many, 2).otherwise(1).alias("rows"), F.when(many, 3).otherwise(1).alias("cols"), F.lit(5000.0).alias("dx"), F.lit(7000.0).alias("dy"), F.lit("0").alias("layer"))
+    top = D.read(spark, sf_dir, "region").select(F.lit("MODEL").alias("container"), F.concat(F.lit("T"), "r_regionkey").alias("handle"), F.concat(F.lit("R"), "r_regionkey").alias("block"), identity(F.lit(1.0), F.lit(0.0), F.col("r_regionkey") * 100000.0).alias("m"), F.lit(1).alias("rows"), F.lit(1).alias("cols"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.concat(F.lit("L"), "r_regionkey").alias("layer"))
+    loop = top.where("handle = 'T0'").withColumns({"container": F.lit("R0"), "handle": F.lit("LOOP"), "block": F.lit("R0")})
+    prims = c.select(F.concat(F.lit("B"), F.col("c_custkey") % 25).alias("container"), F.hex("c_custkey").alias("handle"), F.when(F.col("c_custkey") % 6 == 0, "0").otherwise("OWN").alias("layer"), F.array(F.struct((F.col("c_custkey") % 100).cast("double").alias("x"), F.lit(1.0).alias("y"))).alias("points"))
+    return prims, ins.unionByName(top).unionByName(loop)
+
+
+_EXPAND = """WITH i AS (SELECT n_nationkey nk, n_regionkey rk, CASE WHEN n_nationkey%2=0 THEN 1 ELSE 2 END s, CASE WHEN n_nationkey%3=0 THEN 2 ELSE 1 END rws, CASE WHEN n_nationkey%3=0 THEN 3 ELSE 1 END cls FROM nation),
+c AS (SELECT *, r, l FROM i, range(2) a(r), range(3) b(l) WHERE r<rws AND l<cls),
+p AS (SELECT c_custkey ck, c_custkey%25 nk, c_custkey%100 x, CASE WHEN c_custkey%6=0 THEN '0' ELSE 'OWN' END layer FROM customer)"""
+
+
+@query(
+    "n07_block_expansion",
+    _EXPAND + " SELECT 'T'||rk||'>N'||c.nk||CASE WHEN rws*cls>1 THEN '['||(r*cls+l)||']' ELSE '' END||'>'||printf('%X',ck) handle, CASE WHEN layer='0' THEN 'L'||rk ELSE layer END layer, (c.nk*1000+s*x+l*5000*s)::double x, (rk*100000+s*1+r*7000*s)::double y FROM c JOIN p USING (nk)",
+)
+def n07(spark, sf_dir):
+    prims, inserts = _blocks(spark, sf_dir)
+    out, _ = N.expand_blocks(prims, inserts)
+    p = F.element_at("points", 1)
+    return out.select("handle", "layer", F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))
+
+
+@query("n07_block_warnings", "SELECT 'T0>LOOP' handle, 'cycle' warning")
+def n07w(spark, sf_dir):
+    prims, inserts = _blocks(spark, sf_dir)
+    return N.expand_blocks(prims, inserts)[1].select("handle", "warning")
+
+
+@query("n10_type_counts", f"WITH {ENT} SELECT drawing_key, entity_type, entity_type IN ('LINE','CIRCLE','LWPOLYLINE') supported, count(*) n FROM ent GROUP BY 1,2,3")
+def n10(spark, sf_dir):
+    return entities(spark, sf_dir).groupBy("drawing_key", "entity_type", F.col("entity_type").isin("LINE", "CIRCLE", "LWPOLYLINE").alias("supported")).agg(F.count("*").alias("n"))
+
+
+@query("n11_entity_cap", f"WITH {ENT}, r AS (SELECT *, row_number() OVER (PARTITION BY drawing_key ORDER BY seq) n FROM ent) SELECT drawing_key, count(*) kept, max(seq) last_seq FROM r WHERE n<=2000 GROUP BY 1")
+def n11(spark, sf_dir):
+    return N.cap_entities(entities(spark, sf_dir), 2000).groupBy("drawing_key").agg(F.count("*").alias("kept"), F.max("seq").alias("last_seq"))

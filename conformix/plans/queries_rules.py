@@ -24,7 +24,7 @@ def query(name, sql=None):
 
 
 def classified(spark: SparkSession, sf_dir: str, revised: bool = False) -> DataFrame:
-    return E.classify_systems(D.drawing_entities(spark, sf_dir, revised), D.SYSTEMS)
+    return E.classify_systems(D.stored_entities(spark, sf_dir, revised), D.SYSTEMS)
 
 
 def evaluator(spark: SparkSession, sf_dir: str, revised: bool = False) -> E.Evaluator:

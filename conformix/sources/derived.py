@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conformix.functions.geometry import with_bbox
 from conformix.schema import ENTITY
+from conformix.sources.tables import materialise, shared_dir
 
 PER_DRAWING, PITCH = 1024, 6000
 GAPS = (180, 250, 320, 340, 450, 700)
@@ -72,6 +73,17 @@ def drawing_entities(spark: SparkSession, sf_dir: str, revised: bool = False) ->
     return with_bbox(rows).select(*ENTITY.fieldNames())
 
 
+_stored: dict[tuple, DataFrame] = {}
+
+
+def stored_entities(spark: SparkSession, sf_dir: str, revised: bool = False) -> DataFrame:
+    """drawing_entities as a table of the shared folder, written once a session: what reads it plans over plain columns."""
+    key = (spark.sparkContext.applicationId, shared_dir(spark), sf_dir, revised)
+    if key not in _stored:
+        _stored[key] = materialise(drawing_entities(spark, sf_dir, revised), "entities")
+    return _stored[key]
+
+
 def drawings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(drawing_key, unit_to_mm, units_assumed) of every drawing."""
     n = F.floor(F.col("o_orderkey") / PER_DRAWING)
