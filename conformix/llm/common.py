@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 BROADCAST_BYTES = 8 << 20
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,22 +28,23 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    Shuffle files of the write are removed with it, so that only the table itself stays on disk.
+    Shuffle files of the write are removed with it, so that only the table itself stays on disk. batch_rows bounds the
+    rows of an Arrow batch where they are large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/conformix/{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    own = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    before = {k: spark.conf.get(k, None) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(CLEANUP)
-        else:
-            spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._conformix_path = path
     return out
@@ -151,16 +153,32 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
+#: Bytes of texts that are hashed at once.
+PIECE = 2 << 20
+
+
 def words_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Words `[^\\x20\\x09-\\x0D]+` of whole texts, A-Z lower-cased: 64-bit hashes in order and the text of each word."""
+    words, owners, at = [np.zeros(0, _U)], [np.zeros(0, np.int64)], 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size < PIECE):
+            size += len(texts[to] or b"") + 1
+            to += 1
+        w, o = _words_of(texts[at:to])
+        words.append(w)
+        owners.append(o + at)
+        at = to
+    return np.concatenate(words), np.concatenate(owners)
+
+
+def _words_of(texts):
     sizes = np.fromiter((0 if t is None else len(t) for t in texts), np.int64, len(texts))
     data = np.frombuffer(b" ".join(b"" if t is None else t for t in texts) + b" ", np.uint8)
     data = _LOWER[data]
     space = _SPACE[data]
     edge = np.diff(space.astype(np.int8), prepend=np.int8(1))
     start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    if len(end) < len(start):
-        end = np.append(end, len(data))
     first = np.concatenate(([0], np.cumsum(sizes + 1)))
     owner = np.searchsorted(first, start, side="right") - 1
     return PrefixHash(data).of(start, end), owner

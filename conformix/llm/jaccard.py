@@ -103,11 +103,13 @@ def product_links(a: list[np.ndarray], b: list[np.ndarray], percent: int, same:
     oa, ob = np.argsort(ca, kind="stable"), np.argsort(cb, kind="stable")
     ra, ca, rb, cb = ra[oa], ca[oa], rb[ob], cb[ob]
     first = np.concatenate(([0], np.cumsum(db)))
-    over = np.zeros(len(a) * len(b), np.int64)
+    over = np.zeros(len(a) * len(b), np.int32)
     sparse = (work > 0) & (work < 4096)
     mine = np.flatnonzero(sparse[ca])
-    for lo in range(0, len(mine), 1 << 16):
-        e = mine[lo : lo + (1 << 16)]
+    # entries together make a million products at a time
+    made = np.cumsum(db[ca[mine]]) >> 20
+    for lo, hi in zip(*(lambda cut: (cut[:-1], cut[1:]))([0, *(np.flatnonzero(np.diff(made)) + 1), len(mine)])):
+        e = mine[lo:hi]
         times = db[ca[e]]
         row = np.repeat(ra[e], times)
         inner = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
@@ -123,8 +125,8 @@ def product_links(a: list[np.ndarray], b: list[np.ndarray], percent: int, same:
         for m, r, c in ((left, ra, ca), (right, rb, cb)):
             k = place[c]
             m[r[k >= 0], k[k >= 0]] = 1
-        over += (left @ right.T).astype(np.int64)
-    ok = 100 * over >= percent * (na[:, None] + nb[None, :] - over)
+        over += (left @ right.T).astype(np.int32)
+    ok = np.stack([100 * row.astype(np.int64) >= percent * (n + nb - row) for row, n in zip(over, na)])
     if same:
         ok = np.triu(ok, 1)
     return np.nonzero(ok)
