@@ -1,76 +1,13 @@
-"""What the operators share: intermediate tables, size-checked joins, token hashing, components."""
+"""What the operators share: texts as chunks of bytes and hashes of words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-#: A side of a join is broadcast only if it was counted and is no larger than this.
-BROADCAST_BYTES = 8 << 20
-
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only if it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        sc = spark.sparkContext
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        base = sc.getCheckpointDir()
-    return base.rstrip("/")
-
-
-def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
-
-    Shuffle files of the write are removed with it, so that only the table itself stays on disk. batch_rows bounds the
-    rows of an Arrow batch where they are large.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/conformix/{name}-{uuid.uuid4().hex}"
-    own = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
-    before = {k: spark.conf.get(k, None) for k in own}
-    for k, v in own.items():
-        spark.conf.set(k, v)
-    try:
-        df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._conformix_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialise() that no later step reads."""
-    for df in tables:
-        path = getattr(df, "_conformix_path", None)
-        if path:
-            jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(sc._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def checked_join(big: DataFrame, small: DataFrame, on, how: str, row_bytes: int, rows: int | None = None) -> DataFrame:
-    """big JOIN small: broadcast if small was counted and fits BROADCAST_BYTES, else a sort-merge join
-    (whose skewed partitions Spark splits)."""
-    rows = small.count() if rows is None else rows
-    hint = "broadcast" if rows * row_bytes <= BROADCAST_BYTES and how in ("inner", "left", "left_semi", "left_anti") else "merge"
-    return big.join(small.hint(hint), on, how)
-
-
-def tasks(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
+from conformix.operators.graph import components  # noqa: F401
+from conformix.sources.tables import checked_join, discard, materialise, shared_dir, tasks  # noqa: F401
 
 # --- text as bytes -----------------------------------------------------------------------------
 
@@ -182,39 +119,3 @@ def _words_of(texts):
     first = np.concatenate(([0], np.cumsum(sizes + 1)))
     owner = np.searchsorted(first, start, side="right") - 1
     return PrefixHash(data).of(start, end), owner
-
-
-# --- components --------------------------------------------------------------------------------
-
-
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest node reachable from each node: (node, component) for every node of edges(a, b).
-
-    Large-star and small-star rounds: each is a groupBy-min and a join by node, the edge list is written between
-    rounds and never leaves Spark. A hub is one row of a min-aggregate, not a collected list.
-    """
-    e = materialise(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if e.isEmpty():
-        return e.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    last = None
-    for _ in range(max_rounds):
-        # large star: each node links its larger neighbours to the smallest one it knows
-        both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        # small star: each node links its smaller neighbours, and itself, to the smallest of them
-        large = materialise(large.where("a <> b").distinct(), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low.hint("merge"), "a").select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("x"))
-        small = small.select(F.col("x.b").alias("a"), F.col("x.m").alias("b")).where("a <> b").distinct()
-        new = materialise(small, "edges")
-        discard(large, e)
-        e = new
-        state = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == last:
-            break
-        last = state
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    roots = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
