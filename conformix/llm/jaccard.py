@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conformix.llm.common import chunks, components, discard, materialise, mix, tasks, words_of
+from conformix.llm.common import chunks, components, materialise, mix, tasks, words_of
 
 _U = np.uint64
 #: Sets of one side of a tile of the matrix product.
@@ -198,22 +198,45 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
     wide = max(tasks(spark), classes.count() // 20_000)
 
     def signed(batches):
+        """(sig, node, low): of each signature of a chunk its first class (low is null), and its other classes linked to that one."""
         for _, texts in chunks(batches):
             nodes, sigs, seen = [], [], set()
             for g in shingle_sets(texts, width):
                 if len(g) and (node := set_key(g)) not in seen:  # copies within a chunk are signed once
                     seen.add(node)
-                    sigs.append(scheme.signatures(g))
+                    sigs.append(scheme.signatures(g).view(np.int64))
                     nodes.append(np.full(len(sigs[-1]), node, np.int64))
-            for i in range(0, len(sigs), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sigs[i : i + 256]).view(np.int64)), pa.array(np.concatenate(nodes[i : i + 256]))], ["sig", "node"])
-
-    signs = materialise(raw.mapInArrow(signed, "sig long, node long"), "signatures")
-    # a signature's smallest and largest class come from a map-side combined aggregate; those of one class are gone
-    lows = materialise(signs.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("sig", "low"), "lows")
-    # sides that grow with the texts are never broadcast, at any size
-    star = materialise(signs.join(lows.hint("merge"), "sig").where("node <> low").select(F.col("node").alias("a"), F.col("low").alias("b")).distinct(), "star")
-    discard(signs, lows)
+            if sigs:
+                s, n = np.concatenate(sigs), np.concatenate(nodes)
+                order = np.argsort(s, kind="stable")
+                s, n = s[order], n[order]
+                new = np.concatenate(([True], s[1:] != s[:-1]))
+                head = n[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+                for i in range(0, len(s), 1 << 16):
+                    j = slice(i, i + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(s[j]), pa.array(n[j]), pa.array(head[j], mask=new[j])], ["sig", "node", "low"])
+
+    def starred(batches):
+        """Classes of one signature, linked to its first class; rows come sorted by signature."""
+        last_sig, last = None, None
+        for b in batches:
+            s, n = (b.column(k).to_numpy() for k in (0, 1))
+            local = ~np.asarray(b.column(2).is_null())
+            low = b.column(2).filter(pa.array(local)).to_numpy()
+            out_a, out_b = [n[local]], [low]
+            s, n = s[~local], n[~local]
+            if len(s):
+                new = np.concatenate(([s[0] != last_sig], s[1:] != s[:-1]))
+                place = np.maximum.accumulate(np.where(new, np.arange(len(s)), -1))
+                head = np.where(place >= 0, n[np.maximum(place, 0)], last if last is not None else 0)
+                out_a.append(n[~new])
+                out_b.append(head[~new])
+                last_sig, last = s[-1], head[-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    # a signature has one row a chunk at most, however many classes share it; the sort is by signature within a task
+    dealt = raw.mapInArrow(signed, "sig long, node long, low long").repartition(wide, "sig").sortWithinPartitions("sig")
+    star = materialise(dealt.mapInArrow(starred, "a long, b long").where("a <> b").distinct(), "star")
     groups = materialise(components(star), "groups").withColumnRenamed("component", "grp")
 
     # blocks of a group by size: the place of a size in its group comes from sums by size, so no group is sorted in one task
