@@ -12,13 +12,16 @@ from pyspark.sql import functions as F
 
 from conformix.llm.ann import clean_vectors
 from conformix.llm.common import components, discard, materialise, tasks
+from conformix.llm.jaccard import forest
 
 #: Length of the neighbour lists to begin with, the similarity from which a neighbour is worth following, rows compared at once.
 NEIGHBOURS, EXPLORE, WINDOW_ROWS = 12, 0.9, 128
 #: Most vectors of one side of a tile of the exact link count.
 BLOCK = 2048
-#: Vectors of the recall audit (a documented bound) and the recall below which more tables are added.
-AUDIT_ROWS, RECALL = 200, 0.995
+#: Linked vectors that a recall audit sees at least, vectors it asks in one pass at most, and the recall below which more tables are added.
+AUDIT_ROWS, AUDIT_PASS, RECALL = 200, 4096, 0.995
+#: Rounds of closing tables after which all vectors of different components are compared instead.
+TABLE_ROUNDS = 20
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -29,25 +32,25 @@ def _pairs(a, b, s):
     return pa.RecordBatch.from_arrays([pa.array(np.asarray(a, np.int64)), pa.array(np.asarray(b, np.int64)), pa.array(np.asarray(s, float))], ["a", "b", "s"])
 
 
-def _best(ids: np.ndarray, x: np.ndarray, k: int, least: float, apart: np.ndarray | None = None):
-    """(a, b, cosine): each row's k best others in x from `least` on; with `apart`, only rows of other components."""
+def _best(ids: np.ndarray, x: np.ndarray, k: int, least: float):
+    """(a, b, cosine): each row's k best others in x from `least` on."""
     c = x @ x.T
     np.fill_diagonal(c, -2)
-    if apart is not None:
-        c[apart[:, None] == apart[None, :]] = -2
     if len(ids) > k:
         c[c < np.partition(c, -k, axis=1)[:, -k][:, None]] = -2
     i, j = np.nonzero(c >= least)
     return ids[i], ids[j], c[i, j]
 
 
-def _tables(vectors: DataFrame, n: int, seed: int, k: int, least: float, share: float = 1e-3) -> DataFrame:
-    """First lists: in each of several tables, vectors sorted by group, sign code and a projection; windows of neighbours
-    in that order are compared. Codes get a bit as the vectors double, and tables so that a pair at the threshold
-    misses all of them with probability `share` at most. A range partitioning cuts a crowded code over many tasks."""
+def _shape(n: int, share: float) -> tuple[int, int]:
+    """Bits of a code and tables: a pair at the threshold has no equal code in any table with probability `share` at most."""
     bits = max(4, math.ceil(math.log2(max(n, 2) / 100)))
     agree = (1 - math.acos(0.98) / math.pi) ** bits
-    count = max(4, math.ceil(math.log(share) / math.log(1 - agree)))
+    return bits, max(4, math.ceil(math.log(share) / math.log(1 - agree)))
+
+
+def _coded(vectors: DataFrame, seed: int, bits: int, count: int) -> DataFrame:
+    """Each vector with its sign code and a projection, once a table."""
 
     def code(batches):
         for b in batches:
@@ -62,21 +65,28 @@ def _tables(vectors: DataFrame, n: int, seed: int, k: int, least: float, share:
                     n_ = part.num_rows
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n_, t, np.int32)), *part.columns[:4], pa.array(codes), pa.array(y[:, bits]), part.column(4)], ["t", "id", "grp", "dim", "x", "code", "y", "comp"])
 
-    coded = vectors.select("id", "grp", "dim", "x", "comp").mapInArrow(code, "t int, id long, grp long, dim int, x binary, code long, y double, comp long")
+    return vectors.select("id", "grp", "dim", "x", "comp").mapInArrow(code, "t int, id long, grp long, dim int, x binary, code long, y double, comp long")
+
+
+def _tables(vectors: DataFrame, n: int, seed: int, k: int, least: float, share: float = 1e-3) -> DataFrame:
+    """First lists: in each of several tables, vectors sorted by group, sign code and a projection; windows of neighbours
+    in that order are compared. Codes get a bit as the vectors double, and tables so that a pair at the threshold
+    misses all of them with probability `share` at most. A range partitioning cuts a crowded code over many tasks."""
+    bits, count = _shape(n, share)
+    coded = _coded(vectors, seed, bits, count)
     wide = max(tasks(vectors.sparkSession), n * count // 50_000)
-    dealt = coded.repartitionByRange(wide, "t", "grp", "code", "y", "id").sortWithinPartitions("t", "grp", "code", "y", "id").select("id", "grp", "dim", "x", "comp", "t")
+    dealt = coded.repartitionByRange(wide, "t", "grp", "code", "y", "id").sortWithinPartitions("t", "grp", "code", "y", "id").select("id", "grp", "dim", "x", "t")
 
     def compare(batches):
         held: list[tuple] = []
 
         def out(rows):
             ids, x = np.array([r[0] for r in rows], np.int64), np.frombuffer(b"".join(r[3] for r in rows), np.float64).reshape(len(rows), rows[0][2])
-            comp = np.array([-1 if r[4] is None else r[4] for r in rows], np.int64)
-            return _pairs(*_best(ids, x, k, least, None if (comp < 0).all() else comp))
+            return _pairs(*_best(ids, x, k, least))
 
         for b in batches:
-            for r in zip(*(b.column(i).to_pylist() for i in range(6))):
-                if held and (r[1], r[5]) != (held[-1][1], held[-1][5]):
+            for r in zip(*(b.column(i).to_pylist() for i in range(5))):
+                if held and (r[1], r[4]) != (held[-1][1], held[-1][4]):
                     yield out(held)
                     held = []
                 held.append(r)
@@ -89,6 +99,51 @@ def _tables(vectors: DataFrame, n: int, seed: int, k: int, least: float, share:
     return dealt.mapInArrow(compare, "a long, b long, s double")
 
 
+def _across(vectors: DataFrame, n: int, seed: int, threshold: float, block: int, share: float = 0.05) -> DataFrame:
+    """(a, b): components that a link joins, from all pairs of vectors with an equal sign code in one of several tables.
+
+    A code is compared as a whole, a crowded one in tiles of its blocks; codes within one component are left out. Share 1:
+    one table without bits, so that all vectors of a group are compared.
+    """
+    bits, count = _shape(n, share) if share < 1 else (0, 1)
+    coded = _coded(vectors, seed, bits, count)
+    by = ["t", "grp", "code"]
+    sizes = coded.groupBy(*by).agg(F.count("*").alias("g"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("g") > block)
+    # at most one row for `block` rows of the tables, so small enough to be broadcast
+    crowded = materialise(sizes.select(*by, F.when(F.col("lo") < F.col("hi"), F.ceil(F.col("g") / block)).otherwise(0).cast("long").alias("blocks")), "crowded")
+    placed = coded.join(F.broadcast(crowded), by, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long"))).where("blocks > 0")
+    placed = placed.withColumn("blk", F.pmod(F.xxhash64("id"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    at = placed.select(*by, F.least("blk", "other").alias("t1"), F.greatest("blk", "other").alias("t2"), "blk", "comp", "dim", "x")
+    wide = max(tasks(vectors.sparkSession), n * count // 20_000)
+    dealt = at.repartition(wide, *by, "t1", "t2").sortWithinPartitions(*by, "t1", "t2")
+
+    def compare(batches):
+        now, sides = None, {}
+
+        def out():
+            a, b = sides.get(now[3], []), sides.get(now[4], [])
+            if not a or not b:
+                return None
+            (ca, xa), (cb, xb) = ((np.array([r[0] for r in side], np.int64), np.frombuffer(b"".join(r[2] for r in side), np.float64).reshape(len(side), side[0][1])) for side in (a, b))
+            i, j = np.nonzero((xa @ xb.T >= threshold) & (ca[:, None] != cb[None, :]))
+            if not len(i):
+                return None
+            pairs = forest(ca[i], cb[j])
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        for b in batches:
+            for t, grp, code, t1, t2, blk, *r in zip(*(b.column(i).to_pylist() for i in range(9))):
+                if (t, grp, code, t1, t2) != now:
+                    if now is not None and (got := out()) is not None:
+                        yield got
+                    now, sides = (t, grp, code, t1, t2), {}
+                sides.setdefault(blk, []).append(r)
+        if now is not None and (got := out()) is not None:
+            yield got
+
+    return dealt.mapInArrow(compare, "a long, b long")
+
+
 def _lists(pairs: DataFrame, k) -> DataFrame:
     """Each vertex's best neighbours, one row each: k of them, or as many as its own column k says."""
     w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
@@ -170,29 +225,45 @@ def _links_in(members: DataFrame, threshold: float, block: int) -> DataFrame:
 
 
 def _audit(vectors: DataFrame, threshold: float, rows: int) -> float:
-    """Recall of links: `rows` vectors against all rows, in blocks; a link counts as found if both are in one component."""
-    asked = vectors.orderBy(F.xxhash64("id"), "id").limit(rows).select("id", "grp", "dim", "x", "comp").collect()
-    q = {}
-    for r in asked:
-        q.setdefault(r["grp"], []).append(r)
-    if not q:
-        return 1.0
+    """Recall of links, averaged over vectors with a link: vectors against all rows, in blocks, until `rows` of those
+    asked have a link or all have been asked. A link counts as found if both are in one component."""
+    n = vectors.count()
+    shares = max(1, -(-n // rows))
+    share, at, step, linked, recall = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shares)), 0, 1, 0, 0.0
+    while at < shares and linked < rows:
+        q = {}
+        for r in vectors.where((share >= at) & (share < at + step)).select("id", "grp", "dim", "x", "comp").collect():
+            q.setdefault(r["grp"], []).append(r)
+        at, step = at + step, min(2 * step, max(1, AUDIT_PASS // rows))
+        if q:
+            for r in vectors.select("id", "grp", "dim", "x", "comp").mapInArrow(_asked(q, threshold), "id long, t long, f long").groupBy("id").agg(F.sum("t").alias("t"), F.sum("f").alias("f")).collect():
+                linked += 1
+                recall += r["f"] / r["t"]
+    return recall / linked if linked else 1.0
+
+
+def _asked(q: dict, threshold: float):
+    """(id, t, f) of the asked vectors q (by group) with links to a batch's rows: all of them and those within a component."""
 
     def run(batches):
         for b in batches:
-            true = found = 0
+            ids_of, true, found = [], [], []
             for g in {*b.column(1).to_pylist()} & q.keys():
                 part = b.filter(pa.compute.equal(b.column(1), g))
                 dim = int(part.column(2)[0].as_py())
                 x, ids, comp = _matrix(part.column(3), dim), part.column(0).to_numpy(), part.column(4).to_numpy()
-                y = np.frombuffer(b"".join(bytes(r["x"]) for r in q[g]), float).reshape(-1, dim)
-                near = (y @ x.T >= threshold) & (np.array([r["id"] for r in q[g]])[:, None] != ids[None, :])
-                true += int(near.sum())
-                found += int((near & (np.array([r["comp"] for r in q[g]])[:, None] == comp[None, :])).sum())
-            yield pa.RecordBatch.from_arrays([pa.array([true]), pa.array([found])], ["t", "f"])
+                for i in range(0, len(q[g]), 256):
+                    some = q[g][i : i + 256]
+                    y, own = np.frombuffer(b"".join(bytes(r["x"]) for r in some), float).reshape(-1, dim), np.array([r["id"] for r in some])
+                    near = (y @ x.T >= threshold) & (own[:, None] != ids[None, :])
+                    t = near.sum(1)
+                    ids_of.append(own[t > 0])
+                    true.append(t[t > 0])
+                    found.append((near & (np.array([r["comp"] for r in some])[:, None] == comp[None, :])).sum(1)[t > 0])
+            if ids_of:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in (ids_of, true, found)], ["id", "t", "f"])
 
-    t, f = vectors.select("id", "grp", "dim", "x", "comp").mapInArrow(run, "t long, f long").agg(F.sum("t"), F.sum("f")).first()
-    return f / t if t else 1.0
+    return run
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", k: int = NEIGHBOURS, rounds: int = 4, block: int = BLOCK) -> DataFrame:
@@ -200,9 +271,10 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, key: str = "vec_id",
 
     Equal vectors of a label are one class. Lists of `k` neighbours start from sorted sign-code tables and are refined by
     neighbours-of-neighbours joins until few lists change; lists that are full of links are doubled. Edges from the
-    threshold on give components; further tables compare vectors of different components only, so that a list
-    full of its own component hides no link, until no components merge. A recall audit (vectors against all rows,
-    in blocks) adds tables while it is below RECALL. n_links is then counted exactly within each component.
+    threshold on give components; further tables compare all vectors of a code that are in different components,
+    until no components merge. A recall audit (vectors against all rows, in blocks) always comes before the end and
+    adds tables while it is below RECALL; after TABLE_ROUNDS of them all vectors of different components are
+    compared. n_links is then counted exactly within each component.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
     nothing. Vectors of different lengths do not link. Rows that repeat a vec_id are one vector and get the same result;
@@ -243,18 +315,19 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, key: str = "vec_id",
         if now - strong <= 0.001 * max(strong, 1):
             break
     edges = materialise(lists.where(F.col("s") >= threshold).select("a", "b"), "edges")
-    seed = 2
+    seed, whole = 2, False
     while True:
         comp = materialise(components(edges), "components")
         state = units.join(comp.select(F.col("node").alias("id"), F.col("component").alias("c")).hint("merge"), "id", "left").withColumn("comp", F.coalesce("c", "id")).drop("c")
         state = materialise(state, "state")
-        across = materialise(_tables(state, n, seed, 2, threshold, 0.05).select("a", "b"), "across")
+        if whole:
+            break
+        whole = seed > TABLE_ROUNDS
+        across = materialise(_across(state, n, seed, threshold, block, 1 if whole else 0.05), "across")
         seed += 1
-        if across.isEmpty() and (seed > 8 or _audit(state, threshold, AUDIT_ROWS) >= RECALL):
+        if across.isEmpty() and (whole or _audit(state, threshold, AUDIT_ROWS) >= RECALL):
             break
         edges = materialise(edges.union(across), "edges")
-        if seed > 20:
-            break
     many = state.groupBy("comp").agg(F.count("*").alias("g"), F.min("id").alias("root")).where("g > 1")
     members = state.join(many.select("comp", "root").hint("merge"), "comp")
     links = _links_in(members.select("comp", "id", "copies", "dim", "x"), threshold, block)
