@@ -172,24 +172,31 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id"
     doc_id). Repeated rows come out as often as they come in; rows with a null id have a null component unless others reach them.
     Other columns are not looked at; an empty table gives no rows. Whole texts count, of any length.
     """
+    known, classes, joined = _joined(docs, width, percent, key, text, block)
+    labels = joined.join(classes.hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = joined.join(labels.hint("merge"), "component").select("node", "component_id")
+    of_class = classes.select("node", "rep").join(of_class.hint("merge"), "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
+    # a hot class has one row on the right, and Spark splits its rows on the left
+    found = known.where("n_shingles > 0").join(of_class.hint("merge"), "node").select("doc_id", "n_shingles", "component_id")
+    return found.union(known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+
+
+def _joined(docs: DataFrame, width: int, percent: int, key: str, text: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows (doc_id, h, n_shingles, node) with a hash h of their text, classes (node, rep, h, n) and (node, component) of linked classes."""
     raw = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
     scheme = Scheme(percent)
 
     def sets(batches):
-        for ids, texts in chunks(batches):
+        for ids, texts, h in chunks(batches, 3):
             got = shingle_sets(texts, width)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([set_key(g) if len(g) else None for g in got], pa.int64())], ["doc_id", "n_shingles", "node"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([set_key(g) if len(g) else None for g in got], pa.int64())], ["doc_id", "h", "n_shingles", "node"])
 
-    known = materialise(raw.mapInArrow(sets, "doc_id long, n_shingles long, node long"), "sets")
-    classes = materialise(known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+    known = materialise(raw.withColumn("h", F.xxhash64("t")).mapInArrow(sets, "doc_id long, h long, n_shingles long, node long"), "sets")
+    # the row of a class whose n-grams are fetched: one of its smallest id, or one without an id if none has any
+    row = F.coalesce(F.min_by("h", "doc_id"), F.min("h"))
+    classes = materialise(known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), row.alias("h"), F.max("n_shingles").alias("n")), "classes")
     links = materialise(_links(raw, classes, scheme, width, percent, block), "links")
-    joined = materialise(components(links), "components")
-    labels = joined.join(classes.hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = joined.join(labels.hint("merge"), "component").select("node", "component_id")
-    of_class = classes.select("node", "rep").join(of_class.hint("merge"), "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    # a hot class has one row on the right, and Spark splits its rows on the left
-    found = known.where("n_shingles > 0").join(of_class.hint("merge"), "node").select("doc_id", "n_shingles", "component_id")
-    return found.union(known.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return known, classes, materialise(components(links), "components")
 
 
 def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, percent: int, block: int) -> DataFrame:
@@ -247,7 +254,7 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
     starts = by_size.withColumn("before", before)
     span = F.floor((F.col("before") + F.col("c") - 1) / most) - F.floor(F.col("before") / most) + 1
     spread = member.join(starts.hint("merge"), ["grp", "n"]).withColumn("blk", (F.floor(F.col("before") / most) + F.pmod(F.xxhash64("node"), span)).cast("long"))
-    spread = materialise(spread.select("node", "rep", "n", "grp", "blk"), "members")
+    spread = materialise(spread.select("node", "rep", "h", "n", "grp", "blk"), "members")
     one = spread.groupBy("grp", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     two = one.select("grp", F.col("blk").alias("blk2"), F.col("lo").alias("lo2"))
     tiles = one.join(two.hint("merge"), "grp").where((F.col("blk") <= F.col("blk2")) & (F.col("hi") * 100 >= F.col("lo2") * percent))
@@ -258,7 +265,8 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
             got = [g for g in shingle_sets(texts, width) if len(g)]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], ["node", "grams"])
 
-    held = raw.join(spread.select(F.col("rep").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    asked = spread.select("rep", F.col("h").alias("rep_h")).distinct()
+    held = raw.withColumn("h", F.xxhash64("t")).join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")), "left_semi").select("doc_id", "t")
     bags = materialise(held.mapInArrow(grams, "node long, grams binary"), "grams").dropDuplicates(["node"])
     placed = spread.join(bags.hint("merge"), "node").join(ends.hint("merge"), ["grp", "blk"]).select("grp", "tile1", "tile2", "blk", "node", "grams")
 
@@ -288,7 +296,20 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id") -> DataFrame:
-    """Rows of docs but those whose key is not the smallest of its component; documents without words all stay."""
-    gone = materialise(join(docs, width, percent, key).where("doc_id <> component_id").select(F.col("doc_id").alias(key)).distinct(), "gone")
-    return docs.join(gone.hint("merge"), key, "left_anti")
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows of docs, one of each component: the smallest key's, rows without a key last, and of its texts that of the smallest
+    hash. Of repeated rows of a key and text one stays, chosen by a hash of all columns. Rows without words all stay.
+    """
+    known, _, joined = _joined(docs, width, percent, key, text, BLOCK)
+    rows = known.where("n_shingles > 0").join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    per = materialise(rows.groupBy("component", "doc_id", "h").agg(F.count("*").alias("copies")), "per")
+    best = per.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
+    state = per.join(best.hint("merge"), "component").select(F.col("doc_id").alias("_id"), F.col("h").alias("_hash"), stays.alias("_stays"), "copies")
+    state = materialise(state.where("not _stays or copies > 1").select("_id", "_hash", "_stays"), "state")
+    mine = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("binary")) == F.col("_hash"))
+    # rows to drop are few columns wide on the right; a kept row that is repeated is reduced map-side first
+    found = docs.join(state.hint("merge"), mine, "left").where("_stays is null or _stays")
+    once = found.where("_stays is null").select(*docs.columns)
+    repeated = found.where("_stays").groupBy("_id", "_hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    return once.union(repeated.select("r.*"))
