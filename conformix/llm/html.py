@@ -6,14 +6,14 @@ import html as _html
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from conformix.llm.common import checked_join, materialise
 
 #: Elements that hold nothing of the article.
-DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg canvas object select button input textarea dialog menu head title math audio video".split())
+DROPPED = frozenset("nav header footer aside form script style noscript template iframe svg canvas select button input textarea dialog menu head title annotation annotation-xml audio video".split())
 #: Words of class and id attributes that mark such elements.
 NOISE = frozenset(
     "ad ads advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion nav navbar navigation menu menus breadcrumb breadcrumbs sidebar aside rail widget header masthead "
@@ -21,10 +21,12 @@ NOISE = frozenset(
     "commentlist disqus respond reply replies discussion pagination pager toolbar copyright legal disclaimer skip".split()
 )
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
-RAW = "script|style|noscript|template|iframe|svg|textarea|title|select|math|object|canvas"
+RAW = "script|style|noscript|template|iframe|svg|textarea|title|select|canvas"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr ruby rt rp wbr br img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr ruby rt rp wbr br img math semantics mrow mi mn mo mtext mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mpadded mfenced".split())
 CONTAINERS = frozenset("body main article section div td center blockquote".split())
+#: Paths kept of a host, and the share of a page's own best container that a path's text must reach to be taken.
+PATHS, COVER = 3, 0.25
 #: What a start tag closes when it meets it open (up to the listed stops).
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -170,6 +172,16 @@ class Page:
                 at = self.nodes[at][0]
         return {k: v * bonus.get(self.nodes[k][1], 1.0) for k, v in score.items()}
 
+    def whole(self, node: int) -> int:
+        """The nearest article around a container, or else the nearest main; the container itself without either."""
+        for tag in ("article", "main"):
+            at = node
+            while at > 0:
+                if self.nodes[at][1] == tag:
+                    return at
+                at = self.nodes[at][0]
+        return node
+
     def inside(self, roots: set[int], lost: list[bool]) -> str:
         held = [False] * len(self.nodes)
         for k in range(len(self.nodes)):
@@ -177,8 +189,8 @@ class Page:
         return "\n".join(t for node, t, _ in self.blocks if held[node] and not lost[node])
 
 
-def votes(source: str | None, most: int = 3) -> list[tuple[str, float]]:
-    """The page's best container paths with their shares of the page's score."""
+def votes(source: str | None) -> list[tuple[str, float]]:
+    """The page's container paths with their shares of the page's score."""
     if not source:
         return []
     page = Page(source)
@@ -186,25 +198,33 @@ def votes(source: str | None, most: int = 3) -> list[tuple[str, float]]:
     for k, v in page.scored(page.lost()).items():
         score[page.nodes[k][2]] = max(score.get(page.nodes[k][2], 0.0), v)
     total = sum(score.values())
-    best = sorted(score.items(), key=lambda x: (-x[1], x[0]))[:most]
-    return [(p, v / total) for p, v in best if total > 0]
+    return [(p, v / total) for p, v in sorted(score.items()) if total > 0]
 
 
-def extract_text(source: str | None, path: str | None = None) -> str:
-    """The page's article by a winning path; by its own best container if the page has no text there; then by all of its body."""
+def extract_text(source: str | None, paths: list[str] | None = None) -> str:
+    """The page's article: at the first winning path whose text covers enough of the page's own best container; by that
+    container; then by all of its body. A container stands for the article or main around it."""
     if not source:
         return ""
     page = Page(source)
     lost = page.lost()
-    if path:
-        found = page.inside({k for k, n in enumerate(page.nodes) if n[2] == path and not lost[k]}, lost)
-        if found:
+    score = page.scored(lost)
+    best = max(score, key=lambda k: (score[k], -k)) if score else None
+    own = page.inside({page.whole(best)}, lost) if best is not None else ""
+    # a body is no container of its own to hold a path against
+    least = COVER * len(own) if own and page.nodes[best][1] != "body" else 0
+    for place, path in enumerate(paths or ()):
+        if place and best is not None and page.nodes[best][2].startswith(path + "/"):
+            continue  # a runner-up around the page's own container only adds what is beside it
+        found = page.inside({page.whole(k) for k, n in enumerate(page.nodes) if n[2] == path and not lost[k]}, lost)
+        if found and len(found) >= least:
             return found
-    for marks in (True, False):
-        lost = page.lost(marks)
-        score = page.scored(lost)
-        if score:
-            return page.inside({max(score, key=lambda k: (score[k], -k))}, lost)
+    if score:
+        return own
+    lost = page.lost(False)
+    score = page.scored(lost)
+    if score:
+        return page.inside({page.whole(max(score, key=lambda k: (score[k], -k)))}, lost)
     return page.inside({0}, page.lost())
 
 
@@ -213,7 +233,7 @@ def host_of(url):
 
 
 def consensus(pages: DataFrame) -> DataFrame:
-    """(host, path): the tag-class path with most votes of each host's pages; a host of any size is summed map-side first."""
+    """(host, paths): the PATHS tag-class paths with most votes of each host's pages, best first; a host of any size is summed map-side first."""
 
     def run(batches):
         for b in batches:
@@ -227,16 +247,17 @@ def consensus(pages: DataFrame) -> DataFrame:
 
     found = pages.select(host_of("url").alias("host"), "html").mapInArrow(run, "host string, path string, votes long")
     summed = found.groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    best = summed.groupBy("host").agg(F.max(F.struct("votes", "path")).alias("b"))
-    return best.select("host", F.col("b.path").alias("path"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy(F.desc("votes"), F.desc("path")))
+    best = summed.withColumn("place", place).where(F.col("place") <= PATHS).groupBy("host").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("b"))
+    return best.select("host", F.col("b.path").alias("paths"))
 
 
 def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Rows of pages (columns `keep`; all but html by default) with text and n_chars.
 
     First pass: each page's containers are scored and vote for their generalised tag-class path; votes are summed by host.
-    Second pass: each page is extracted at its host's winning path, or at its own best container where the page has
-    no text there. The host table is broadcast only if it was counted and is small; else the join shuffles by host.
+    Second pass: each page is extracted at a winning path of its host, or at its own best container where those have
+    little of its text. The host table is broadcast only if it was counted and is small; else the join shuffles by host.
 
     null and empty html give empty text and 0; pages without a usable url share one host; columns named text or n_chars
     are replaced; repeated rows stay; an empty table stays empty; nothing is cut.
@@ -244,7 +265,7 @@ def extract(pages: DataFrame, keep: list[str] | None = None) -> DataFrame:
     keep = [c for c in (pages.columns if keep is None else keep) if c not in ("text", "n_chars", "html")]
     hosts = materialise(consensus(pages), "hosts")
     wide = checked_join(pages.select(host_of("url").alias("host"), F.col("html").alias("_html"), *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)]), hosts, "host", "left", 300)
-    wide = wide.select("_html", "path", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    wide = wide.select("_html", "paths", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
     schema = T.StructType([wide.schema[c] for c in keep] + [T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batches):
