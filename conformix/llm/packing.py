@@ -7,7 +7,6 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,21 +26,23 @@ WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-ö
 
 
 class WordTokens:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes. Words are tokenised once and looked up after that;
-    texts outside PLAIN, or that spell a special token, go through the tokenizer as they are."""
+    """Ids of whole texts as little-endian unsigned 32-bit bytes. Words go through the tokenizer's model once and are looked
+    up after that; texts outside PLAIN, or that spell a special token, go through the whole tokenizer as they are."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache, self.limit = Tokenizer.from_file(path), {}, limit
+        self.model, split = self.tokenizer.model, self.tokenizer.pre_tokenizer
+        # the spelling that the model gets for letters beyond ASCII, as the tokenizer's own first step gives it
+        self.spelling = {c: split.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
 
-    def learn(self, words: list[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         if len(self.cache) + len(words) > self.limit:
             self.cache.clear()
-        for start in range(0, len(words), 1000):
-            part = words[start : start + 1000]
-            for word, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[word] = np.array(e.ids, "<u4").tobytes()
+        ids = self.model.tokenize
+        for word in words:
+            self.cache[word] = np.array([x.id for x in ids(word.translate(self.spelling))], "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):
@@ -50,14 +51,22 @@ class WordTokens:
         try:
             return b"".join(map(self.cache.__getitem__, words))
         except KeyError:
-            new = {w for w in words if w not in self.cache}
-            before = len(self.cache)
-            self.learn(sorted(new))
-            if len(self.cache) < before:
-                self.learn(sorted(set(words) - self.cache.keys()))
+            self.learn({w for w in words if w not in self.cache})
+            if not all(map(self.cache.__contains__, words)):  # the cache was emptied to make room
+                self.learn(set(words))
             return b"".join(map(self.cache.__getitem__, words))
 
 
+_kept: dict[str, WordTokens] = {}
+
+
+def word_tokens(path: str) -> WordTokens:
+    """The tokenizer and its word cache, kept while the worker process lives."""
+    if path not in _kept:
+        _kept[path] = WordTokens(path)
+    return _kept[path]
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -71,7 +80,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, key:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = WordTokens(path or tokenizer_path())
+        tok = word_tokens(path or tokenizer_path())
         for b in batches:
             rows: list[tuple] = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1)):
