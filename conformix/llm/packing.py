@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import bisect
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -25,36 +26,37 @@ PLAIN = re.compile("[\t\n\v\f\r\x20-\x7eÀ-ÖØ-öø-ÿ]*")
 WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-zß-öø-ÿ0-9]+")
 
 
+class WordIds(dict):
+    """Ids of words as little-endian unsigned 32-bit bytes; a word goes through the tokenizer's model when first asked for."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenize = tokenizer.model.tokenize
+        # the spelling that the model gets for letters beyond ASCII, as the tokenizer's own first step gives it
+        self.spelling = {c: tokenizer.pre_tokenizer.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
+
+    def __missing__(self, word: str) -> bytes:
+        ids = [x.id for x in self.tokenize(word if word.isascii() else word.translate(self.spelling))]
+        self[word] = out = struct.pack(f"<{len(ids)}I", *ids)
+        return out
+
+
 class WordTokens:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes. Words go through the tokenizer's model once and are looked
-    up after that; texts outside PLAIN, or that spell a special token, go through the whole tokenizer as they are."""
+    """Ids of whole texts as bytes, word by word; texts outside PLAIN, or that spell a special token, go through the whole
+    tokenizer as they are."""
 
     def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.cache, self.limit = Tokenizer.from_file(path), {}, limit
-        self.model, split = self.tokenizer.model, self.tokenizer.pre_tokenizer
-        # the spelling that the model gets for letters beyond ASCII, as the tokenizer's own first step gives it
-        self.spelling = {c: split.pre_tokenize_str(chr(c))[0][0] for c in range(0xDF, 0x100) if c != 0xF7}
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.cache) + len(words) > self.limit:
-            self.cache.clear()
-        ids = self.model.tokenize
-        for word in words:
-            self.cache[word] = np.array([x.id for x in ids(word.translate(self.spelling))], "<u4").tobytes()
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.cache = WordIds(self.tokenizer)
 
     def encode(self, text: str) -> bytes:
         if "<|" in text or not PLAIN.fullmatch(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = WORDS.findall(text.lower())
-        try:
-            return b"".join(map(self.cache.__getitem__, words))
-        except KeyError:
-            self.learn({w for w in words if w not in self.cache})
-            if not all(map(self.cache.__contains__, words)):  # the cache was emptied to make room
-                self.learn(set(words))
-            return b"".join(map(self.cache.__getitem__, words))
+        if len(self.cache) > self.limit:
+            self.cache.clear()
+        return b"".join(map(self.cache.__getitem__, WORDS.findall(text.lower())))
 
 
 _kept: dict[str, WordTokens] = {}
