@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 BROADCAST_BYTES = 8 << 20
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of an Arrow batch that a write hands to Python at once, so that wide rows do not fill a worker.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,20 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir names no shared folder")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
         base = sc.getCheckpointDir()
     return base.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    Shuffle files of the write are removed with it, so that only the table itself stays on disk. batch_rows bounds the
-    rows of an Arrow batch where they are large.
+    Shuffle files of the write are removed with it, so that only the table itself stays on disk. Arrow batches of
+    the write are bounded by their bytes, not by their rows alone.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/conformix/{name}-{uuid.uuid4().hex}"
-    own = {CLEANUP: "true"} | ({BATCH: str(batch_rows)} if batch_rows else {})
+    own = {CLEANUP: "true", BATCH: str(BATCH_BYTES)}
     before = {k: spark.conf.get(k, None) for k in own}
     for k, v in own.items():
         spark.conf.set(k, v)
