@@ -64,7 +64,7 @@ def dedup_rows(docs, length):
     return out
 
 
-def katz_rows(docs, held, min_count=2, top=5):
+def katz_rows(docs, held, min_count=1, top=5):
     """docs: {id: text}, held: set of ids; {id: (n_tokens, n_known, base, score)} and a function P(word | history)."""
     from collections import Counter, defaultdict
     from math import log10
