@@ -41,7 +41,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     for k, v in own.items():
         spark.conf.set(k, v)
     try:
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
