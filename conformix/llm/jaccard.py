@@ -1,19 +1,23 @@
-"""N-gram Jaccard join: partition signatures for candidates, then a blocked sparse matrix product of sets by n-grams."""
+"""N-gram Jaccard join: a blocked sparse matrix product of sets by n-grams, rare columns first, bounded by sizes."""
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conformix.llm.common import chunks, components, materialise, mix, tasks, words_of
+from conformix.llm.common import components, discard, materialise, mix, tasks, words_of
+from conformix.llm.exchange import ROWS_SQL, answers, asking, by_value, chunked, each, joined, numbers, packed, summed
 
 _U = np.uint64
 #: Sets of one side of a tile of the matrix product.
 BLOCK = 1024
-#: Parts beyond the most that may differ, so that a similar pair agrees on a part that is not empty.
-SPARE = 3
+#: Text bytes of a chunk whose sets are stored in one row, and of which one part counts the n-grams.
+CHUNK_BYTES, PART_BYTES = 4 << 20, 6 << 20
+#: Kinds of rows between chunks and parts.
+ASK, TOLD, SETS = range(3)
 
 
 def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
@@ -32,52 +36,22 @@ def shingle_sets(texts: list[bytes | None], width: int) -> list[np.ndarray]:
         if hi - lo >= width:
             out.append(np.unique(gram[lo : hi - width + 1]))
         elif hi > lo:
-            h = _U(hi - lo)
+            h = np.array([hi - lo], _U)
             for w in words[lo:hi]:
-                h = mix(np.array([h * _U(3) + w], _U))[0]
-            out.append(np.array([h], _U))
+                h = mix(h * _U(3) + w)
+            out.append(h)
         else:
             out.append(np.zeros(0, _U))
     return out
 
 
-class Scheme:
-    """Size classes and numbers of parts for sets with 100 * intersection >= percent * union.
+def first_grams(n: int, percent: int) -> int:
+    """How many n-grams of a set of n come first: two sets that link share one of those, in any order common to both.
 
-    Sizes of a linked pair differ by the factor percent / 100 at most, so both lie in one of the overlapping classes
-    [edge i, edge i+2). There at most `differ` n-grams are in one set only. Dealing n-grams by hash over
-    differ + SPARE parts leaves SPARE parts or more that are equal in both sets; sets with SPARE or more empty
-    parts also offer those, so no linked pair is lost.
+    100 * intersection >= percent * union needs an intersection of percent / 100 * n at least, so that a set of n that
+    shares none of its first n - ceil(percent * n / 100) + 1 n-grams has too few left.
     """
-
-    def __init__(self, percent: int):
-        self.percent = percent
-        edges = [1]
-        while edges[-1] < 1 << 40:
-            edges.append(max(edges[-1] + 1, edges[-1] * 100 // percent + 1))
-        self.edges = np.array(edges, np.int64)
-
-    def classes(self, n: int) -> list[int]:
-        at = int(np.searchsorted(self.edges, n, side="right")) - 1
-        return [at - 1, at] if at else [0]
-
-    def parts(self, c: int) -> int:
-        top = int(self.edges[c + 2]) - 1
-        t = self.percent
-        # |A ^ B| <= (|A| + |B|) (1 - t) / (1 + t), and never more than if the smaller set lies in the larger
-        return 2 * top * (100 - t) // (100 + t) + SPARE
-
-    def signatures(self, grams: np.ndarray) -> np.ndarray:
-        n, out = len(grams), []
-        for c in self.classes(n):
-            m = self.parts(c)
-            part = (mix(grams + _U(77)) % _U(m)).astype(np.int64)
-            count = np.bincount(part, minlength=m)
-            sums = np.zeros(m, _U)
-            np.add.at(sums, part, mix(grams ^ _U(0x5851F42D4C957F2D)))
-            sig = mix(sums + mix((np.arange(m, dtype=_U) << _U(20)) + _U(c) + _U(1)))
-            out.append(sig if (count == 0).sum() >= SPARE else sig[count > 0])
-        return np.concatenate(out)
+    return n - -(-percent * n // 100) + 1
 
 
 def _entries(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -161,20 +135,23 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id"
     """(doc_id, n_shingles, component_id) of each row: sets of `width`-word shingles link at Jaccard >= percent / 100.
 
     1. Texts with the same set are one class (a hash of the whole set), held by its smallest id.
-    2. Candidates: classes that agree on a partition signature (see Scheme); an exact filter, which shared lines or
-       passages alone do not pass. Signatures are linked to their smallest class, never expanded into pairs.
-    3. Classes of a candidate group meet in tiles of the blocked matrix product, whose blocks are sorted by size so that
-       tiles whose sizes rule a link out are not made; a group of any size is dealt over as many tiles. A tile hands on
-       a spanning forest of its links.
+    2. Every n-gram of the incidence matrix is counted over all sets. A set's columns are put in order, rare ones first;
+       only its first ones (first_grams: a bound of its size) that another set has too can bring a partner, none is lost.
+       Classes of one such column are linked to a first class, never expanded into pairs.
+    3. Each class is multiplied with the one it shares most such columns with. Candidate groups that those links leave
+       in several components meet in tiles of the blocked product, whose blocks are sorted by size so that tiles whose
+       sizes rule a link out are not made, nor those of one component; a group of any size is dealt over as many tiles.
+       A tile adds up whole overlaps, drops pairs below the bound of their sizes and hands on a spanning forest.
     4. Components of the links give each document the smallest doc_id it reaches.
 
     null text, empty text and text of white space only: n_shingles 0, linked with nothing (component_id is the own
     doc_id). Repeated rows come out as often as they come in; rows with a null id have a null component unless others reach them.
-    Other columns are not looked at; an empty table gives no rows. Whole texts count, of any length.
+    Other columns are not looked at; an empty table gives no rows. Whole texts count, of any length. Words, n-grams and
+    sets are told apart by 64-bit hashes.
     """
-    known, classes, joined = _joined(docs, width, percent, key, text, block)
-    labels = joined.join(classes.hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
-    of_class = joined.join(labels.hint("merge"), "component").select("node", "component_id")
+    known, classes, linked = _joined(docs, width, percent, key, text, block)
+    labels = linked.join(classes.hint("merge"), "node").groupBy("component").agg(F.min("rep").alias("component_id"))
+    of_class = linked.join(labels.hint("merge"), "component").select("node", "component_id")
     of_class = classes.select("node", "rep").join(of_class.hint("merge"), "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
     # a hot class has one row on the right, and Spark splits its rows on the left
     found = known.where("n_shingles > 0").join(of_class.hint("merge"), "node").select("doc_id", "n_shingles", "component_id")
@@ -183,48 +160,80 @@ def join(docs: DataFrame, width: int = 3, percent: int = 90, key: str = "doc_id"
 
 def _joined(docs: DataFrame, width: int, percent: int, key: str, text: str, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Rows (doc_id, h, n_shingles, node) with a hash h of their text, classes (node, rep, h, n) and (node, component) of linked classes."""
-    raw = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("t"))
-    scheme = Scheme(percent)
+    spark = docs.sparkSession
+    raw = docs.select(F.col(text).cast("binary").alias("t"), F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.col(text).cast("binary")).alias("h"))
 
     def sets(batches):
-        for ids, texts, h in chunks(batches, 3):
+        start = TaskContext.get().partitionId() << 32
+        for seq, slices in enumerate(chunked(batches, CHUNK_BYTES)):
+            texts = [x for b in slices for x in b.column(0).to_pylist()]
             got = shingle_sets(texts, width)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(h, pa.int64()), pa.array([len(g) for g in got], pa.int64()), pa.array([set_key(g) if len(g) else None for g in got], pa.int64())], ["doc_id", "h", "n_shingles", "node"])
-
-    known = materialise(raw.withColumn("h", F.xxhash64("t")).mapInArrow(sets, "doc_id long, h long, n_shingles long, node long"), "sets")
-    # the row of a class whose n-grams are fetched: one of its smallest id, or one without an id if none has any
-    row = F.coalesce(F.min_by("h", "doc_id"), F.min("h"))
-    classes = materialise(known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), row.alias("h"), F.max("n_shingles").alias("n")), "classes")
-    links = materialise(_links(raw, classes, scheme, width, percent, block), "links")
-    return known, classes, materialise(components(links), "components")
-
-
-def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, percent: int, block: int) -> DataFrame:
-    """(a, b): links between classes that connect what all links connect."""
-    spark = raw.sparkSession
-    wide = max(tasks(spark), classes.count() // 20_000)
-
-    def signed(batches):
-        """(sig, node, low): of each signature of a chunk its first class (low is null), and its other classes linked to that one."""
-        for _, texts in chunks(batches):
-            nodes, sigs, seen = [], [], set()
-            for g in shingle_sets(texts, width):
-                if len(g) and (node := set_key(g)) not in seen:  # copies within a chunk are signed once
-                    seen.add(node)
-                    sigs.append(scheme.signatures(g).view(np.int64))
-                    nodes.append(np.full(len(sigs[-1]), node, np.int64))
-            if sigs:
-                s, n = np.concatenate(sigs), np.concatenate(nodes)
-                order = np.argsort(s, kind="stable")
-                s, n = s[order], n[order]
-                new = np.concatenate(([True], s[1:] != s[:-1]))
-                head = n[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
-                for i in range(0, len(s), 1 << 16):
-                    j = slice(i, i + (1 << 16))
-                    yield pa.RecordBatch.from_arrays([pa.array(s[j]), pa.array(n[j]), pa.array(head[j], mask=new[j])], ["sig", "node", "low"])
+            nodes = [set_key(g) if len(g) else None for g in got]
+            held = [*{node: t for node, t in zip(nodes, texts) if node is not None}.values()]  # copies within a chunk are stored once
+            listed = [[x for b in slices for x in b.column(i).to_pylist()] for i in (1, 2)] + [[len(g) for g in got], nodes]
+            made = [pa.array([x], pa.list_(pa.int64())) for x in listed] + [pa.array([np.array([len(t) for t in held], np.int64).tobytes()], pa.binary()), pa.array([b"".join(held)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([start + seq]), *made], ["chunk", "ids", "hs", "ns", "ks", "sizes", "texts"])
+
+    own = materialise(raw.mapInArrow(sets, "chunk long, ids array<long>, hs array<long>, ns array<long>, ks array<long>, sizes binary, texts binary"), "sets")
+    each_row = own.select(F.explode(F.arrays_zip("ids", "hs", "ns", "ks")).alias("r"))
+    known = materialise(each_row.select(F.col("r.ids").alias("doc_id"), F.col("r.hs").alias("h"), F.col("r.ns").alias("n_shingles"), F.col("r.ks").alias("node")), "known")
+    classes = materialise(known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    links = _links(own.select("chunk", "sizes", "texts"), classes, width, percent, block, max(tasks(spark), -(-size // PART_BYTES)))
+    discard(own)
+    linked = materialise(components(links), "components")
+    discard(links)
+    return known, classes, linked
+
+
+def _stored(sizes: bytes, texts: bytes, width: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Keys and n-grams of the sets of a chunk, from its stored texts."""
+    ends = np.cumsum(np.frombuffer(sizes, np.int64)).tolist()
+    sets = shingle_sets([texts[i:j] for i, j in zip([0, *ends], ends)], width)
+    return np.array([set_key(g) for g in sets], np.int64), sets
+
+
+def _candidates(own: DataFrame, width: int, percent: int, parts: int) -> DataFrame:
+    """(a, b, agree): classes linked to the first class of a column that both have among their first n-grams, and how often."""
+
+    def ask(batches):
+        for chunk, *texts in each(batches):
+            g, n = np.unique(np.concatenate([np.zeros(0, _U), *_stored(*texts, width)[1]]), return_counts=True)
+            yield from packed([*asking(g, parts, chunk, ASK, n)])
+
+    def total(batches):
+        for _, rows in by_value(0, each(batches)):
+            _, (n,), order, new = summed(rows[ASK], [5], numbers)
+            told = np.empty(len(order), _U)
+            told[order] = n[np.cumsum(new) - 1]
+            yield from packed([*answers(rows[ASK], TOLD, told)])
+
+    def firsts(batches):
+        """(gram, node, low): of each column of a chunk its first class (low is null), and its other classes linked to that one."""
+        for _, rows in by_value(1, each(batches)):
+            nodes, sets = _stored(*rows[SETS][0][4:6], width)
+            if not sets:
+                continue
+            sizes, g = np.array([len(x) for x in sets]), np.concatenate(sets)
+            order = np.argsort(g)
+            back = np.empty(len(g), np.int64)
+            back[order] = np.cumsum(np.concatenate(([False], g[order][1:] != g[order][:-1])))
+            df = joined(rows[TOLD], 4).astype(np.int64)[back]
+            of = np.repeat(np.arange(len(nodes)), sizes)
+            # the same order of columns everywhere: by how many sets have it, then by a hash
+            rank = np.lexsort((mix(g), df, of))
+            place = np.arange(len(g)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            take = rank[(place < np.repeat(first_grams(sizes, percent), sizes)) & (df[rank] > 1)]
+            take = take[np.argsort(g[take], kind="stable")]
+            s, n = g[take], nodes[of[take]]
+            new = np.concatenate(([True], s[1:] != s[:-1]))[: len(s)]
+            head = n[np.maximum.accumulate(np.where(new, np.arange(len(s)), 0))]
+            for i in range(0, len(s), 1 << 16):
+                j = slice(i, i + (1 << 16))
+                yield pa.RecordBatch.from_arrays([pa.array(s[j].view(np.int64)), pa.array(n[j]), pa.array(head[j], mask=new[j])], ["gram", "node", "low"])
 
     def starred(batches):
-        """Classes of one signature, linked to its first class; rows come sorted by signature."""
+        """Classes of one column, linked to its first class; rows come sorted by column."""
         last_sig, last = None, None
         for b in batches:
             s, n = (b.column(k).to_numpy() for k in (0, 1))
@@ -241,11 +250,26 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
                 last_sig, last = s[-1], head[-1]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    # a signature has one row a chunk at most, however many classes share it; the sort is by signature within a task
-    dealt = raw.mapInArrow(signed, "sig long, node long, low long").repartition(wide, "sig").sortWithinPartitions("sig")
-    star = materialise(dealt.mapInArrow(starred, "a long, b long").where("a <> b").distinct(), "star")
-    groups = materialise(components(star), "groups").withColumnRenamed("component", "grp")
+    told = own.mapInArrow(ask, ROWS_SQL).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(total, ROWS_SQL)
+    told = materialise(told, "told")
+    whole = own.select(F.lit(None).cast("int").alias("part"), "chunk", F.lit(SETS).alias("kind"), F.lit(0).alias("seq"), F.col("sizes").alias("x"), F.col("texts").alias("y"), F.lit(None).cast("binary").alias("z"))
+    dealt = told.union(whole).repartition(parts, "chunk").sortWithinPartitions("chunk")
+    columns = materialise(dealt.mapInArrow(firsts, "gram long, node long, low long"), "columns")
+    discard(told)
+    # a column has one row a chunk at most that is not linked yet, however many classes have it
+    star = columns.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(starred, "a long, b long")
+    star = materialise(star.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("agree")), "star")
+    discard(columns)
+    return star
 
+
+def _links(own: DataFrame, classes: DataFrame, width: int, percent: int, block: int, wide: int) -> DataFrame:
+    """(a, b): links between classes that connect what all links connect."""
+    star = _candidates(own, width, percent, wide)
+    bags = _bags(own, star, width)
+    sure = materialise(_products(_towards(star, block), bags, percent, wide), "sure")
+    groups = _open(components(star), sure)
+    discard(star)
     # blocks of a group by size: the place of a size in its group comes from sums by size, so no group is sorted in one task
     load, most = F.col("n") + 400, block * 800
     member = groups.join(classes.hint("merge"), "node")
@@ -254,21 +278,61 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
     starts = by_size.withColumn("before", before)
     span = F.floor((F.col("before") + F.col("c") - 1) / most) - F.floor(F.col("before") / most) + 1
     spread = member.join(starts.hint("merge"), ["grp", "n"]).withColumn("blk", (F.floor(F.col("before") / most) + F.pmod(F.xxhash64("node"), span)).cast("long"))
-    spread = materialise(spread.select("node", "rep", "h", "n", "grp", "blk"), "members")
-    one = spread.groupBy("grp", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    two = one.select("grp", F.col("blk").alias("blk2"), F.col("lo").alias("lo2"))
-    tiles = one.join(two.hint("merge"), "grp").where((F.col("blk") <= F.col("blk2")) & (F.col("hi") * 100 >= F.col("lo2") * percent))
-    ends = materialise(tiles.select("grp", F.explode(F.array_distinct(F.array("blk", "blk2"))).alias("at"), F.col("blk").alias("tile1"), F.col("blk2").alias("tile2")).withColumnRenamed("at", "blk"), "tiles")
-
-    def grams(batches):
-        for _, texts in chunks(batches):
-            got = [g for g in shingle_sets(texts, width) if len(g)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(g) for g in got], pa.int64()), pa.array([g.tobytes() for g in got], pa.binary())], ["node", "grams"])
-
-    asked = spread.select("rep", F.col("h").alias("rep_h")).distinct()
-    held = raw.withColumn("h", F.xxhash64("t")).join(asked.hint("merge"), F.col("doc_id").eqNullSafe(F.col("rep")) & (F.col("h") == F.col("rep_h")), "left_semi").select("doc_id", "t")
-    bags = materialise(held.mapInArrow(grams, "node long, grams binary"), "grams").dropDuplicates(["node"])
-    placed = spread.join(bags.hint("merge"), "node").join(ends.hint("merge"), ["grp", "blk"]).select("grp", "tile1", "tile2", "blk", "node", "grams")
+    spread = materialise(spread.select("node", "n", "grp", "comp", "blk"), "members")
+    one = spread.groupBy("grp", "blk").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    two = one.select("grp", *[F.col(c).alias(f"{c}_") for c in ("blk", "lo", "c1", "c2")])
+    # a tile whose sets are linked with each other already has nothing to find
+    fresh = (F.least("c1", "c1_") < F.greatest("c2", "c2_")) & (F.col("hi") * 100 >= F.col("lo_") * percent)
+    tiles = one.join(two.hint("merge"), "grp").where((F.col("blk") <= F.col("blk_")) & fresh)
+    ends = tiles.select("grp", F.explode(F.array_distinct(F.array("blk", "blk_"))).alias("at"), F.col("blk").alias("tile1"), F.col("blk_").alias("tile2")).withColumnRenamed("at", "blk")
+    ends = materialise(ends, "tiles")
+    placed = spread.join(ends.hint("merge"), ["grp", "blk"]).select("grp", "tile1", "tile2", "blk", "node")
+    found = materialise(_products(placed, bags, percent, wide), "found")
+    links = materialise(sure.union(found), "links")
+    discard(groups, spread, ends, bags, sure, found)
+    return links
+
+
+def _bags(own: DataFrame, star: DataFrame, width: int) -> DataFrame:
+    """(node, grams): the n-grams of each class that has a candidate."""
+
+    def split(batches):
+        for texts in each(batches):
+            nodes, sets = _stored(*texts, width)
+            for i in range(0, len(nodes), 1000):
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 1000]), pa.array([g.tobytes() for g in sets[i : i + 1000]], pa.binary())], ["node", "grams"])
+
+    some = materialise(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), "some")
+    sets = own.select("sizes", "texts").mapInArrow(split, "node long, grams binary")
+    bags = materialise(sets.join(some.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "grams")
+    discard(some)
+    return bags
+
+
+def _towards(star: DataFrame, block: int) -> DataFrame:
+    """Each class placed with the class that agrees with it on most signatures: one tile a block of such followers."""
+    best = star.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", F.col("m.b").alias("head"))
+    tile = F.pmod(F.xxhash64("a", F.lit(3)), F.ceil(F.col("c") / block)).cast("long")
+    at = best.join(best.groupBy("head").agg(F.count("*").alias("c")).hint("merge"), "head").select("a", "head", tile.alias("tile"))
+    two = F.lit(1).cast("long")
+    led = at.select(F.col("head").alias("grp"), "tile", F.lit(0).cast("long").alias("blk"), F.col("head").alias("node")).distinct()
+    both = led.union(at.select("head", "tile", two, "a"))
+    return both.select("grp", (-1 - F.col("tile")).alias("tile1"), two.alias("tile2"), F.when(F.col("blk") == 0, -1 - F.col("tile")).otherwise(two).alias("blk"), "node")
+
+
+def _open(candidates: DataFrame, sure: DataFrame) -> DataFrame:
+    """(node, grp, comp) of candidate groups that the links found so far leave in more than one component."""
+    found = materialise(components(sure), "partial").select("node", F.col("component").alias("comp"))
+    at = candidates.withColumnRenamed("component", "grp").join(found.hint("merge"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    at = materialise(at, "groups")
+    many = at.groupBy("grp").agg((F.min("comp") < F.max("comp")).alias("many")).where("many").select("grp")
+    out = materialise(at.join(many.hint("merge"), "grp"), "open")
+    discard(at, found)
+    return out
+
+
+def _products(placed: DataFrame, bags: DataFrame, percent: int, wide: int) -> DataFrame:
+    """(a, b): links of the tiles (grp, tile1, tile2) of the blocked product, as a spanning forest a tile."""
 
     def run(batches):
         """Tiles of a task one after another, from rows sorted by tile."""
@@ -292,7 +356,8 @@ def _links(raw: DataFrame, classes: DataFrame, scheme: Scheme, width: int, perce
         if now is not None:
             yield close()
 
-    dealt = placed.repartition(wide, "grp", "tile1", "tile2").sortWithinPartitions("grp", "tile1", "tile2")
+    full = placed.join(bags.hint("merge"), "node").select("grp", "tile1", "tile2", "blk", "node", "grams")
+    dealt = full.repartition(wide, "grp", "tile1", "tile2").sortWithinPartitions("grp", "tile1", "tile2")
     return dealt.mapInArrow(run, "a long, b long")
 
 
@@ -300,16 +365,17 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc
     """Rows of docs, one of each component: the smallest key's, rows without a key last, and of its texts that of the smallest
     hash. Of repeated rows of a key and text one stays, chosen by a hash of all columns. Rows without words all stay.
     """
-    known, _, joined = _joined(docs, width, percent, key, text, BLOCK)
-    rows = known.where("n_shingles > 0").join(joined.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    known, _, linked = _joined(docs, width, percent, key, text, BLOCK)
+    rows = known.where("n_shingles > 0").join(linked.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     per = materialise(rows.groupBy("component", "doc_id", "h").agg(F.count("*").alias("copies")), "per")
     best = per.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("best"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("h") == F.col("best.h"))
     state = per.join(best.hint("merge"), "component").select(F.col("doc_id").alias("_id"), F.col("h").alias("_hash"), stays.alias("_stays"), "copies")
     state = materialise(state.where("not _stays or copies > 1").select("_id", "_hash", "_stays"), "state")
-    mine = F.col(key).cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col(text).cast("binary")) == F.col("_hash"))
+    # whole rows travel as one struct, so that no column of docs can clash
+    wide = docs.select(F.struct(*docs.columns).alias("r"), F.col(key).cast("long").alias("id"), F.xxhash64(F.col(text).cast("binary")).alias("hash"))
     # rows to drop are few columns wide on the right; a kept row that is repeated is reduced map-side first
-    found = docs.join(state.hint("merge"), mine, "left").where("_stays is null or _stays")
-    once = found.where("_stays is null").select(*docs.columns)
-    repeated = found.where("_stays").groupBy("_id", "_hash").agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("r"))
+    found = wide.join(state.hint("merge"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("hash") == F.col("_hash")), "left").where("_stays is null or _stays")
+    once = found.where("_stays is null").select("r.*")
+    repeated = found.where("_stays").groupBy("_id", "_hash").agg(F.min_by("r", F.xxhash64("r")).alias("r"))
     return once.union(repeated.select("r.*"))
