@@ -7,13 +7,56 @@ same_layer, different_layer, same_system, different_system. Leaves of one node a
 from __future__ import annotations
 
 import re
+import re._parser as _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ENTITY_KEYS = ("layer_regex", "layer_equals", "layer_contains", "entity_type", "system", "text_regex")
-PAIR_KEYS = ("same_layer", "different_layer", "same_system", "different_system")
 MATCH_CHARS, DEPTH = 2000, 16
+#: Longest pattern, since a pattern runs once an entity.
+PATTERN_CHARS = 500
+
+
+def _is_text(v) -> bool:
+    return isinstance(v, str) and v != ""
+
+
+def _is_words(v) -> bool:
+    return bool(v) and all(map(_is_text, _words(v))) if isinstance(v, (str, list, tuple)) else False
+
+
+def regex_fault(pattern: str) -> str | None:
+    """Why a pattern must not run: too long, not a pattern, or a repeat without end inside another, which backtracks without end."""
+    if not _is_text(pattern) or len(pattern) > PATTERN_CHARS:
+        return f"has to be text of {PATTERN_CHARS} characters at most"
+    try:
+        tree = _parser.parse(pattern)
+    except (re.error, OverflowError, RecursionError) as e:
+        return str(e)
+    return "repeats without end inside a repeat without end" if _repeats(tree, False) else None
+
+
+def _repeats(tree, inside: bool) -> bool:
+    """A repeat without end lies inside another one (or in `inside`)."""
+    for op, arg in tree:
+        endless = op in (_parser.MAX_REPEAT, _parser.MIN_REPEAT) and arg[1] == _parser.MAXREPEAT
+        if endless and inside:
+            return True
+        parts = arg[-1] if op is _parser.BRANCH else [x for x in arg if isinstance(x, _parser.SubPattern)] if isinstance(arg, tuple) else []
+        if any(_repeats(x, inside or endless) for x in parts if x is not None):
+            return True
+    return False
+
+
+#: Leaves of each kind of tree: what a leaf holds, said and checked.
+LEAVES = {
+    "entity": {
+        **dict.fromkeys(("layer_equals", "layer_contains"), ("text", _is_text)),
+        **dict.fromkeys(("layer_regex", "text_regex"), ("a usable pattern", lambda v: regex_fault(v) is None)),
+        **dict.fromkeys(("entity_type", "system"), ("a word or a list of words", _is_words)),
+    },
+    "pair": dict.fromkeys(("same_layer", "different_layer", "same_system", "different_system"), ("true or false", lambda v: isinstance(v, bool))),
+}
 
 
 class PredicateError(ValueError):
@@ -24,35 +67,34 @@ def _words(v) -> list[str]:
     return [v] if isinstance(v, str) else list(v)
 
 
-def validate(node, kind: str = "entity", depth: int = 0) -> None:
-    keys = ENTITY_KEYS if kind == "entity" else PAIR_KEYS
-    if depth > DEPTH:
-        raise PredicateError(f"nested deeper than {DEPTH}")
-    if not isinstance(node, dict) or not node:
-        raise PredicateError("a predicate is a non-empty object")
-    for k, v in node.items():
-        if k in ("and", "or"):
-            if not isinstance(v, list) or not v:
-                raise PredicateError(f"{k} needs a non-empty list")
-            for x in v:
-                validate(x, kind, depth + 1)
-        elif k == "not":
-            validate(v, kind, depth + 1)
-        elif k not in keys:
-            raise PredicateError(f"unknown key {k}")
-        elif kind == "pair":
-            if not isinstance(v, bool):
-                raise PredicateError(f"{k} is true or false")
-        elif k in ("entity_type", "system"):
-            if not _words(v) or not all(isinstance(x, str) and x for x in _words(v)):
-                raise PredicateError(f"{k} is a word or a list of words")
-        elif not isinstance(v, str) or not v:
-            raise PredicateError(f"{k} is text")
-        elif k.endswith("_regex"):
-            try:
-                re.compile(v)
-            except re.error as e:
-                raise PredicateError(f"{k}: {e}") from None
+def faults(tree, kind: str = "entity") -> list[str]:
+    """What is wrong with a predicate tree, from a walk over its nodes level by level."""
+    wrong, level = [], [tree]
+    for _ in range(DEPTH + 1):
+        below = []
+        for node in level:
+            if not isinstance(node, dict) or not node:
+                wrong.append("a predicate is an object with something in it")
+                continue
+            for key, held in node.items():
+                if key == "not":
+                    below.append(held)
+                elif key in ("and", "or"):
+                    below += held if isinstance(held, list) else []
+                    if not isinstance(held, list) or not held:
+                        wrong.append(f"{key} joins a list of predicates")
+                elif key not in LEAVES[kind]:
+                    wrong.append(f"{key} is no word of a predicate")
+                elif not LEAVES[kind][key][1](held):
+                    wrong.append(f"{key} has to be {LEAVES[kind][key][0]}" + (f": {regex_fault(held)}" if key.endswith("_regex") else ""))
+        level = below
+    return wrong + [f"more than {DEPTH} levels"] * bool(level)
+
+
+def validate(tree, kind: str = "entity") -> None:
+    """PredicateError with the faults of a tree, if it has any."""
+    if wrong := faults(tree, kind):
+        raise PredicateError("; ".join(wrong))
 
 
 def describe(node: dict) -> str:

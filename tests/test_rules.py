@@ -30,6 +30,21 @@ def test_templates_number_their_rules():
     assert made["id"] == "MAX-LENGTH-002" and made["operator"] == "<="
 
 
+@pytest.mark.parametrize("pattern", ["(a+)+$", "(?:x*y?)*z", "((a|b)*c)*", "a" * 501, "(", "(?:(?:a+)b)*"])
+def test_patterns_that_must_not_run(pattern):
+    with pytest.raises(P.PredicateError):
+        P.validate({"layer_regex": pattern})
+    assert P.faults({"and": [{"layer_regex": "^[A-Z]+-[0-9]{1,3}.*$"}]}) == []
+
+
+def test_sets_of_rules():
+    made = R.normalise_set({"systems": [{"name": "S", "layer_regex": "^S"}], "rules": [rule(), rule(id="Y", name=" ")]})
+    assert [r["id"] for r in made.rules] == ["X", "Y"] and made.rules[1]["name"] == "Y"
+    with pytest.raises(R.RuleError) as e:
+        R.normalise_set({"systems": [{"name": "S", "layer_regex": "(a+)+"}], "rules": [rule(), rule(), rule(id="?"), {"id": "C", "measurement": "connectivity", "subject": {"system": "S"}}]})
+    assert len(e.value.errors) == 4
+
+
 def test_predicate_text_opt_in():
     assert P.mentions_text({"or": [{"layer_equals": "A"}, {"text_regex": "x"}]})
     assert not P.mentions_text({"not": {"text_regex": "x"}})
