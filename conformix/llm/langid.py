@@ -98,8 +98,9 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     of any length are read. Columns named lang_pred or score are replaced. Repeated rows stay; empty tables stay empty.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    wide = docs.select(F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_letters"), F.col(text).cast("binary").alias("_bytes"), *keep)
-    schema = T.StructType([wide.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    wide = docs.select(F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_letters"), F.col(text).cast("binary").alias("_bytes"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    names = [f"k{i}" for i in range(len(keep))]
+    schema = T.StructType([wide.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for b in batches:
@@ -111,6 +112,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
                     p = model.scores(presence(part.column(1).take(pa.array(ok)).to_pylist()))
                     for j, k, s in zip(ok, p.argmax(axis=1), p.max(axis=1)):
                         named[j], top[j] = model.langs[k], min(1.0, float(s))
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(named, pa.string()), pa.array(top, pa.float64())], [*keep, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(named, pa.string()), pa.array(top, pa.float64())], [*names, "lang_pred", "score"])
 
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "lang_pred", "score")

@@ -80,19 +80,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     (a source of any size is dealt over blocks), then the few undecided units of a source's blocks together in rounds,
     then the landing of at most two units a source. Word and document totals of a source so stay near their expectation.
 
-    null text has size 0 and takes nothing (taken = 0, but may have copies); a null source is a source of its own, last
+    A text of any length is one unit; a null key is a value like others. null text has size 0 and takes nothing (taken = 0, but may have copies); a null source is a source of its own, last
     in order; repeated rows are units of their own; an empty table gives an empty table. Source totals (one row per
     source) are the only thing that reaches the driver. Draws depend on keys and content alone, so reruns agree.
     """
     spark = docs.sparkSession
-    own = ["size", "source_size", "target", "copies", "taken", "_u", "_p", "_b", "_n"]
-    base = docs.drop(*own)
+    own = ["size", "source_size", "target", "copies", "taken"]
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
     words = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.expr(f"filter(split(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"))).cast("long")
     # a unit is a distinct (key, text); repeated rows of it are told apart by their number
     unit = F.xxhash64(F.col(key).cast("string"), F.col(text), F.col(source))
-    sized = base.withColumn("size", words).withColumn("_h", unit)
-    slim = materialise(sized.groupBy("_h", source, "size").agg(F.count("*").alias("_n")), "units")
-    per = slim.groupBy(source).agg(F.sum(F.col("size") * F.col("_n")).alias("s"), F.sum("_n").alias("n")).collect()
+    # a row's own columns travel as one struct, so that none can clash
+    sized = docs.select(F.struct(*kept).alias("_row"), F.col(source).cast("string").alias("_of"), words.alias("size"), unit.alias("_h"))
+    slim = materialise(sized.groupBy("_h", "_of", "size").agg(F.count("*").alias("_n")), "units")
+    per = slim.groupBy("_of").agg(F.sum(F.col("size") * F.col("_n")).alias("s"), F.sum("_n").alias("n")).collect()
     goal = targets([(r[0], r[1]) for r in per], weights, cap)
     rates = [(r[0], int(r[1]), float(goal[r[0]]), min(cap, goal[r[0]] / r[1]) if r[1] else 0.0, max(1, -(-2 * r[2] // block))) for r in per]
     schema = T.StructType([T.StructField("_src", T.StringType()), T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()), T.StructField("_r", T.DoubleType()), T.StructField("_b", T.LongType())])
@@ -100,14 +101,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     rate = rate.hint("broadcast") if len(rates) <= 50_000 else rate.hint("merge")
 
     def rated(df):
-        return df.join(rate, F.col(source).eqNullSafe(F.col("_src")), "left")
+        return df.join(rate, F.col("_of").eqNullSafe(F.col("_src")), "left")
 
     units = rated(slim).select("_h", "size", F.col("_src"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_i"), (F.col("_r") - F.floor("_r")).alias("_p"), F.pmod(F.xxhash64("_h", F.lit(7)), F.col("_b")).alias("_b"))
     state = "_h long, size long, _src string, _i long, _p double"
 
     def fly(last):
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values(["_h", "_i"], kind="stable")
+            # large units first, so that what is left to land is small
+            pdf = pdf.sort_values(["size", "_h", "_i"], ascending=[False, True, True], kind="stable")
             seed = int(np.bitwise_xor.reduce(pdf["_h"].to_numpy().view(np.uint64))) & 0x7FFFFFFF
             return pdf.assign(_p=flight(pdf["_p"].to_numpy(), pdf["size"].to_numpy().astype(float), seed, last))[["_h", "size", "_src", "_i", "_p"]]
 
@@ -143,7 +145,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     else:
         numbered = numbered.withColumn("_j", F.lit(1))
     out = rated(numbered).join(extra.hint("merge"), "_h", "left").withColumn("copies", (F.floor("_r") + F.coalesce(F.get("_x", F.col("_j") - 1)["p"], F.lit(0))).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*base.columns, "size", "source_size", "target", "copies", "taken")
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select("_row.*", "size", "source_size", "target", "copies", "taken")
 
 
 def resample(docs: DataFrame) -> DataFrame:

@@ -127,12 +127,13 @@ def score(docs: DataFrame, model: FactorisationMachine | None, text: str = "text
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
     chars = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None)
-    wide = docs.select(F.col(text).cast("binary").alias("_t"), chars.cast("long").alias("_n"), *keep)
-    fields = ", ".join(f"`{c}` {wide.schema[c].dataType.simpleString()}" for c in keep)
+    wide = docs.select(F.col(text).cast("binary").alias("_t"), chars.cast("long").alias("_n"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    names = [f"k{i}" for i in range(len(keep))]
+    fields = "".join(f"{c} {wide.schema[c].dataType.simpleString()}, " for c in names)
 
     def run(batches):
         for part, x in _featured(batches):
             s = np.full(len(x), 0.5) if model is None else np.clip(model.score(x).astype(float), 0, 1)
-            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], [*keep, "score", "predicted"])
+            yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], [*names, "score", "predicted"])
 
-    return wide.mapInArrow(run, f"{fields}, score double, predicted int")
+    return wide.mapInArrow(run, f"{fields}score double, predicted int").select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "score", "predicted")

@@ -230,15 +230,17 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     ones, go through construct(), group by group, which compares bytes.
 
     null text counts as empty: 0 bytes, nothing removed, the hash of nothing, kept null. Texts shorter than `length`
-    stay whole; repeated rows are places of their own; an empty table gives no rows; columns with the names of the new
+    stay whole; longer ones are read in whole, of any length; repeated rows are places of their own; a null key is a value
+    like others; rows are told apart by a 64-bit hash of key and text; an empty table gives no rows; columns with the names of the new
     ones are replaced.
     """
     new = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
     keep = [c for c in (docs.columns if keep is None else keep) if c not in new]
     spans = repeated_spans(docs, key, text, length, gram, group)
-    wide = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_row"), F.col(text).cast("binary").alias("_t"), *keep)
-    wide = wide.join(spans.hint("merge"), "_row", "left").select("_t", "spans", *keep)
-    schema = T.StructType([wide.schema[c] for c in keep] + [T.StructField(n, t) for n, t in zip(new, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType()))])
+    wide = docs.select(F.xxhash64(F.col(key).cast("string"), F.col(text)).alias("_row"), F.col(text).cast("binary").alias("_t"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
+    names = [f"k{i}" for i in range(len(keep))]
+    wide = wide.join(spans.hint("merge"), "_row", "left").select("_t", "spans", *names)
+    schema = T.StructType([wide.schema[c] for c in names] + [T.StructField(n, t) for n, t in zip(new, (T.LongType(), T.LongType(), T.LongType(), T.StringType(), T.BinaryType()))])
 
     def run(batches):
         for b in batches:
@@ -260,9 +262,9 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                         at = end
                     rest = None if t is None else t if not found else b"".join(left) + t[at:]
                     out.append((len(t or b""), gone, runs, hashlib.sha256(rest or b"").hexdigest(), rest))
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], [*keep, *new])
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], [*names, *new])
 
-    return wide.mapInArrow(run, schema)
+    return wide.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *new)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
