@@ -20,13 +20,17 @@ NOISE = frozenset(
     "footer cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login form search share sharing social related recommended comments comment "
     "commentlist disqus respond reply replies discussion pagination pager toolbar copyright legal disclaimer skip".split()
 )
+#: Those of the words that a layout also gives to a container of the article itself.
+SOFT = frozenset("form header legal login masthead modal overlay rail search share sharing social widget".split())
+#: An element marked by such words only, or a form, is passed if it has so much text, and so many times that of all the rest.
+LEAST, MOST = 200, 2.0
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 RAW = "script|style|noscript|template|iframe|svg|textarea|title|select|canvas"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var nobr ruby rt rp wbr br img math semantics mrow mi mn mo mtext mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mpadded mfenced".split())
 CONTAINERS = frozenset("body main article section div td center blockquote".split())
 #: Paths kept of a host, and the share of a page's own best container that a path's text must reach to be taken.
-PATHS, COVER = 3, 0.25
+PATHS, COVER = 3, 0.25  # a page on none of them is extracted at its own best container, so nothing is lost by the number
 #: What a start tag closes when it meets it open (up to the listed stops).
 CLOSES = {"li": ({"li"}, {"ul", "ol"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 
@@ -39,17 +43,18 @@ SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 SPACE = re.compile(r"\s+")
 
 
-def _traits(tag: str, raw: str) -> tuple[str, bool, bool]:
-    """(generalised tag-class step of a path, marked as noise by its class or role, hidden)."""
-    name, noise, hidden = "", False, False
+def _traits(tag: str, raw: str) -> tuple[str, int, bool]:
+    """(generalised tag-class step of a path, marked as noise by its class or role: 1 by soft words only, hidden)."""
+    name, noise, hidden = "", 0, False
     for m in ATTR.finditer(raw) if raw else ():
         key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if key == "class":
-            name = ".".join(sorted({re.sub(r"\d+", "", x.lower()) for x in value.split()} - {""})[:3])
-        if key in ("class", "id") and any(x.lower() in NOISE for x in SPLIT.split(value)):
-            noise = True
+            name = ".".join(sorted({re.sub(r"\d+", "", x.lower()) for x in value.split()} - {""}))
+        if key in ("class", "id"):
+            found = {x.lower() for x in SPLIT.split(value)} & NOISE
+            noise = max(noise, 2 if found - SOFT else 1 if found else 0)
         elif key == "role" and value.lower() in ROLES:
-            noise = True
+            noise = max(noise, 1 if value.lower() in SOFT else 2)
         elif key == "hidden" or key == "aria-hidden" and value.lower() == "true":
             hidden = True
     return (f"{tag}.{name}" if name else tag), noise, hidden
@@ -130,8 +135,8 @@ class Page:
             step, noise, hidden = _traits(tag, raw)
             parent = nodes[stack[-1]]
             inside = any(nodes[j][1] in ("article", "main") for j in stack)
-            dropped = hidden or tag in DROPPED and not (tag == "header" and inside)
-            marked = noise and tag not in ("html", "body", "article", "main", "h1", "p", "header" if inside else "")
+            dropped = hidden or tag in DROPPED and tag != "form" and not (tag == "header" and inside)
+            marked = max(noise, tag == "form") if tag not in ("html", "body", "article", "main", "h1", "p", "header" if inside else "") else 0
             nodes.append([stack[-1], tag, f"{parent[2]}/{step}" if parent[2] else step, dropped, marked])
             if not raw.rstrip().endswith("/") or tag in CONTAINERS:
                 stack.append(len(nodes) - 1)
@@ -140,19 +145,34 @@ class Page:
             text.append(tail)
             links += len(tail) if in_link else 0
         flush()
+        self._pass_wrappers()
         # an element around the article itself is no menu or advert, whatever its class
         for node in nodes:
             if node[1] in ("article", "main"):
                 up = node[0]
                 while up > 0:
-                    nodes[up][4] = False
+                    nodes[up][4] = 0
                     up = nodes[up][0]
 
+    def _pass_wrappers(self):
+        """Softly marked elements that hold most of the page's text, links aside, are wrappers of the article."""
+        gone = [False]
+        for node in self.nodes[1:]:
+            gone.append(gone[node[0]] or node[3] or node[4] == 2)
+        held = [0] * len(self.nodes)
+        for node, t, link in self.blocks:
+            held[node] += 0 if gone[node] else max(len(t) - 2 * link, 0)
+        for k in range(len(self.nodes) - 1, 0, -1):
+            held[self.nodes[k][0]] += held[k]
+        for k, node in enumerate(self.nodes):
+            if node[4] == 1 and held[k] >= LEAST and held[k] > MOST * (held[0] - held[k]):
+                node[4] = 0
+
     def lost(self, marks: bool = True) -> list[bool]:
         """Of each node: it or something around it is dropped."""
         out = [False]
         for node in self.nodes[1:]:
-            out.append(out[node[0]] or node[3] or marks and node[4])
+            out.append(bool(out[node[0]] or node[3] or (marks or node[1] == "form") and node[4]))
         return out
 
     def scored(self, lost: list[bool]) -> dict[int, float]:

@@ -191,9 +191,9 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[1] for x in got]).view(np.int64)), pa.array(np.repeat(np.array([x[0] for x in got], np.int64), sizes)), pa.array(np.concatenate([x[2] for x in got]).astype(np.int32))], ["h", "_row", "pos"])
 
     marks = materialise(rows.mapInArrow(find, "h long, _row long, pos int"), "anchors")
-    often = materialise(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated")
+    repeated = materialise(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated")
     # sides that grow with the texts are never broadcast, at any size
-    places = marks.join(often.hint("merge"), "h").groupBy("_row").agg(F.collect_set("pos").alias("at"))
+    places = marks.join(repeated.hint("merge"), "h").groupBy("_row").agg(F.collect_set("pos").alias("at"))
     places = materialise(places, "places")
     discard(marks)
 
@@ -215,9 +215,14 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
     one = seen.groupBy("id").agg(F.first("key").alias("key"), F.count("*").alias("m"), F.first("ctx").alias("ctx"))
     one = materialise(one.select("id", "key", "m", F.lit(-reach).alias("o1"), F.lit(reach).alias("width"), "ctx"), "entries")
     found = materialise(_solve(one, length, group).union(_whole(one, length)).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "results")
-    spans = seen.select("id", "_row", "pos").join(found.hint("merge"), "id").select("_row", F.struct((F.col("pos") + F.col("lo")).alias("s"), (F.col("pos") + F.col("hi") + length).alias("e")).alias("x"))
+    # contexts that hold a thousandth of all places, so a thousand at most, are broadcast; no hot one meets its places in a task
+    hot = materialise(one.where(F.col("m") * 1000 >= seen.count()).select("id"), "hot")
+    at = seen.select("id", "_row", "pos")
+    often, rest = F.broadcast(hot.join(found.hint("merge"), "id")), at.join(F.broadcast(hot), "id", "left_anti")
+    met = at.join(often, "id").union(rest.join(found.hint("merge"), "id").select("id", "_row", "pos", "lo", "hi"))
+    spans = met.select("_row", F.struct((F.col("pos") + F.col("lo")).alias("s"), (F.col("pos") + F.col("hi") + length).alias("e")).alias("x"))
     out = materialise(spans.groupBy("_row").agg(F.array_sort(F.collect_set("x")).alias("spans")), "spans")
-    discard(seen, one, found, places, often)
+    discard(seen, one, found, places, repeated, hot)
     return out
 
 

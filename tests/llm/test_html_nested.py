@@ -21,3 +21,51 @@ def test_page_of_another_template(spark):
 
 def test_formulas_stay():
     assert html.extract_text("<article><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>") == "so x=2 holds"
+
+
+PROSE = "Some longer text of an article that says many things, and then more of it. "
+
+
+def test_wrappers_of_the_article_pass_and_comments_do_not():
+    body = f"<p>{PROSE * 3}</p><p>{PROSE * 2}</p>"
+    want = (PROSE * 3).strip() + "\n" + (PROSE * 2).strip()
+    assert html.extract_text(f"<body><form action=x><article>{body}</article><input name=a></form></body>") == want
+    assert html.extract_text(f"<body><div class='search-results-page'>{body}</div><div><p>tiny</p></div></body>") == want
+    assert html.extract_text(f"<body><form>{body}</form><form id=login>User <input></form></body>") == want
+    assert html.extract_text(f"<body><div class=main>{body}</div><div class=comments><p>{PROSE * 9}</p></div></body>") == want
+    assert html.extract_text("<body><form>Name <input> Password <input></form></body>") == ""
+
+
+def plain(source):
+    """Blocks of h1 and p inside the article, by the standard library's parser."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        inside, blocks = False, None
+
+        def handle_starttag(self, tag, attrs):
+            if tag == "article":
+                self.inside, self.blocks = True, []
+            elif self.inside and tag in ("h1", "p"):
+                self.blocks.append("")
+            elif self.inside and tag == "br":
+                self.handle_data(" ")
+
+        def handle_endtag(self, tag):
+            if tag == "article":
+                self.inside = False
+
+        def handle_data(self, data):
+            if self.inside and self.blocks:
+                self.blocks[-1] += data
+
+    r = Reader()
+    r.feed(source)
+    return "\n".join(t for t in (" ".join(b.split()) for b in r.blocks or []) if t)
+
+
+def test_all_given_pages_against_another_parser(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    got = {r["page_id"]: r["text"] for r in html.extract(pages).collect()}
+    for r in pages.collect():
+        assert got[r["page_id"]] == plain(r["html"] or "")
