@@ -15,11 +15,11 @@ from conformix.llm.common import materialise, tasks
 QUERY_BLOCK, BASE_BLOCK = 1024, 4096
 
 
-def clean_vectors(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v) of rows whose vector is not null, not empty, not zero and has finite components only."""
+def clean_vectors(df: DataFrame, key: str, vector: str, *more: str) -> DataFrame:
+    """(id, v) and further columns of rows whose vector is not null, not empty, not zero and has finite components only."""
     v = F.col(vector).cast("array<double>")
     good = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
-    return df.where(F.col(key).isNotNull() & good & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))).select(F.col(key).alias("id"), v.alias("v"))
+    return df.where(F.col(key).isNotNull() & good & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))).select(F.col(key).alias("id"), v.alias("v"), *more)
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -16,6 +16,8 @@ from conformix.llm.jaccard import forest
 
 #: Length of the neighbour lists to begin with, the similarity from which a neighbour is worth following, rows compared at once.
 NEIGHBOURS, EXPLORE, WINDOW_ROWS = 12, 0.9, 128
+#: Share of the pairs at the threshold that the tables of the first lists may miss, and how far full lists grow.
+FIRST, GROWTH = 0.3, 4
 #: Most vectors of one side of a tile of the exact link count.
 BLOCK = 2048
 #: Linked vectors that a recall audit sees at least, vectors it asks in one pass at most, and the recall below which more tables are added.
@@ -68,7 +70,7 @@ def _coded(vectors: DataFrame, seed: int, bits: int, count: int) -> DataFrame:
     return vectors.select("id", "grp", "dim", "x", "comp").mapInArrow(code, "t int, id long, grp long, dim int, x binary, code long, y double, comp long")
 
 
-def _tables(vectors: DataFrame, n: int, seed: int, k: int, least: float, share: float = 1e-3) -> DataFrame:
+def _tables(vectors: DataFrame, n: int, seed: int, k: int, least: float, share: float) -> DataFrame:
     """First lists: in each of several tables, vectors sorted by group, sign code and a projection; windows of neighbours
     in that order are compared. Codes get a bit as the vectors double, and tables so that a pair at the threshold
     misses all of them with probability `share` at most. A range partitioning cuts a crowded code over many tasks."""
@@ -266,23 +268,48 @@ def _asked(q: dict, threshold: float):
     return run
 
 
-def near_duplicates(df: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", k: int = NEIGHBOURS, rounds: int = 4, block: int = BLOCK) -> DataFrame:
+def descend(units: DataFrame, n: int, threshold: float, k: int = NEIGHBOURS, rounds: int = 8) -> DataFrame:
+    """(a, b, s): NN-descent over n vectors units(id, grp, dim, x): first lists, then rounds of neighbours of neighbours."""
+    plain = units.withColumn("comp", F.lit(None).cast("long"))
+
+    lists = materialise(_lists(_tables(plain, n, 1, k, min(EXPLORE, threshold), FIRST), k), "lists")
+    for _ in range(rounds):
+        size, strong = lists.agg(F.count("*"), F.coalesce(F.sum((F.col("s") >= threshold).cast("long")), F.lit(0))).first()
+        if not size:
+            break
+        full = lists.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold))
+        room = full.select("a", F.least(2 * F.col("n"), F.lit(GROWTH * k)).alias("room"))
+        wider = lists.union(_refine(lists, units, k, min(EXPLORE, threshold))).join(room.hint("merge"), "a", "left")
+        w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
+        new = wider.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("room").alias("room")).withColumn("r", F.row_number().over(w))
+        new = materialise(new.where(F.col("r") <= F.coalesce("room", F.lit(k))).select("a", "b", "s"), "lists")
+        now = new.agg(F.coalesce(F.sum((F.col("s") >= threshold).cast("long")), F.lit(0))).first()[0]
+        discard(lists)
+        lists = new
+        if now - strong <= 0.001 * max(strong, 1):
+            break
+    return lists
+
+
+def near_duplicates(df: DataFrame, threshold: float = 0.98, key: str = "vec_id", vector: str = "embedding", label: str = "label", k: int = NEIGHBOURS, rounds: int = 8, block: int = BLOCK) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row: links are pairs with equal, not null labels and cosine >= threshold.
 
-    Equal vectors of a label are one class. Lists of `k` neighbours start from sorted sign-code tables and are refined by
-    neighbours-of-neighbours joins until few lists change; lists that are full of links are doubled. Edges from the
+    Equal vectors of a label are one class. Lists of `k` neighbours start from a few sorted sign-code tables, which miss FIRST of the
+    pairs, and are refined by neighbours-of-neighbours joins until they find hardly a further link; lists that are full of
+    links are doubled, up to GROWTH times `k` (a component needs no more: its links are counted exactly below). Edges from the
     threshold on give components; further tables compare all vectors of a code that are in different components,
     until no components merge. A recall audit (vectors against all rows, in blocks) always comes before the end and
     adds tables while it is below RECALL; after TABLE_ROUNDS of them all vectors of different components are
     compared. n_links is then counted exactly within each component.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and those with a null label, link with
-    nothing. Vectors of different lengths do not link. Rows that repeat a vec_id are one vector and get the same result;
-    an empty table gives no rows.
+    nothing. Vectors of different lengths do not link. Rows that repeat a vec_id are one vector (of its usable rows the
+    one with the smallest label, then vector) and get the same result; other columns are not looked at; a null vec_id links
+    with nothing; an empty table gives no rows.
     """
-    good = clean_vectors(df.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias(key), vector, label), key, vector)
-    good = good.join(df.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(label).cast("string").alias("label")).dropDuplicates(["id"]).hint("merge"), "id").dropDuplicates(["id"])
-    good = materialise(good, "vectors")
+    usable = df.where(F.col(label).isNotNull()).select(F.col(key).cast("long").alias("key"), F.col(vector).alias("vector"), F.col(label).cast("string").alias("label"))
+    one = clean_vectors(usable, "key", "vector", "label").groupBy("id").agg(F.min(F.struct("label", "v")).alias("m"))
+    good = materialise(one.select("id", "m.label", "m.v"), "vectors")
     classes = materialise(good.groupBy("label", "v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "classes")
 
     def unit(batches):
@@ -296,24 +323,7 @@ def near_duplicates(df: DataFrame, threshold: float = 0.98, key: str = "vec_id",
 
     units = materialise(classes.select("id", F.xxhash64("label", F.size("v")).alias("grp"), "v", "copies").mapInArrow(unit, "id long, grp long, dim int, x binary, copies long"), "units")
     n = units.count()
-    plain = units.withColumn("comp", F.lit(None).cast("long"))
-
-    lists = materialise(_lists(_tables(plain, n, 1, k, min(EXPLORE, threshold)), k), "lists")
-    for _ in range(rounds):
-        size, strong = lists.agg(F.count("*"), F.coalesce(F.sum((F.col("s") >= threshold).cast("long")), F.lit(0))).first()
-        if not size:
-            break
-        full = lists.groupBy("a").agg(F.count("*").alias("n"), F.min("s").alias("low")).where((F.col("n") >= k) & (F.col("low") >= threshold))
-        room = full.select("a", F.lit(2 * k).alias("room"))
-        wider = lists.union(_refine(lists, units, k, min(EXPLORE, threshold))).join(room.hint("merge"), "a", "left")
-        w = Window.partitionBy("a").orderBy(F.desc("s"), "b")
-        new = wider.groupBy("a", "b").agg(F.max("s").alias("s"), F.max("room").alias("room")).withColumn("r", F.row_number().over(w))
-        new = materialise(new.where(F.col("r") <= F.coalesce("room", F.lit(k))).select("a", "b", "s"), "lists")
-        now = new.agg(F.coalesce(F.sum((F.col("s") >= threshold).cast("long")), F.lit(0))).first()[0]
-        discard(lists)
-        lists = new
-        if now - strong <= 0.001 * max(strong, 1):
-            break
+    lists = descend(units, n, threshold, k, rounds)
     edges = materialise(lists.where(F.col("s") >= threshold).select("a", "b"), "edges")
     seed, whole = 2, False
     while True:
