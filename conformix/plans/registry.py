@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from conformix.plans import queries_drawings, queries_rules, queries_text
+from conformix.plans import queries_drawings, queries_requirements, queries_rules, queries_text
 
-QUERIES = queries_drawings.QUERIES | queries_rules.QUERIES | queries_text.QUERIES
-ORACLES = queries_drawings.ORACLES | queries_rules.ORACLES | queries_text.ORACLES
+QUERIES = queries_drawings.QUERIES | queries_rules.QUERIES | queries_text.QUERIES | queries_requirements.QUERIES
+ORACLES = queries_drawings.ORACLES | queries_rules.ORACLES | queries_text.ORACLES | queries_requirements.ORACLES
