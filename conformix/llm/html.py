@@ -156,6 +156,8 @@ class Page:
 
     def _pass_wrappers(self):
         """Softly marked elements that hold most of the page's text, links aside, are wrappers of the article."""
+        if not any(node[4] == 1 for node in self.nodes):
+            return
         gone = [False]
         for node in self.nodes[1:]:
             gone.append(gone[node[0]] or node[3] or node[4] == 2)

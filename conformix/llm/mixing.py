@@ -86,12 +86,13 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     spark = docs.sparkSession
     own = ["size", "source_size", "target", "copies", "taken"]
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in own]
+    names = [c for c in docs.columns if c not in own]
+    kept = [F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]
     words = F.when(F.col(text).isNull(), 0).otherwise(F.size(F.expr(f"filter(split(`{text}`, '[\\\\x20\\\\x09-\\\\x0D]+'), w -> w <> '')"))).cast("long")
     # a unit is a distinct (key, text); repeated rows of it are told apart by their number
     unit = F.xxhash64(F.col(key).cast("string"), F.col(text), F.col(source))
-    # a row's own columns travel as one struct, so that none can clash
-    sized = docs.select(F.struct(*kept).alias("_row"), F.col(source).cast("string").alias("_of"), words.alias("size"), unit.alias("_h"))
+    # a row's own columns travel under other names, so that none can clash
+    sized = docs.select(*kept, F.col(source).cast("string").alias("_of"), words.alias("size"), unit.alias("_h"))
     slim = materialise(sized.groupBy("_h", "_of", "size").agg(F.count("*").alias("_n")), "units")
     per = slim.groupBy("_of").agg(F.sum(F.col("size") * F.col("_n")).alias("s"), F.sum("_n").alias("n")).collect()
     goal = targets([(r[0], r[1]) for r in per], weights, cap)
@@ -145,7 +146,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     else:
         numbered = numbered.withColumn("_j", F.lit(1))
     out = rated(numbered).join(extra.hint("merge"), "_h", "left").withColumn("copies", (F.floor("_r") + F.coalesce(F.get("_x", F.col("_j") - 1)["p"], F.lit(0))).cast("long"))
-    return out.withColumn("taken", F.col("copies") * F.col("size")).select("_row.*", "size", "source_size", "target", "copies", "taken")
+    return out.withColumn("taken", F.col("copies") * F.col("size")).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(names)], "size", "source_size", "target", "copies", "taken")
 
 
 def resample(docs: DataFrame) -> DataFrame:
