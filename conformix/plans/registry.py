@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from conformix.plans import queries_drawings, queries_requirements, queries_rules, queries_text
+from conformix.plans import queries_candidates, queries_drawings, queries_reports, queries_requirements, queries_rules, queries_text
 
-QUERIES = queries_drawings.QUERIES | queries_rules.QUERIES | queries_text.QUERIES | queries_requirements.QUERIES
-ORACLES = queries_drawings.ORACLES | queries_rules.ORACLES | queries_text.ORACLES | queries_requirements.ORACLES
+_MODULES = (queries_drawings, queries_rules, queries_text, queries_requirements, queries_candidates, queries_reports)
+
+QUERIES = {name: run for m in _MODULES for name, run in m.QUERIES.items()}
+ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
