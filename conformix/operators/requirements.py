@@ -62,7 +62,6 @@ VAGUE_REASON, DIRECTION_REASON, SHAPE_REASON = "VAGUE_WORDING", "UNSUPPORTED_DIR
 _QUANTITY = X.QUANTITY.replace("(?i)", "")
 _NUMBER = "(?i)" + _QUANTITY.replace(r"\s*(", r"\s*(?:(", 1) + ")?"
 _AFTERWARDS = _NUMBER + r"\s*(以上|以下|以內|以外)"
-_NONE = F.lit(None).cast("string")
 
 
 def _nothing(c: Column) -> Column:
@@ -129,7 +128,7 @@ def with_parties(df: DataFrame) -> DataFrame:
         F.when(shape == "level", F.col("_level")).when(shape == "upright", F.col("_up")).when(shape == "length", "長度").when(shape == "square", F.regexp_extract(nf, SQUARE, 0))
         .when(shape == "count", "至少").when(shape == "distance", F.coalesce(_nothing(F.regexp_extract(nf, AXIS, 0)), F.regexp_extract(nf, SPACING, 0)))
     )
-    first, second = _NONE, _NONE
+    first = second = F.lit(None).cast("string")
     for name, form in (("ban_cross", BAN_CROSS), ("pair_cross", PAIR_CROSS), ("mutual_cross", MUTUAL_CROSS), ("keep_out", KEEP_OUT), ("inside", INSIDE)):
         first = F.when(shape == name, F.regexp_extract(nf, form, 1)).otherwise(first)
         if name != "mutual_cross":

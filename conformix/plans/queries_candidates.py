@@ -63,14 +63,14 @@ def by_line(spark, sf_dir):
     return once(spark, sf_dir, "requirements", make)
 
 
-COLUMNS = ["p_partkey", "part", "template", "measurement", "operator", "value", "unit", "subject", "target", "zone", F.concat_ws(",", "problems").alias("problems")]
+COLUMNS = ["p_partkey", "part", "template", "measurement", "operator", "value", "unit", "subject", "target", "zone", "concat_ws(',', problems) AS problems"]
 
 
 def of_shape(name: str, keys: tuple[int, ...], where: str) -> None:
     """A query over all lines that keeps one kind of requirement."""
 
     def run(spark, sf_dir):
-        return by_line(spark, sf_dir).where(where).select(*COLUMNS)
+        return by_line(spark, sf_dir).where(where).selectExpr(*COLUMNS)
 
     QUERIES[name] = run
     ORACLES[name] = _select("p_partkey", [r for r in _EXPECTED if r[0] in keys])
