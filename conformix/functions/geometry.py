@@ -70,28 +70,6 @@ def line_intersection(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(t.isNotNull(), point(a["x"] + t * rx, a["y"] + t * ry))
 
 
-def measured(d: Column, pa: Column, pb: Column) -> Column:
-    return F.struct(d.alias("d"), F.lit(0).alias("k"), pa.alias("pa"), pb.alias("pb"))
-
-
-def segment_distance(a: Column, b: Column, c: Column, d: Column) -> Column:
-    """struct<d, k, pa, pb>: 0 and a shared point if they meet, else the best of the four point-segment distances (k: which)."""
-    near = tol(a, b, c, d) * 10
-    shared = F.coalesce(
-        line_intersection(a, b, c, d),
-        F.when(point_segment_distance(c, a, b) <= near, c),
-        F.when(point_segment_distance(d, a, b) <= near, d),
-        F.when(point_segment_distance(a, c, d) <= near, a),
-        F.when(point_segment_distance(b, c, d) <= near, b),
-        a,
-    )
-
-    def one(k: int, p: Column, s0: Column, s1: Column, first: bool) -> Column:
-        q = closest_on_segment(p, s0, s1)
-        return F.struct(dist(p, q).alias("d"), F.lit(k).alias("k"), (p if first else q).alias("pa"), (q if first else p).alias("pb"))
-
-    best = F.least(one(0, a, c, d, True), one(1, b, c, d, True), one(2, c, a, b, False), one(3, d, a, b, False))
-    return F.when(segments_intersect(a, b, c, d), measured(lit(0), shared, shared)).otherwise(best)
 
 
 def polygon_edges(poly: Column) -> Column:
@@ -112,19 +90,6 @@ def point_in_polygon(p: Column, poly: Column) -> Column:
     return (F.size(poly) >= 3) & (rim | odd)
 
 
-def point_line_distance(p: Column, a: Column, b: Column) -> Column:
-    length = dist(a, b)
-    return F.when(length > 0, F.abs(orient(a, b, p)) / length).otherwise(dist(p, a))
-
-
-def collinear_overlap(a: Column, b: Column, c: Column, d: Column, t) -> Column:
-    length = dist(a, b)
-    safe = F.when(length > 0, length)
-    ux, uy = (b["x"] - a["x"]) / safe, (b["y"] - a["y"]) / safe
-    s0, s1 = ((q["x"] - a["x"]) * ux + (q["y"] - a["y"]) * uy for q in (c, d))
-    shared = F.greatest(lit(0), F.least(length, F.greatest(s0, s1)) - F.greatest(lit(0), F.least(s0, s1)))
-    ok = (length > 0) & (dist(c, d) > 0) & (point_line_distance(c, a, b) <= t) & (point_line_distance(d, a, b) <= t)
-    return F.when(ok, shared).otherwise(lit(0))
 
 
 def bbox_distance(a: Column, b: Column) -> Column:
@@ -199,78 +164,10 @@ def max_off_axis(e: Column) -> Column:
     return F.when((e["kind"] == "polyline") & (F.size(segs) > 0), F.array_max(F.transform(segs, lambda s: off_axis(segment_angle(s)))))
 
 
-def toward(c: Column, p: Column, r: Column) -> Column:
-    d = dist(c, p)
-    safe = F.when(d > 0, d)
-    return F.coalesce(F.when(d > 0, point(c["x"] + (p["x"] - c["x"]) / safe * r, c["y"] + (p["y"] - c["y"]) / safe * r)), point(c["x"] + r, c["y"]))
-
-
-def circle_segment(c: Column, r: Column, a: Column, b: Column) -> Column:
-    """struct<d, k, pa, pb>: distance of a circle's rim and a segment, the point on the rim and the one on the segment."""
-    q = closest_on_segment(c, a, b)
-    dmin, da, db = dist(c, q), dist(c, a), dist(c, b)
-    far = F.when(da >= db, a).otherwise(b)
-    dmax = F.greatest(da, db)
-    dx, dy, fx, fy = b["x"] - a["x"], b["y"] - a["y"], a["x"] - c["x"], a["y"] - c["y"]
-    qa, qb, qc = dx * dx + dy * dy, (fx * dx + fy * dy) * 2, fx * fx + fy * fy - r * r
-    root = F.sqrt(F.greatest(lit(0), qb * qb - qa * qc * 4))
-    safe = F.when(qa > 0, qa * 2)
-    t0, t1 = (-qb - root) / safe, (-qb + root) / safe
-    t = F.when((t0 >= 0) & (t0 <= 1), t0).when((t1 >= 0) & (t1 <= 1), t1)
-    hit = F.coalesce(F.when(t.isNotNull(), point(a["x"] + t * dx, a["y"] + t * dy)), q)
 
-    out = measured
-    return F.when(dmin >= r, out(dmin - r, toward(c, q, r), q)).when(dmax <= r, out(r - dmax, toward(c, far, r), far)).otherwise(out(lit(0), hit, hit))
 
 
-def circle_circle(a: Column, b: Column) -> Column:
-    ca, cb, ra, rb = point(a["cx"], a["cy"]), point(b["cx"], b["cy"]), a["radius"], b["radius"]
-    d = dist(ca, cb)
-    gap = F.greatest(ra, rb) - d - F.least(ra, rb)
 
-    out = measured
-    inside = out(gap, F.when(ra >= rb, toward(ca, cb, ra)).otherwise(ca), F.when(rb > ra, toward(cb, ca, rb)).otherwise(cb))
-    mid = toward(ca, cb, ra)
-    return F.when(d >= ra + rb, out(d - ra - rb, toward(ca, cb, ra), toward(cb, ca, rb))).when(d + F.least(ra, rb) <= F.greatest(ra, rb), inside).otherwise(out(lit(0), mid, mid))
-
-
-def contained_vertex(a: Column, b: Column, va: Column, vb: Column) -> Column:
-    """The first vertex that a closed shape holds of the other (a around b is tried first); va and vb are their vertices."""
-
-    def held(outer, poly, verts):
-        inside = F.filter(verts, lambda v: (v["x"] >= outer["minx"]) & (v["x"] <= outer["maxx"]) & (v["y"] >= outer["miny"]) & (v["y"] <= outer["maxy"]) & point_in_polygon(v, poly))
-        return F.when(is_closed(outer), F.get(inside, F.lit(0)))
-
-    return F.coalesce(held(a, va, vb), held(b, vb, va))
-
-
-def segment_inside_polygon(a: Column, b: Column, poly: Column) -> Column:
-    """Every piece of the segment between its crossings with the polygon's edges has its middle inside."""
-    dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-    l2 = F.when(dx * dx + dy * dy > 0, dx * dx + dy * dy)
-
-    def at(q):
-        return ((q["x"] - a["x"]) * dx + (q["y"] - a["y"]) * dy) / l2
-
-    def cuts(e):
-        c, d = e["a"], e["b"]
-        p = line_intersection(a, b, c, d)
-        return F.when(segments_intersect(a, b, c, d), F.when(p.isNotNull(), F.array(at(p))).otherwise(F.array(at(c), at(d)))).otherwise(F.array().cast("array<double>"))
-
-    inner = F.filter(F.flatten(F.transform(polygon_edges(poly), cuts)), lambda t: (t > 0) & (t < 1))
-    ts = F.array_sort(F.concat(F.array(lit(0), lit(1)), inner))
-    pieces = F.zip_with(F.slice(ts, F.lit(1), F.size(ts) - 1), F.slice(ts, F.lit(2), F.size(ts) - 1), lambda s, t: F.struct(s.alias("s"), t.alias("t")))
-    ok = F.forall(pieces, lambda p: (p["t"] - p["s"] <= 1e-12) | point_in_polygon(point(a["x"] + (p["s"] + p["t"]) / 2 * dx, a["y"] + (p["s"] + p["t"]) / 2 * dy), poly))
-    return F.when(l2.isNull(), point_in_polygon(a, poly)).otherwise(ok)
-
-
-def zone_relation(s: Column, z: Column, verts: Column, poly: Column, segs: Column, rim: Column) -> Column:
-    """'inside', 'partial' or 'outside' of a closed zone; verts and segs are s's, poly and rim the zone's."""
-    all_in = F.forall(verts, lambda v: point_in_polygon(v, poly)) & F.forall(segs, lambda g: segment_inside_polygon(g["a"], g["b"], poly))
-    any_in = F.exists(verts, lambda v: point_in_polygon(v, poly))
-    touch = F.exists(segs, lambda g: F.exists(rim, lambda h: segments_intersect(g["a"], g["b"], h["a"], h["b"])))
-    around = is_closed(s) & point_in_polygon(F.element_at(poly, 1), verts)
-    return F.when(~is_closed(z) | (bbox_distance(s, z) > 0), "outside").when(all_in, "inside").when(any_in | touch | around, "partial").otherwise("outside")
 
 
 def z_interval(e: Column) -> Column:

@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 MATCH_CHARS, DEPTH = 2000, 16
-#: Longest pattern, since a pattern runs once an entity.
-PATTERN_CHARS = 500
+# Fixed value: the longest pattern that a rule may hold.
+PATTERN_CHARS = 200
 
 
 def _is_text(v) -> bool:

@@ -11,6 +11,8 @@ from conformix.operators import spatial
 from conformix.operators.graph import components
 from conformix.schema import EPS, UNIT_MM
 
+#: How many handles a result lists: entities that match a count, violating targets.
+MATCHED, VIOLATING = 200, 20
 DISTANCES = ("distance", "minimum_distance", "horizontal_clearance")
 OUT = ["drawing_key", "rule_id", "rule_pos", "status", "subject_seq", "subject_handle", "layer", "system", "target_handles", "measured", "loc_x", "loc_y", "violations", "contained"]
 
@@ -49,11 +51,14 @@ def classify(v: Column, rule: dict) -> Column:
 
 
 class Evaluator:
-    """Entities must carry system (see classify_systems); drawings is (drawing_key, unit_to_mm)."""
+    """Entities must carry system (see classify_systems); drawings is (drawing_key, unit_to_mm).
 
-    def __init__(self, entities: DataFrame, drawings: DataFrame):
+    far_handles: "all within" rules also list the first targets beyond the limit, which takes a join of VIOLATING rows a subject.
+    """
+
+    def __init__(self, entities: DataFrame, drawings: DataFrame, far_handles: bool = False):
         self.entities = entities.join(drawings.select("drawing_key", "unit_to_mm"), "drawing_key")
-        self.drawings = drawings
+        self.drawings, self.far_handles = drawings, far_handles
 
     def side(self, pred: dict, name: str) -> DataFrame:
         e = self.entities.where(P.selects(pred))
@@ -87,6 +92,8 @@ class Evaluator:
             F.col("loc")["y"].alias("loc_y"),
             (F.col("violations") if "violations" in has else F.lit(None)).cast("long").alias("violations"),
             (F.col("contained") if "contained" in has else F.lit(False)).alias("contained"),
+            (F.col("listed") if "listed" in has else F.lit(None)).cast("array<string>").alias("listed_handles"),
+            (F.col("groups") if "groups" in has else F.lit(None)).cast("array<array<string>>").alias("groups"),
         )
 
     def evaluate(self, rules: list[dict]) -> DataFrame:
@@ -115,9 +122,11 @@ class Evaluator:
     def count(self, rule: dict) -> DataFrame:
         """One row for each drawing, also where nothing matches; the location is the mean of the boxes' centres."""
         e = self.entities.where(P.selects(rule["subject"]))
-        agg = e.groupBy("drawing_key").agg(F.count("*").alias("n"), F.avg((F.col("minx") + F.col("maxx")) / 2).alias("x"), F.avg((F.col("miny") + F.col("maxy")) / 2).alias("y"))
+        e = e.withColumn("_n", F.row_number().over(Window.partitionBy("drawing_key").orderBy("seq")))
+        listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= MATCHED, F.struct("seq", "handle")))), lambda x: x["handle"])
+        agg = e.groupBy("drawing_key").agg(F.count("*").alias("n"), F.avg((F.col("minx") + F.col("maxx")) / 2).alias("x"), F.avg((F.col("miny") + F.col("maxy")) / 2).alias("y"), listed.alias("listed"))
         d = self.drawings.select("drawing_key").join(agg, "drawing_key", "left").withColumn("v", F.coalesce("n", F.lit(0)).cast("double"))
-        return d.select("drawing_key", classify(F.col("v"), rule).alias("status"), F.array().alias("targets"), "v", F.when(F.col("n") > 0, F.struct("x", "y")).alias("loc"))
+        return d.select("drawing_key", classify(F.col("v"), rule).alias("status"), F.array().alias("targets"), "v", F.when(F.col("n") > 0, F.struct("x", "y")).alias("loc"), F.coalesce("listed", F.array()).alias("listed"))
 
     def single(self, rule: dict) -> DataFrame:
         s = F.col("s")
@@ -138,13 +147,19 @@ class Evaluator:
         near = F.when(size.isNotNull(), F.array(*map(F.lit, (-1, 0, 1)))).otherwise(F.array(F.lit(0)))
         around = ends.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).select("drawing_key", (F.col("gx") + F.col("dx")).alias("gx"), (F.col("gy") + F.col("dy")).alias("gy"), F.col("seq").alias("a"), F.col("p").alias("pa"), "tol")
         joined = around.join(ends.select("drawing_key", "gx", "gy", F.col("seq").alias("b"), F.col("p").alias("pb")).hint("shuffle_hash"), ["drawing_key", "gx", "gy"])
-        edges = joined.where((F.col("a") > F.col("b")) & (G.dist(F.col("pa"), F.col("pb")) <= F.col("tol") + EPS)).select("drawing_key", "a", "b")
-        comp = components(edges.select("a", "b"))
-        labelled = e.where(ok).select("drawing_key", "s").join(comp.withColumnRenamed("node", "seq_"), F.col("s.seq") == F.col("seq_"), "left").withColumn("root", F.coalesce("component", F.col("s.seq")))
-        groups = labelled.groupBy("drawing_key", "root").agg(F.min(F.struct("s.seq", "s")).alias("m"))
-        roots = groups.groupBy("drawing_key").agg(F.count("*").alias("k"), F.slice(F.array_sort(F.collect_list("m")), 1, 2).alias("heads"))
-        second = labelled.groupBy("drawing_key").agg(F.slice(F.array_sort(F.collect_list("s.seq")), 1, 2).alias("q"))
-        named = labelled.join(second, "drawing_key").where(F.col("s.seq") == F.element_at("q", F.least(F.lit(2), F.size("q")))).select("drawing_key", F.col("s.handle").alias("second"))
+        close = joined.where((F.col("a") > F.col("b")) & (G.dist(F.col("pa"), F.col("pb")) <= F.col("tol") + EPS))
+        node = lambda c: F.struct(F.col("drawing_key"), F.col(c).alias("seq"))
+        comp = components(close.select(node("a").alias("a"), node("b").alias("b")))
+        comp = comp.select("node.drawing_key", "node.seq", F.col("component.seq").alias("root"))
+        labelled = e.where(ok).select("drawing_key", F.col("s.seq").alias("seq"), "s").join(comp.hint("merge"), ["drawing_key", "seq"], "left").withColumn("root", F.coalesce("root", "seq"))
+        own = Window.partitionBy("drawing_key", "root").orderBy("seq")
+        listed = labelled.withColumn("_n", F.row_number().over(own))
+        handles = F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= MATCHED, F.struct("seq", "s.handle")))), lambda x: x["handle"])
+        groups = listed.groupBy("drawing_key", "root").agg(F.min(F.struct("s.seq", "s")).alias("m"), handles.alias("h"))
+        # a drawing's components meet here, each with MATCHED handles at most
+        roots = groups.groupBy("drawing_key").agg(F.count("*").alias("k"), F.slice(F.array_sort(F.collect_list("m")), 1, 2).alias("heads"), F.transform(F.array_sort(F.collect_list(F.struct("root", "h"))), lambda x: x["h"]).alias("groups"))
+        first_two = labelled.withColumn("_n", F.row_number().over(Window.partitionBy("drawing_key").orderBy("seq")))
+        named = first_two.where("_n = 2").select("drawing_key", F.col("s.handle").alias("second"))
         d = self.drawings.select("drawing_key").join(stats, "drawing_key", "left").join(roots, "drawing_key", "left").join(named, "drawing_key", "left")
         other = F.get("heads", F.lit(1))["s"]
         first = F.when(F.col("bad") > 0, F.col("first_bad.s")).otherwise(F.col("first.s"))
@@ -153,7 +168,8 @@ class Evaluator:
         v = F.when(~decided, F.when(F.col("k") == 1, 1.0).otherwise(0.0))
         targets = F.when(decided, F.array()).when(F.col("k") == 1, F.array("second")).otherwise(F.array(other["handle"]))
         loc = F.when(~decided & (F.col("k") > 1), G.center(other)).when(first.isNotNull(), G.center(first))
-        return d.select("drawing_key", first.alias("s"), status.alias("status"), targets.alias("targets"), v.alias("v"), loc.alias("loc"), F.when(~decided, F.col("k")).alias("violations"))
+        apart = F.when(~decided & (F.col("k") > 1), F.col("groups"))
+        return d.select("drawing_key", first.alias("s"), status.alias("status"), targets.alias("targets"), v.alias("v"), loc.alias("loc"), F.when(~decided, F.col("k")).alias("violations"), apart.alias("groups"))
 
     # -- zones -----------------------------------------------------------------------------
 
@@ -211,7 +227,7 @@ class Evaluator:
     def pairs(self, rule: dict) -> DataFrame:
         subjects, targets = self.side(rule["subject"], "s"), self.side(rule["target"], "t")
         with_targets = targets.select("drawing_key").distinct()
-        lone = subjects.join(with_targets, "drawing_key", "left_anti").select("drawing_key", "s", F.lit("UNKNOWN").alias("status"), F.array().cast("array<string>").alias("targets"), F.lit(None).cast("double").alias("v"), G.center(F.col("s")).alias("loc"), F.lit(None).cast("long").alias("violations"), F.lit(False).alias("contained"))
+        lone = subjects.join(with_targets, "drawing_key", "left_anti").select("drawing_key", "s", F.lit("UNKNOWN").alias("status"), F.array().cast("array<string>").alias("targets"), F.lit(None).cast("double").alias("v"), G.center(F.col("s")).alias("loc"), F.lit(None).cast("long").alias("violations"), F.lit(False).alias("contained"), F.lit(None).cast("array<string>").alias("listed"))
         asked = subjects.join(with_targets, "drawing_key", "left_semi")
         quantifier, upper = rule["quantifier"], rule["operator"] in ("<=", "<")
         if quantifier == "all" and upper and rule["measurement"] in DISTANCES:
@@ -230,7 +246,17 @@ class Evaluator:
     def picked(df: DataFrame) -> DataFrame:
         """Result columns of the pair that stands in struct p (null: none)."""
         p = F.col("p")
-        return df.select("drawing_key", "s", "status", F.when(p.isNotNull(), F.array(p["handle"])).otherwise(F.array()).cast("array<string>").alias("targets"), p["v"].alias("v"), F.coalesce(G.midpoint(p["pa"], p["pb"]), G.center(F.col("s"))).alias("loc"), F.col("violations").cast("long").alias("violations"), F.coalesce(p["contained"], F.lit(False)).alias("contained"))
+        return df.select("drawing_key", "s", "status", F.when(p.isNotNull(), F.array(p["handle"])).otherwise(F.array()).cast("array<string>").alias("targets"), p["v"].alias("v"), F.coalesce(G.midpoint(p["pa"], p["pb"]), G.center(F.col("s"))).alias("loc"), F.col("violations").cast("long").alias("violations"), F.coalesce(p["contained"], F.lit(False)).alias("contained"), (F.col("listed") if "listed" in df.columns else F.lit(None)).cast("array<string>").alias("listed"))
+
+    @staticmethod
+    def offenders(rank: Column) -> Column:
+        """Aggregate of a subject's pairs that do not pass, as (rank, seq, handle); a window bounds them."""
+        return F.array_sort(F.collect_list(F.when(rank < 3, F.struct(rank.alias("rank"), F.col("t.seq").alias("seq"), F.col("t.handle").alias("handle")))))
+
+    @staticmethod
+    def worst_handles(offenders: Column, top: Column) -> Column:
+        """The first handles of the worst rank, in drawing order."""
+        return F.when(top < 3, F.slice(F.transform(F.filter(offenders, lambda x: x["rank"] == top), lambda x: x["handle"]), 1, VIOLATING))
 
     @staticmethod
     def pair_struct(*order: Column) -> Column:
@@ -254,8 +280,8 @@ class Evaluator:
         """One row a subject: the worst offender (by status, then the largest value), else the largest PASS, else a PASS without target."""
         rank = F.when(F.col("status") == "FAIL", 0).when(F.col("status") == "WARNING", 1).when(F.col("status") == "UNKNOWN", 2).otherwise(3)
         counts = [F.count_if(rank == i).alias(f"c{i}") for i in range(3)]
-        agg = pairs.groupBy("drawing_key", F.col("s.seq").alias("seq")).agg(F.min(self.pair_struct(rank, -F.coalesce("v", F.lit(float("-inf"))))).alias("p"), *counts)
-        out = self.per_subject(asked, agg)
+        agg = pairs.groupBy("drawing_key", F.col("s.seq").alias("seq")).agg(F.min(self.pair_struct(rank, -F.coalesce("v", F.lit(float("-inf"))))).alias("p"), self.offenders(rank).alias("bad"), *counts)
+        out = self.per_subject(asked, agg).withColumn("listed", self.worst_handles(F.col("bad"), F.col("p.o0")))
         n = F.when(F.col("p.o0") == 0, F.col("c0")).when(F.col("p.o0") == 1, F.col("c1")).when(F.col("p.o0") == 2, F.col("c2"))
         return self.picked(out.withColumns({"status": F.coalesce("p.status", F.lit("PASS")), "violations": n}))
 
@@ -304,6 +330,7 @@ class Evaluator:
             F.array_sort(F.collect_list("rank")).alias("held"),
             F.count_if(live & F.coalesce(fails, F.lit(False))).alias("failing"),
             F.min(F.when(live, self.pair_struct(rank, -F.coalesce("v", F.lit(float("-inf")))))).alias("p"),
+            self.offenders(F.when(live, rank).otherwise(3)).alias("bad"),
             *[F.count_if(live & (rank == i)).alias(f"c{i}") for i in range(3)],
         )
         own = ranks.withColumnsRenamed({"sg_": "sg", "rank": "own"})
@@ -314,14 +341,30 @@ class Evaluator:
         gap = F.coalesce(F.array_min(F.filter(F.transform("held", lambda r, i: F.when(r != i + 1, i + 1)), lambda x: x.isNotNull())), F.size("held") + 1).cast("long")
         inside = out.where("far <= 0")
         n = F.when(F.col("p.o0") == 0, F.col("c0")).when(F.col("p.o0") == 1, F.col("c1")).when(F.col("p.o0") == 2, F.col("c2"))
-        good = self.picked(inside.withColumns({"status": F.coalesce("p.status", F.lit("PASS")), "violations": n}))
-        beyond = out.where("far > 0").withColumn("rank", gap).join(ranked.hint("shuffle_hash"), ["drawing_key", "sg", "rank"]).withColumn("t", F.col("rt"))
-        beyond = spatial.distances(beyond.select("drawing_key", "unit_to_mm", "s", "t", "far", "failing"), F.lit(float("inf")))
+        good = self.picked(inside.withColumns({"status": F.coalesce("p.status", F.lit("PASS")), "violations": n, "listed": self.worst_handles(F.col("bad"), F.col("p.o0"))}))
+        beyond = out.where("far > 0").withColumn("rank", gap)
+        # window targets that fail by their own value (severity aside) follow the ones beyond
+        beyond = beyond.withColumn("near_bad", F.slice(F.transform(F.filter(F.coalesce("bad", F.array().cast("array<struct<rank:int,seq:bigint,handle:string>>")), lambda x: x["rank"] == (0 if rule["severity"] == "FAIL" else 1)), lambda x: x["handle"]), 1, VIOLATING))
+        if self.far_handles:
+            beyond = self.with_far(beyond, ranked)
+        else:
+            beyond = beyond.withColumn("listed", F.lit(None).cast("array<string>"))
+        beyond = beyond.join(ranked.hint("shuffle_hash"), ["drawing_key", "sg", "rank"]).withColumn("t", F.col("rt"))
+        beyond = spatial.distances(beyond.select("drawing_key", "unit_to_mm", "s", "t", "far", "failing", "listed"), F.lit(float("inf")))
         beyond = beyond.withColumn("v", self.to_rule(F.col("distance"), rule))
         p = F.struct(F.col("t.handle").alias("handle"), "v", "pa", "pb", "contained")
-        bad = self.picked(beyond.select("drawing_key", "s", classify(F.col("v"), rule).alias("status"), p.alias("p"), (F.col("far") + F.coalesce("failing", F.lit(0))).alias("violations")))
+        bad = self.picked(beyond.select("drawing_key", "s", classify(F.col("v"), rule).alias("status"), p.alias("p"), (F.col("far") + F.coalesce("failing", F.lit(0))).alias("violations"), "listed"))
         return good.unionByName(bad)
 
+    def with_far(self, beyond: DataFrame, ranked: DataFrame) -> DataFrame:
+        """Adds listed: handles of the first VIOLATING eligible targets that the window does not hold, then of failing ones in it."""
+        free = F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), F.size("held") + F.lit(VIOLATING).cast("long")), "held"), 1, VIOLATING)
+        wanted = beyond.select("drawing_key", "sg", "seq", F.explode(free).alias("rank"))
+        named = ranked.select("drawing_key", "sg", "rank", F.col("rt.handle").alias("handle"))
+        got = wanted.join(named.hint("merge"), ["drawing_key", "sg", "rank"]).groupBy("drawing_key", "seq").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "handle"))), lambda x: x["handle"]).alias("far_bad"))
+        out = beyond.join(got.hint("merge"), ["drawing_key", "seq"], "left")
+        return out.withColumn("listed", F.slice(F.concat(F.coalesce("far_bad", F.array().cast("array<string>")), "near_bad"), 1, VIOLATING)).drop("far_bad")
+
 
 def issue_ids(results: DataFrame) -> DataFrame:
     """Adds handle (sorted distinct handles) and issue_id: a hash of drawing, rule, handles and rounded location, with -n for repeats."""

@@ -9,7 +9,7 @@ from conformix.functions import geometry as G
 from conformix.functions import predicates as P
 from conformix.operators import evaluate as E
 from conformix.operators import spatial
-from conformix.operators.graph import components
+from conformix.operators import routes as R
 from conformix.plans import normalize as N
 from conformix.plans import oracle_parts as O
 from conformix.sources import derived as D
@@ -184,118 +184,33 @@ def m17(spark, sf_dir):
 # -- routes --------------------------------------------------------------------------------------
 
 
-def routes(e: DataFrame, drawings: DataFrame, tolerance_mm: float = 1.0) -> DataFrame:
-    """(drawing_key, seq, system, root): connected components of one system's geometric entities that touch within the tolerance."""
-    m = e.where("system IS NOT NULL AND kind IN ('polyline', 'circle')").join(drawings.select("drawing_key", "unit_to_mm"), "drawing_key")
-    s, t = (m.select("drawing_key", "system", F.struct(*[c for c in m.columns if c not in ("drawing_key", "unit_to_mm", "system")]).alias(n), F.col("unit_to_mm").alias(f"u{n}")) for n in "st")
-    left = s.withColumnsRenamed({"system": "sys", "us": "u"})
-    right = side(m.drop("unit_to_mm"), "t")
-    tol = F.lit(tolerance_mm) / F.col("u")
-    a = left.withColumn("r", F.lit(tolerance_mm) / F.col("u"))
-    pairs = spatial.candidates(a, right, 2000.0, tolerance_mm).where("t.seq > s.seq AND t.system = sys")
-    edges = spatial.distances(pairs, tol).select(F.col("s.seq").alias("a"), F.col("t.seq").alias("b"))
-    comp = components(edges)
-    return m.join(comp.select(F.col("node").alias("seq"), "component"), "seq", "left").withColumn("root", F.coalesce("component", "seq")).drop("component", "unit_to_mm")
+def members(spark, sf_dir):
+    return R.routes(classified(spark, sf_dir), D.drawings(spark, sf_dir))
 
 
-def route_table(members: DataFrame) -> DataFrame:
-    """(drawing_key, route_id, system, entity_count, length): numbered by system in order of their first member."""
-    stats = side(members, "s").groupBy("drawing_key", F.col("s.system").alias("system"), F.col("s.root").alias("root")).agg(F.count("*").alias("entity_count"), F.round(F.sum(G.length(F.col("s"))), 3).alias("length"))
-    n = F.row_number().over(Window.partitionBy("drawing_key", "system").orderBy("root"))
-    return stats.withColumn("route_id", F.format_string("R-%s-%03d", "system", n)).drop("root")
+# in the derived drawings a cell's SCADA runs meet at one end, its POWER runs cross where POWER-CROSS spans the cable, and supports overlap by their discs or rims
+_TOUCH = f"""m AS (SELECT * FROM ent WHERE system IS NOT NULL AND kind<>'text'),
+near AS (SELECT s.seq a, t.seq b FROM m s JOIN m t ON s.drawing_key=t.drawing_key AND s.system=t.system AND s.seq<t.seq AND s.minx-1/s.unit_to_mm<=t.maxx AND t.minx<=s.maxx+1/s.unit_to_mm AND s.miny-1/s.unit_to_mm<=t.maxy AND t.miny<=s.maxy+1/s.unit_to_mm
+ WHERE CASE WHEN s.kind='polyline' THEN {O.line_line()}<=1/s.unit_to_mm ELSE sqrt(pow(s.cx-t.cx,2)+pow(s.cy-t.cy,2))<=s.radius+t.radius+1/s.unit_to_mm END),
+walk AS (WITH RECURSIVE r(seq, root) AS (SELECT seq, seq FROM m UNION SELECT n.b, r.root FROM r JOIN (SELECT a, b FROM near UNION SELECT b, a FROM near) n ON n.a=r.seq) SELECT seq, min(root) root FROM r GROUP BY seq),
+mr AS (SELECT m.*, w.root, CASE kind WHEN 'circle' THEN 2*pi()*radius ELSE sqrt(pow(bx-ax,2)+pow(ye-ay,2)) END len FROM m JOIN walk w USING (seq)),
+rt AS (SELECT drawing_key, system, root, printf('R-%s-%03d', system, row_number() OVER (PARTITION BY drawing_key, system ORDER BY root)) route_id, count(*) entity_count, round(sum(len),3) length, list(handle ORDER BY seq)[1:50] handles FROM mr GROUP BY drawing_key, system, root)"""
 
 
-@query(
-    "j07_g1_routes",
-    f"""WITH {ENT}, m AS (SELECT * FROM ent WHERE system='SCADA' AND kind='polyline'),
-st AS (SELECT drawing_key, min(seq) root, count(*) entity_count, round(sum(sqrt(pow(bx-ax,2)+pow(ye-ay,2))),3) length FROM m GROUP BY drawing_key, k)
-SELECT drawing_key, printf('R-SCADA-%03d', row_number() OVER (PARTITION BY drawing_key ORDER BY root)) route_id, 'SCADA' system, entity_count, length FROM st""",
-)
+@query("j07_g1_routes", f"WITH {ENT}, {_TOUCH} SELECT drawing_key, route_id, system, entity_count, length, handles FROM rt")
 def j07(spark, sf_dir):
-    return route_table(routes(classified(spark, sf_dir).where("system = 'SCADA'"), D.drawings(spark, sf_dir)))
+    return R.route_table(members(spark, sf_dir))
 
 
 @query(
     "j09_nearby_objects",
-    f"""WITH {ENT}, p AS (SELECT s.seq a, t.seq b, t.handle h, round({O.line_circle()}*1.0,1) d FROM ent s JOIN ent t ON s.drawing_key=t.drawing_key AND s.layer='POWER-CROSS' AND t.layer='SUPPORT' AND s.minx-1000/s.unit_to_mm<=t.maxx AND t.minx<=s.maxx+1000/s.unit_to_mm AND s.miny-1000/s.unit_to_mm<=t.maxy AND t.miny<=s.maxy+1000/s.unit_to_mm WHERE {O.line_circle()}<=1000/s.unit_to_mm),
-r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, h) n FROM p) SELECT a, h AS handle, d AS distance, n::int rank FROM r WHERE n<=2""",
+    f"""WITH {ENT}, p AS (SELECT s.seq a, t.handle h, t.layer l, t.entity_type ty, coalesce(t.system,'') sy, round(CASE t.kind WHEN 'polyline' THEN CASE WHEN t.closed THEN NULL ELSE {O.line_line()} END ELSE {O.line_circle()} END,1) d, CASE t.kind WHEN 'polyline' THEN {O.line_line()} ELSE {O.line_circle()} END exact
+ FROM ent s JOIN ent t ON s.drawing_key=t.drawing_key AND s.seq<>t.seq AND s.layer='POWER-CROSS' AND t.layer IN ('SUPPORT','WATER','SCADA-CABLE','POWER-CABLE','POWER-CROSS') AND s.minx-1000/s.unit_to_mm<=t.maxx AND t.minx<=s.maxx+1000/s.unit_to_mm AND s.miny-1000/s.unit_to_mm<=t.maxy AND t.miny<=s.maxy+1000/s.unit_to_mm WHERE exact<=1000/s.unit_to_mm),
+r AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d, h) n FROM p) SELECT a::varchar issue_id, list(h||' '||l||' '||ty||' '||sy||' '||printf('%.1f', d) ORDER BY n) near FROM r WHERE n<=8 GROUP BY a""",
 )
 def j09(spark, sf_dir):
-    e = entities(spark, sf_dir).join(D.drawings(spark, sf_dir).select("drawing_key", "unit_to_mm"), "drawing_key")
-    s, t = side(e.where("layer = 'POWER-CROSS'"), "s"), side(e.where("layer = 'SUPPORT'"), "t")
-    r = F.lit(1000.0) / F.col("s.unit_to_mm")
-    s = s.withColumn("r", r)
-    pairs = spatial.distances(spatial.candidates(s, t, 2000.0, 1000.0), F.col("r"))
-    w = Window.partitionBy("a").orderBy("distance", "handle")
-    return pairs.select(F.col("s.seq").alias("a"), F.col("t.handle").alias("handle"), F.round("distance", 1).alias("distance")).withColumn("rank", F.row_number().over(w)).where("rank <= 2")
-
-
-# -- normalisation -------------------------------------------------------------------------------
-
-
-@query("n01_unit_resolution", "SELECT n_nationkey drawing, c code, CASE c WHEN 1 THEN 25.4 WHEN 2 THEN 304.8 WHEN 4 THEN 1.0 WHEN 5 THEN 10.0 WHEN 6 THEN 1000.0 ELSE 1.0 END::double unit_to_mm, c NOT IN (1,2,4,5,6) units_assumed FROM (SELECT n_nationkey, [4,5,6,1,2,0,99][(n_nationkey%7+1)::int] c FROM nation)")
-def n01(spark, sf_dir):
-    codes = F.element_at(F.array(*map(F.lit, (4, 5, 6, 1, 2, 0, 99))), (F.col("n_nationkey") % 7 + 1).cast("int"))
-    raw = D.read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("drawing"), codes.alias("code"))
-    return N.resolve_units(raw, "code").select("drawing", "code", "unit_to_mm", "units_assumed")
-
-
-@query("n02_arc_flattening", "SELECT c_custkey arc, greatest(1, ceil(radians(30+c_custkey%300)/(2*acos(1-0.1/(50+c_custkey%500)))))::int chords, round(50+c_custkey%500,3)::double end_distance FROM customer")
-def n02(spark, sf_dir):
-    c = F.col("c_custkey")
-    arcs = D.read(spark, sf_dir, "customer").select(c.alias("arc"), (50 + c % 500).cast("double").alias("radius"), (c * 37 % 360).cast("double").alias("start"), (30 + c % 300).cast("double").alias("sweep"))
-    pts = N.flatten_arc(F.lit(0.0), F.lit(0.0), F.col("radius"), F.col("start"), F.col("start") + F.col("sweep"), 0.1)
-    out = arcs.withColumn("p", pts)
-    return out.select("arc", (F.size("p") - 1).alias("chords"), F.round(F.hypot(F.element_at("p", -1)["x"], F.element_at("p", -1)["y"]), 3).alias("end_distance"))
-
-
-@query("n04_circle_scaling", "SELECT c_custkey k, CASE WHEN c_custkey%2=0 THEN 'circle' ELSE 'polyline' END kind, CASE WHEN c_custkey%2=0 THEN 2.0*(50+c_custkey%500) END::double radius FROM customer")
-def n04(spark, sf_dir):
-    c = F.col("c_custkey")
-    raw = D.read(spark, sf_dir, "customer").select(c.alias("k"), (50 + c % 500).cast("double").alias("r"), F.array(F.lit(2.0), F.lit(0.0), F.lit(0.0), F.when(c % 2 == 0, 2.0).otherwise(3.0), F.lit(10.0), F.lit(20.0)).alias("m"))
-    return raw.select("k", N.transform_circle(F.lit(1.0), F.lit(1.0), F.col("r"), F.col("m")).alias("g")).select("k", "g.kind", "g.radius")
-
-
-def _blocks(spark, sf_dir):
-    n = D.read(spark, sf_dir, "nation")
-    c = D.read(spark, sf_dir, "customer")
-    scale = F.when(F.col("n_nationkey") % 2 == 0, 1.0).otherwise(2.0)
-    many = F.col("n_nationkey") % 3 == 0
-    identity = lambda s, x, y: F.array(s, F.lit(0.0), F.lit(0.0), s, x, y)
-    ins = n.select(F.concat(F.lit("R"), "n_regionkey").alias("container"), F.concat(F.lit("N"), "n_nationkey").alias("handle"), F.concat(F.lit("B"), "n_nationkey").alias("block"), identity(scale, F.col("n_nationkey") * 1000.0, F.lit(0.0)).alias("m"), F.when(many, 2).otherwise(1).alias("rows"), F.when(many, 3).otherwise(1).alias("cols"), F.lit(5000.0).alias("dx"), F.lit(7000.0).alias("dy"), F.lit("0").alias("layer"))
-    top = D.read(spark, sf_dir, "region").select(F.lit("MODEL").alias("container"), F.concat(F.lit("T"), "r_regionkey").alias("handle"), F.concat(F.lit("R"), "r_regionkey").alias("block"), identity(F.lit(1.0), F.lit(0.0), F.col("r_regionkey") * 100000.0).alias("m"), F.lit(1).alias("rows"), F.lit(1).alias("cols"), F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"), F.concat(F.lit("L"), "r_regionkey").alias("layer"))
-    loop = top.where("handle = 'T0'").withColumns({"container": F.lit("R0"), "handle": F.lit("LOOP"), "block": F.lit("R0")})
-    prims = c.select(F.concat(F.lit("B"), F.col("c_custkey") % 25).alias("container"), F.hex("c_custkey").alias("handle"), F.when(F.col("c_custkey") % 6 == 0, "0").otherwise("OWN").alias("layer"), F.array(F.struct((F.col("c_custkey") % 100).cast("double").alias("x"), F.lit(1.0).alias("y"))).alias("points"))
-    return prims, ins.unionByName(top).unionByName(loop)
-
-
-_EXPAND = """WITH i AS (SELECT n_nationkey nk, n_regionkey rk, CASE WHEN n_nationkey%2=0 THEN 1 ELSE 2 END s, CASE WHEN n_nationkey%3=0 THEN 2 ELSE 1 END rws, CASE WHEN n_nationkey%3=0 THEN 3 ELSE 1 END cls FROM nation),
-c AS (SELECT *, r, l FROM i, range(2) a(r), range(3) b(l) WHERE r<rws AND l<cls),
-p AS (SELECT c_custkey ck, c_custkey%25 nk, c_custkey%100 x, CASE WHEN c_custkey%6=0 THEN '0' ELSE 'OWN' END layer FROM customer)"""
-
-
-@query(
-    "n07_block_expansion",
-    _EXPAND + " SELECT 'T'||rk||'>N'||c.nk||CASE WHEN rws*cls>1 THEN '['||(r*cls+l)||']' ELSE '' END||'>'||printf('%X',ck) handle, CASE WHEN layer='0' THEN 'L'||rk ELSE layer END layer, (c.nk*1000+s*x+l*5000*s)::double x, (rk*100000+s*1+r*7000*s)::double y FROM c JOIN p USING (nk)",
-)
-def n07(spark, sf_dir):
-    prims, inserts = _blocks(spark, sf_dir)
-    out, _ = N.expand_blocks(prims, inserts)
-    p = F.element_at("points", 1)
-    return out.select("handle", "layer", F.round(p["x"], 6).alias("x"), F.round(p["y"], 6).alias("y"))
-
-
-@query("n07_block_warnings", "SELECT 'T0>LOOP' handle, 'cycle' warning")
-def n07w(spark, sf_dir):
-    prims, inserts = _blocks(spark, sf_dir)
-    return N.expand_blocks(prims, inserts)[1].select("handle", "warning")
-
-
-@query("n10_type_counts", f"WITH {ENT} SELECT drawing_key, entity_type, entity_type IN ('LINE','CIRCLE','LWPOLYLINE') supported, count(*) n FROM ent GROUP BY 1,2,3")
-def n10(spark, sf_dir):
-    return entities(spark, sf_dir).groupBy("drawing_key", "entity_type", F.col("entity_type").isin("LINE", "CIRCLE", "LWPOLYLINE").alias("supported")).agg(F.count("*").alias("n"))
-
-
-@query("n11_entity_cap", f"WITH {ENT}, r AS (SELECT *, row_number() OVER (PARTITION BY drawing_key ORDER BY seq) n FROM ent) SELECT drawing_key, count(*) kept, max(seq) last_seq FROM r WHERE n<=2000 GROUP BY 1")
-def n11(spark, sf_dir):
-    return N.cap_entities(entities(spark, sf_dir), 2000).groupBy("drawing_key").agg(F.count("*").alias("kept"), F.max("seq").alias("last_seq"))
+    """What lies near every power crossing, each of them an issue of its own."""
+    e = classified(spark, sf_dir).where("kind <> 'text' AND NOT closed")
+    involved = e.where("layer = 'POWER-CROSS'").select(F.col("seq").cast("string").alias("issue_id"), "drawing_key", F.lit(0).alias("pos"), "seq")
+    near = R.nearby(involved, e, D.drawings(spark, sf_dir))
+    return near.select("issue_id", F.transform("nearby", lambda x: F.concat_ws(" ", x["handle"], x["layer"], x["entity_type"], x["system"], F.format_string("%.1f", x["distance"]))).alias("near"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from conformix.operators import documents as Docs
 from conformix.operators import evaluate as E
 from conformix.operators import reports as R
+from conformix.operators import routes as Routes
 from conformix.plans import oracle_parts as O
 from conformix.plans import queries_drawings as QD
 from conformix.plans.queries_candidates import once
@@ -258,7 +259,6 @@ def a21(spark, sf_dir):
     return d.groupBy(F.substring_index("rel_path", "/", 1).alias("folder"), "action").agg(F.count("*").alias("n"))
 
 
-@query("a07_routes_by_system", f"WITH {O.entities()} SELECT drawing_key, system, count(DISTINCT k) routes FROM ent WHERE system='SCADA' AND kind='polyline' GROUP BY ALL")
+@query("a07_routes_by_system", f"WITH {O.entities()}, {QD._TOUCH} SELECT drawing_key, system, count(DISTINCT root) routes, count(*) entities FROM mr GROUP BY ALL")
 def a07(spark, sf_dir):
-    t = QD.route_table(QD.routes(QD.classified(spark, sf_dir).where("system = 'SCADA'"), D.drawings(spark, sf_dir)))
-    return t.groupBy("drawing_key", "system").agg(F.count("*").alias("routes"))
+    return Routes.routes_by_system(QD.members(spark, sf_dir))

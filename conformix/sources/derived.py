@@ -122,3 +122,74 @@ def document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     lines = docs.select(F.col("doc_id").cast("string").alias("document_id"), F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("filename"), F.lit(1).alias("page"), F.posexplode(F.split("text", "\n")).alias("i", "text"))
     return lines.select("document_id", "filename", "page", (F.col("i") + 1).alias("line_no"), "text")
+
+
+#: Customers to a drawing of raw primitives.
+PER_RAW = 64
+RAW_CODES = (4, 5, 6, 1, 2, 0, 99, 22)
+
+# inserts of each drawing d: slot of the customer, in which drawings, container, block, layer, matrix, rows, columns, spacing
+RAW_INSERTS = [
+    ("s = 1", "MODEL", "ROOT", "concat('L', d % 5)", "1,0,0,1,0,d*100,0", 1, 1),
+    ("s IN (2, 4)", "ROOT", "B{s}", "'0'", "1,0,0,1,s*1000,0,s*10", 1, 1),
+    ("s IN (3, 5)", "ROOT", "B{s}", "'INS'", "2,0,0,2,s*1000,0,0", 1, 1),
+    ("s = 6", "ROOT", "B6", "'0'", "1,0,0,1,6000,0,0", 2, 3),
+    ("s = 7 AND d % 3 = 0", "B2", "ROOT", "'0'", "1,0,0,1,0,0,0", 1, 1),
+    ("s = 7 AND d % 3 <> 0", "B2", "B5", "'0'", "1,0,0,1,7,7,0", 1, 1),
+    ("s = 8 AND d % 2 = 0", "ROOT", "NOPE", "'0'", "1,0,0,1,0,0,0", 1, 1),
+    ("s = 9", "MODEL", "B3", "'STRETCH'", "2,0,0,3,50,60,0", 1, 1),
+    ("s = 10 AND d % 4 = 1", "ROOT", "B4", "'0'", "1,0,0,1,0,0,0", 400, 300),
+    ("s = 11", "MODEL", "B6", "'TURN'", "0,1,-1,0,10,20,0", 1, 1),
+    ("s = 12 AND d % 7 = 0", "MODEL", "D1", "'0'", "1,0,0,1,1,0,0", 1, 1),
+    ("s BETWEEN 13 AND 21 AND d % 7 = 0", "D{s-12}", "D{s-11}", "'0'", "1,0,0,1,1,0,0", 1, 1),
+]
+
+
+def _named(text: str, sql: str) -> str:
+    """A name with a number in braces as an SQL expression."""
+    head, _, rest = text.partition("{")
+    return f"'{head}'" if not rest else sql.format(head=head, n=rest[:-1])
+
+
+def raw_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(drawing_key, k, d, s): customers dealt to drawings of raw primitives."""
+    k = F.col("c_custkey")
+    c = read(spark, sf_dir, "customer").select(k.alias("k"), F.floor(k / PER_RAW).alias("d"), (k % PER_RAW).alias("s"))
+    return c.select(F.concat(F.lit("raw-"), F.col("d").cast("string")).alias("drawing_key"), "k", "d", "s")
+
+
+def raw_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(drawing_key, code): the unit code of every raw drawing."""
+    codes = F.element_at(F.array(*map(F.lit, RAW_CODES)), (F.col("d") % len(RAW_CODES) + 1).cast("int"))
+    return raw_customers(spark, sf_dir).select("drawing_key", codes.alias("code")).distinct()
+
+
+def raw_inserts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base, out = raw_customers(spark, sf_dir), None
+    for where, container, block, layer, m, rows, cols in RAW_INSERTS:
+        name = lambda t: _named(t, "concat('{head}', CAST({n} AS STRING))")
+        matrix = "array(" + ",".join(f"CAST({x} AS DOUBLE)" for x in m.split(",")) + ")"
+        one = base.where(where).selectExpr("drawing_key", f"{name(container)} AS container", "k AS ord", "concat('I', CAST(k AS STRING)) AS handle", f"{name(block)} AS block", f"{layer} AS layer", f"{matrix} AS m", f"{rows} AS rows", f"{cols} AS cols", "5000D AS dx", "7000D AS dy")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def raw_primitives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Primitives of every type in the model and in blocks whose names repeat from drawing to drawing."""
+    k, s = F.col("k"), F.col("s")
+    x = (k % 100).cast("double")
+    kind = F.element_at(F.array(*map(F.lit, ("LINE", "LWPOLYLINE", "POLYLINE", "ARC", "CIRCLE", "TEXT", "SPLINE", "ELLIPSE"))), (F.floor(s / 8) + 1).cast("int"))
+    kind = F.when((kind == "ELLIPSE") & (s % 2 == 1), "MESH").otherwise(kind)
+    place = F.when(s % 8 == 0, "MODEL").when(s % 8 == 1, "ROOT").when(s % 8 == 7, "D8").otherwise(F.concat(F.lit("B"), (s % 8).cast("string")))
+    z = F.when(k % 2 == 1, 5.0).otherwise(0.0)
+    at = lambda *ps: F.array(*[F.struct((x + px).alias("x"), F.lit(float(py)).alias("y"), z.alias("z")) for px, py in ps])
+    axis = F.array(F.struct(F.lit(20.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z")))
+    points = F.when(kind == "LINE", at((0, 1), (10, 1))).when(kind == "LWPOLYLINE", at((0, 0), (10, 0), (10, 10), (0, 0))).when(kind == "POLYLINE", at((3, 4))).when(kind == "SPLINE", at((0, 0), (5, 5), (9, 0), (0, 0))).when(kind == "ELLIPSE", axis)
+    centred, round_ = kind.isin("ARC", "CIRCLE", "TEXT", "ELLIPSE"), kind.isin("ARC", "ELLIPSE")
+    start = F.when(kind == "ARC", k * 37 % 360).otherwise(0)
+    return raw_customers(spark, sf_dir).select(
+        "drawing_key", place.alias("container"), k.alias("ord"), F.hex("k").alias("handle"), F.when(k % 6 == 0, "0").otherwise("OWN").alias("layer"), kind.alias("type"), points.alias("points"), (kind == "LWPOLYLINE").alias("closed"),
+        F.when(centred, x).alias("cx"), F.when(centred, 5.0).alias("cy"), F.when(centred, (k % 3).cast("double")).alias("cz"), F.when(kind == "ARC", (50 + k % 50).cast("double")).when(kind == "CIRCLE", (10 + k % 7).cast("double")).alias("radius"),
+        F.when(kind == "ELLIPSE", 0.5).alias("ratio"), F.when(round_, start.cast("double")).alias("start_deg"), F.when(round_, (start + F.when(kind == "ARC", 30 + k % 300).otherwise(360)).cast("double")).alias("end_deg"),
+        F.when(kind == "TEXT", F.concat(F.lit("T"), k.cast("string"))).alias("text"), F.when(kind == "TEXT", 2.5).alias("text_height"), F.lit(None).cast("string").alias("tag"),
+    )

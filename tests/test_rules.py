@@ -26,11 +26,34 @@ def test_invalid_rules(bad):
 
 
 def test_templates_number_their_rules():
-    made = R.build_rule("max_length", {"subject": {"system": "S"}, "value": 6, "unit": "m"}, {"MAX-LENGTH-001"})
-    assert made["id"] == "MAX-LENGTH-002" and made["operator"] == "<="
+    made = R.build_rule("max_length", {"subject": {"system": "S"}, "value": 6, "unit": "m"}, {"MAX-LENGTH-01"})
+    assert made["id"] == "MAX-LENGTH-02" and made["operator"] == "<=" and made["name"] == "「S」的單一物件長度不得超過 6 m"
+
+
+def test_templates_measure_what_their_sentences_say():
+    two = {"subject": {"system": "S"}, "target": {"layers": ["A", "B"]}, "value": 300}
+    assert R.build_rule("clearance", two)["measurement"] == "horizontal_clearance"
+    assert R.build_rule("clearance", two)["target"] == {"or": [{"layer_equals": "A"}, {"layer_equals": "B"}]}
+    assert R.build_rule("max_distance", two)["quantifier"] == "any"
+    r = R.build_rule("orthogonal", {"subject": {"layer": "A"}})
+    assert (r["value"], r["unit"], r["subject"]) == (1, "deg", {"layer_equals": "A"})
+    r = R.build_rule("entity_exists", {"subject": {"layer": "A"}})
+    assert (r["measurement"], r["operator"], r["value"]) == ("entity_exists", ">=", 1)
+    for bad in ({}, {"subject": {"layer": ""}}, {"subject": {"layers": []}}, {"subject": {"layer": "A", "system": "B"}}):
+        with pytest.raises(R.RuleError):
+            R.build_rule("entity_exists", bad)
+    with pytest.raises(R.RuleError):
+        R.build_rule("min_count", {"subject": {"layer": "A"}, "value": 1.5})
+
+
+@pytest.mark.parametrize("name", ["-A", "_A", "A" * 81, "A B", "é"])
+def test_ids_of_rules(name):
+    with pytest.raises(R.RuleError):
+        R.normalise(rule(id=name))
+    assert R.normalise(rule(id="A" * 80))["id"]
 
 
-@pytest.mark.parametrize("pattern", ["(a+)+$", "(?:x*y?)*z", "((a|b)*c)*", "a" * 501, "(", "(?:(?:a+)b)*"])
+@pytest.mark.parametrize("pattern", ["(a+)+$", "(?:x*y?)*z", "((a|b)*c)*", "a" * 201, "(", "(?:(?:a+)b)*"])
 def test_patterns_that_must_not_run(pattern):
     with pytest.raises(P.PredicateError):
         P.validate({"layer_regex": pattern})
