@@ -28,6 +28,11 @@ def nfkc(c: Column) -> Column:
     return F.translate(c, _WIDE, _NARROW)
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+
+
 def normalize(c: Column) -> Column:
     return F.regexp_replace(F.lower(nfkc(c)), r"(?U)\s+", "")
 
@@ -45,10 +50,14 @@ def canonical_unit(word: Column) -> Column:
     return F.try_element_at(table, F.lower(word))
 
 
-def quantities_in(c: Column) -> Column:
-    """array<struct<value, unit>>: numbers written with a unit; "in" before a word is no inch."""
+def quantities_in(c: Column, with_text: bool = False) -> Column:
+    """array<struct<value, unit>>, and text as written if asked for: numbers written with a unit; "in" before a word is no inch."""
     text = F.regexp_replace(nfkc(c), r"(?i)(\d\s*)(in|inch|inches|吋|英吋)(?=\s+[A-Za-z])", "$1#")
     values, units = (F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(g)) for g in (1, 2))
+    if with_text:
+        whole = F.regexp_extract_all(text, F.lit(QUANTITY), F.lit(0))
+        parts = F.arrays_zip(values.alias("v"), units.alias("u"), whole.alias("t"))
+        return F.transform(parts, lambda x: F.struct(F.replace(x["v"], F.lit(","), F.lit("")).cast("double").alias("value"), canonical_unit(x["u"]).alias("unit"), x["t"].alias("text")))
     return F.zip_with(values, units, lambda v, u: F.struct(F.replace(v, F.lit(","), F.lit("")).cast("double").alias("value"), canonical_unit(u).alias("unit")))
 
 
