@@ -14,6 +14,11 @@ MARKER_LAYERS = {"FAIL": "ERI_FAIL", "WARNING": "ERI_WARNING", "UNKNOWN": "ERI_U
 CSV_COLUMNS = "問題編號 狀態 規則嚴重度 信心 規則編號 規則名稱 檢查方式 圖層 系統 Handle X Y 實測值 規則要求 單位 證據編號 證據出處 說明 判定依據 建議處理 與基準比較 專案".split()
 ZONE_RULES = {"outside_zone": ("必須進入區域（不在區域外）", "必須在區域外"), "inside_zone": ("不得完全在區域內", "必須完全在區域內")}
 ZONE_FOUND = {"outside_zone": ("進入了區域", "在區域外"), "inside_zone": ("不在（或未完全在）區域內", "完全在區域內")}
+# Names of the measurements.
+MEASURED = {
+    "distance": "距離", "minimum_distance": "最短距離", "horizontal_clearance": "水平淨距", "vertical_clearance": "垂直淨距", "intersection": "交叉", "overlap": "重疊長度", "inside_zone": "位於區域內", "outside_zone": "位於區域外",
+    "length": "長度", "angle": "角度", "off_axis_angle": "偏離正交角度", "entity_count": "物件數量", "entity_exists": "指定物件存在", "connectivity": "路徑連通性",
+}
 ANY_RESULT, NO_RESULT = "任何結果都符合（沒有限制）", "沒有任何結果能符合"
 
 

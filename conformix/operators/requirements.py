@@ -69,12 +69,12 @@ def _nothing(c: Column) -> Column:
 
 
 def name_of(c: Column) -> Column:
-    """A party's bare name: no joining words, determiners or verbs at its ends (four turns reach every ending in use)."""
+    """A party's bare name: no joining words, determiners or verbs at its ends. Each turn that finds an ending shortens the name, so
+    as many turns as it has characters are enough."""
     c = F.regexp_replace(c, "^[ ,，、]+|[ ,，、]+$", "")
     for lead in LEADS:
         c = F.regexp_replace(c, lead, "")
-    for _ in range(4):
-        c = F.trim(F.regexp_replace(c, TAIL, ""))
+    c = F.aggregate(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), c, lambda name, _: F.trim(F.regexp_replace(name, TAIL, "")))
     return F.trim(F.regexp_replace(c, "(?:之|的|等|與|和|及|跟)$", ""))
 
 
@@ -177,9 +177,11 @@ def with_limit(df: DataFrame) -> DataFrame:
     length = F.col("_u").isNotNull() & (F.col("_u") != "deg")
     counted = Q.count_of(F.regexp_extract(nf, f"至少.*?{COUNTED}", 1)).cast("double")
     fixed = shape.isin(*CROSSINGS, *ZONES)
+    written = F.concat(F.trim(F.regexp_extract("_where", _NUMBER, 0)), F.when(F.col("_trailing"), F.col("_after")).otherwise(""))
     df = df.withColumns(
         {
             "_op": operator,
+            "value_text": F.when(F.col("_read") & F.col("_number").isNotNull(), written).when(shape == "count", F.regexp_extract(nf, f"至少.*?({COUNTED})", 1)).otherwise(""),
             "value": F.when(shape.isin(*CROSSINGS), 0.0).when(shape.isin(*ZONES), 1.0).when(shape == "count", counted).when(F.col("_read"), F.when(length & (shape != "square"), Q.to_mm(number, F.col("_u"))).otherwise(number)),
             "unit": F.when(fixed | ((shape == "count") & counted.isNotNull()), "count").when(F.col("_read"), F.when(length & (shape != "square"), "mm").otherwise(F.col("_u"))),
             "operator": F.when(fixed, "==").when(shape == "count", ">=").when(shape == "square", "<=").when(F.col("_read"), operator),
@@ -235,14 +237,14 @@ def judged(df: DataFrame) -> DataFrame:
         {
             "template": F.when(ok, F.when(far, "max_distance").otherwise(pick(0))),
             "measurement": F.when(ok, F.when(far, "distance").otherwise(pick(1))),
-            "operator": F.when(ok, F.col("operator")), "value": F.when(ok, value), "unit": F.when(ok, F.col("unit")),
+            "operator": F.when(ok, F.col("operator")), "value": F.when(ok, value), "unit": F.when(ok, F.col("unit")), "value_text": F.when(ok, F.col("value_text")).otherwise(""),
             "subject": F.when(ok, F.col("subject")).otherwise(""), "target": F.when(ok, F.col("target")).otherwise(""), "zone": F.when(ok, F.col("zone")).otherwise(""),
             "problems": F.when(ok, F.array_distinct(F.array_compact(problems))).otherwise(none), "enforceable": ok,
         }
     )
 
 
-FIELDS = ["part", "modality", "template", "measurement", "operator", "value", "unit", "subject", "target", "zone", "problems", "enforceable", "reason"]
+FIELDS = ["part", "modality", "template", "measurement", "operator", "value", "unit", "value_text", "subject", "target", "zone", "problems", "enforceable", "reason"]
 
 
 def requirements(sentences: DataFrame, key: list[str]) -> DataFrame:
