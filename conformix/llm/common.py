@@ -7,7 +7,14 @@ from collections.abc import Iterator
 import numpy as np
 
 from conformix.operators.graph import components  # noqa: F401
-from conformix.sources.tables import checked_join, discard, materialise, shared_dir, tasks  # noqa: F401
+from conformix.sources.tables import BATCH, BATCH_BYTES, checked_join, discard, materialise, shared_dir, tasks  # noqa: F401
+
+def small_batches(spark) -> None:
+    """Bounds the Arrow batches of the session by their bytes, unless that is set already: rows of whole texts would else come to a task
+    ten thousand at a time. What is returned unwritten runs later, so the setting stays."""
+    if int(spark.conf.get(BATCH)) > BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
 
 # --- text as bytes -----------------------------------------------------------------------------
 

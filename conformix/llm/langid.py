@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conformix.llm.common import _LOWER, chunks
+from conformix.llm.common import _LOWER, small_batches
 
 #: Lengths of the byte n-grams of the blended spectrum, and the size of the hashed feature space of their presence.
 NGRAMS, SPACE = (1, 2, 3, 4), 1 << 14
@@ -98,9 +98,13 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     of any length are read. Columns named lang_pred or score are replaced. Repeated rows stay; empty tables stay empty.
     """
     keep = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
-    wide = docs.select(F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_letters"), F.col(text).cast("binary").alias("_bytes"), *[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(keep)])
-    names = [f"k{i}" for i in range(len(keep))]
-    schema = T.StructType([wide.schema[c] for c in names] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    small_batches(docs.sparkSession)
+    # a kept text goes to the task once and comes back as the bytes that were read
+    names = ["_bytes" if c == text and docs.schema[c].dataType == T.StringType() else f"k{i}" for i, c in enumerate(keep)]
+    others = [F.col(f"`{c}`").alias(n) for c, n in zip(keep, names) if n != "_bytes"]
+    wide = docs.select(F.coalesce(F.col(text).rlike("\\p{L}"), F.lit(False)).alias("_letters"), F.col(text).cast("binary").alias("_bytes"), *others)
+    back = [n for n in wide.columns[1:] if n in names]
+    schema = T.StructType([wide.schema[c] for c in back] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches):
         for b in batches:
@@ -112,6 +116,6 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
                     p = model.scores(presence(part.column(1).take(pa.array(ok)).to_pylist()))
                     for j, k, s in zip(ok, p.argmax(axis=1), p.max(axis=1)):
                         named[j], top[j] = model.langs[k], min(1.0, float(s))
-                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(named, pa.string()), pa.array(top, pa.float64())], [*names, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in back], pa.array(named, pa.string()), pa.array(top, pa.float64())], [*back, "lang_pred", "score"])
 
-    return wide.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], "lang_pred", "score")
+    return wide.mapInArrow(run, schema).select(*[(F.col(n).cast("string") if n == "_bytes" else F.col(n)).alias(c) for n, c in zip(names, keep)], "lang_pred", "score")
