@@ -12,7 +12,7 @@ from conformix.sources.tables import BATCH, BATCH_BYTES, checked_join, discard,
 def small_batches(spark) -> None:
     """Bounds the Arrow batches of the session by their bytes, unless that is set already: rows of whole texts would else come to a task
     ten thousand at a time. What is returned unwritten runs later, so the setting stays."""
-    if int(spark.conf.get(BATCH)) > BATCH_BYTES:
+    if spark.conf.get(BATCH) == "67108864b":  # Spark's own
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
