@@ -97,16 +97,27 @@ def validate(tree, kind: str = "entity") -> None:
         raise PredicateError("; ".join(wrong))
 
 
+# How each word of a predicate is said.
+SAID = {
+    "layer_regex": "圖層符合 /{}/", "layer_equals": "圖層 = {}", "layer_contains": "圖層包含「{}」", "entity_type": "類型為 {}", "system": "系統為 {}", "text_regex": "文字符合 /{}/",
+    "same_layer": "相同圖層", "different_layer": "不同圖層", "same_system": "相同系統", "different_system": "不同系統",
+}
+JOINED = {"and": " 且 ", "or": " 或 "}
+
+
 def describe(node: dict) -> str:
+    """A predicate in words."""
     parts = []
-    for k, v in node.items():
-        if k in ("and", "or"):
-            parts.append("(" + f" {k} ".join(describe(x) for x in v) + ")")
-        elif k == "not":
-            parts.append(f"not ({describe(v)})")
+    for word, held in node.items():
+        if word in JOINED:
+            parts.append(f"（{JOINED[word].join(map(describe, held))}）")
+        elif word == "not":
+            parts.append("非 " + describe(held))
+        elif isinstance(held, bool):
+            parts.append(("" if held else "非") + SAID[word])
         else:
-            parts.append(f"{k}={v}")
-    return " and ".join(parts)
+            parts.append(SAID[word].format("/".join(_words(held))))
+    return JOINED["and"].join(parts)
 
 
 def _all(parts: list[Column], way) -> Column:

@@ -88,10 +88,13 @@ class Evaluator:
             (F.coalesce("s.system", F.lit("")) if "s" in has else F.lit("")).alias("system"),
             F.col("targets").cast("array<string>").alias("target_handles"),
             F.round("v", 3).alias("measured"),
+            F.col("v").cast("double").alias("exact"),
             F.col("loc")["x"].alias("loc_x"),
             F.col("loc")["y"].alias("loc_y"),
             (F.col("violations") if "violations" in has else F.lit(None)).cast("long").alias("violations"),
             (F.col("contained") if "contained" in has else F.lit(False)).alias("contained"),
+            (F.col("counted") if "counted" in has else F.lit(None)).cast("long").alias("counted"),
+            (F.struct("pa", "pb") if "pa" in has else F.lit(None)).cast("struct<pa:struct<x:double,y:double>,pb:struct<x:double,y:double>>").alias("closest"),
             (F.col("listed") if "listed" in has else F.lit(None)).cast("array<string>").alias("listed_handles"),
             (F.col("groups") if "groups" in has else F.lit(None)).cast("array<array<string>>").alias("groups"),
         )
@@ -169,7 +172,7 @@ class Evaluator:
         targets = F.when(decided, F.array()).when(F.col("k") == 1, F.array("second")).otherwise(F.array(other["handle"]))
         loc = F.when(~decided & (F.col("k") > 1), G.center(other)).when(first.isNotNull(), G.center(first))
         apart = F.when(~decided & (F.col("k") > 1), F.col("groups"))
-        return d.select("drawing_key", first.alias("s"), status.alias("status"), targets.alias("targets"), v.alias("v"), loc.alias("loc"), F.when(~decided, F.col("k")).alias("violations"), apart.alias("groups"))
+        return d.select("drawing_key", first.alias("s"), status.alias("status"), targets.alias("targets"), v.alias("v"), loc.alias("loc"), F.when(~decided, F.col("k")).alias("violations"), apart.alias("groups"), F.when(~decided, F.col("n")).alias("counted"))
 
     # -- zones -----------------------------------------------------------------------------
 
@@ -227,7 +230,7 @@ class Evaluator:
     def pairs(self, rule: dict) -> DataFrame:
         subjects, targets = self.side(rule["subject"], "s"), self.side(rule["target"], "t")
         with_targets = targets.select("drawing_key").distinct()
-        lone = subjects.join(with_targets, "drawing_key", "left_anti").select("drawing_key", "s", F.lit("UNKNOWN").alias("status"), F.array().cast("array<string>").alias("targets"), F.lit(None).cast("double").alias("v"), G.center(F.col("s")).alias("loc"), F.lit(None).cast("long").alias("violations"), F.lit(False).alias("contained"), F.lit(None).cast("array<string>").alias("listed"))
+        lone = subjects.join(with_targets, "drawing_key", "left_anti").select("drawing_key", "s", F.lit("UNKNOWN").alias("status"), F.array().cast("array<string>").alias("targets"), F.lit(None).cast("double").alias("v"), G.center(F.col("s")).alias("loc"), F.lit(None).cast("long").alias("violations"), F.lit(False).alias("contained"), F.lit(None).cast("array<string>").alias("listed"), *[F.lit(None).cast("struct<x:double,y:double>").alias(c) for c in ("pa", "pb")])
         asked = subjects.join(with_targets, "drawing_key", "left_semi")
         quantifier, upper = rule["quantifier"], rule["operator"] in ("<=", "<")
         if quantifier == "all" and upper and rule["measurement"] in DISTANCES:
@@ -246,7 +249,7 @@ class Evaluator:
     def picked(df: DataFrame) -> DataFrame:
         """Result columns of the pair that stands in struct p (null: none)."""
         p = F.col("p")
-        return df.select("drawing_key", "s", "status", F.when(p.isNotNull(), F.array(p["handle"])).otherwise(F.array()).cast("array<string>").alias("targets"), p["v"].alias("v"), F.coalesce(G.midpoint(p["pa"], p["pb"]), G.center(F.col("s"))).alias("loc"), F.col("violations").cast("long").alias("violations"), F.coalesce(p["contained"], F.lit(False)).alias("contained"), (F.col("listed") if "listed" in df.columns else F.lit(None)).cast("array<string>").alias("listed"))
+        return df.select("drawing_key", "s", "status", F.when(p.isNotNull(), F.array(p["handle"])).otherwise(F.array()).cast("array<string>").alias("targets"), p["v"].alias("v"), F.coalesce(G.midpoint(p["pa"], p["pb"]), G.center(F.col("s"))).alias("loc"), p["pa"].alias("pa"), p["pb"].alias("pb"), F.col("violations").cast("long").alias("violations"), F.coalesce(p["contained"], F.lit(False)).alias("contained"), (F.col("listed") if "listed" in df.columns else F.lit(None)).cast("array<string>").alias("listed"))
 
     @staticmethod
     def offenders(rank: Column) -> Column:
