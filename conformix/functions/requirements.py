@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from conformix.functions.text import QUANTITY, fmt, nfkc
+from conformix.functions.text import QUANTITY, fixed, fmt, nfkc
 from conformix.schema import UNIT_MM
 
 # Phrases for "at least" and "at most".
@@ -95,7 +95,7 @@ def count_of(token: Column) -> Column:
 
 def fmt_num(v: Column) -> Column:
     """At most six decimals, no trailing zeros; nothing for null."""
-    return F.coalesce(F.regexp_replace(F.format_string("%.6f", v), r"\.?0+$", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(fixed(v, 6), r"\.?0+$", ""), F.lit(""))
 
 
 def fmt_gap(v: Column) -> Column:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from conformix.functions import text as X
 
 CHUNK_LINES = 12
+#: Columns of evidence.
+CHUNKS = "id string, document_id string, filename string, page int, line_start int, line_end int, section string, text string, hash string"
 
 
 def chunk_lines(lines: DataFrame, doc_hash: str = "document_id") -> DataFrame:

@@ -369,12 +369,13 @@ class Evaluator:
         return out.withColumn("listed", F.slice(F.concat(F.coalesce("far_bad", F.array().cast("array<string>")), "near_bad"), 1, VIOLATING)).drop("far_bad")
 
 
-def issue_ids(results: DataFrame) -> DataFrame:
-    """Adds handle (sorted distinct handles) and issue_id: a hash of drawing, rule, handles and rounded location, with -n for repeats."""
+def issue_ids(results: DataFrame, name: str = "drawing_key") -> DataFrame:
+    """Adds handle (sorted distinct handles) and issue_id: a hash of the drawing's name, rule, handles and rounded location, with -n for
+    repeats within a drawing. `name` is the column that identifies a drawing over its revisions."""
     handles = F.array_sort(F.array_distinct(F.concat(F.when(F.col("subject_handle").isNotNull(), F.array("subject_handle")).otherwise(F.array().cast("array<string>")), "target_handles")))
     whole = lambda c: F.rint(c).cast("bigint").cast("string")
     loc = F.when(F.col("loc_x").isNull(), "none").otherwise(F.concat_ws(",", whole("loc_x"), whole("loc_y")))
-    base = F.concat(F.lit("ISS-"), F.upper(F.substring(F.sha2(F.concat_ws("|", "drawing_key", "rule_id", "handle", loc), 256), 1, 16)))
+    base = F.concat(F.lit("ISS-"), F.upper(F.substring(F.sha2(F.concat_ws("|", name, "rule_id", "handle", loc), 256), 1, 16)))
     out = results.withColumn("handle", F.concat_ws(",", handles)).withColumn("_b", base)
-    n = F.row_number().over(Window.partitionBy("_b").orderBy("rule_pos", "subject_seq", "target_handles")) - 1
+    n = F.row_number().over(Window.partitionBy("drawing_key", "_b").orderBy("rule_pos", "subject_seq", "target_handles")) - 1
     return out.withColumn("issue_id", F.when(n == 0, F.col("_b")).otherwise(F.concat_ws("-", "_b", n.cast("string")))).drop("_b")

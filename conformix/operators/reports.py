@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from conformix.functions.text import safe_cell
+from conformix.functions.text import fixed, safe_cell
 
 # How many rows a report shows, by run.
 DETAILS, PASS_ROWS, MARKERS, PLAN_ENTITIES = 500, 300, 20000, 20000
@@ -14,6 +14,10 @@ MARKER_LAYERS = {"FAIL": "ERI_FAIL", "WARNING": "ERI_WARNING", "UNKNOWN": "ERI_U
 CSV_COLUMNS = "問題編號 狀態 規則嚴重度 信心 規則編號 規則名稱 檢查方式 圖層 系統 Handle X Y 實測值 規則要求 單位 證據編號 證據出處 說明 判定依據 建議處理 與基準比較 專案".split()
 ZONE_RULES = {"outside_zone": ("必須進入區域（不在區域外）", "必須在區域外"), "inside_zone": ("不得完全在區域內", "必須完全在區域內")}
 ZONE_FOUND = {"outside_zone": ("進入了區域", "在區域外"), "inside_zone": ("不在（或未完全在）區域內", "完全在區域內")}
+# Words of statuses, confidences and states.
+STATUS_WORDS = {"FAIL": "不合格", "WARNING": "警告", "PASS": "合格", "UNKNOWN": "無法判定"}
+CONFIDENCE_WORDS = {"CONFIRMED": "已確認", "INFERRED": "推算", "UNKNOWN": "無法判定"}
+STATE_WORDS = {"NEW": "新增", "CHANGED": "有變化", "UNCHANGED": "未變"}
 # Names of the measurements.
 MEASURED = {
     "distance": "距離", "minimum_distance": "最短距離", "horizontal_clearance": "水平淨距", "vertical_clearance": "垂直淨距", "intersection": "交叉", "overlap": "重疊長度", "inside_zone": "位於區域內", "outside_zone": "位於區域外",
@@ -39,7 +43,7 @@ def general(v: Column) -> Column:
     size = F.floor(F.log10(F.abs(v)))
     out = F.when(v == 0, "0")
     for e in range(-4, 6):
-        out = out.when(size == e, F.format_string(f"%.{5 - e}f", v))
+        out = out.when(size == e, fixed(v, 5 - e))
     plain = out.otherwise(F.format_string("%.5e", v))
     return F.when(plain.contains(".") & ~plain.contains("e"), F.regexp_replace(plain, r"\.?0+$", "")).otherwise(plain)
 
@@ -80,15 +84,42 @@ def entity_label(system: Column, entity_type: Column, layer: Column, handle: Col
     return F.concat(F.when(F.coalesce(system, F.lit("")) == "", "").otherwise(F.concat(system, F.lit(" "))), entity_type, F.lit("（圖層 "), layer, F.lit("，Handle "), handle, F.lit("）"))
 
 
+def numbered(results: DataFrame) -> DataFrame:
+    """Results as rows of a run, which is a drawing's: seq within the run, in rule order; x and y of the location.
+
+    A run is numbered range by range: rows are counted by rule first, so that no run is sorted in one task.
+    """
+    order = ["rule_pos", "subject_seq", "target_handles"]
+    runs = results.withColumnRenamed("drawing_key", "run_id")
+    # a rule's rows of a run are cut into buckets of a few thousand subjects; what comes before each is a sum
+    bucket = F.coalesce(F.floor(F.col("subject_seq") / SUBJECTS), F.lit(-1))
+    runs = runs.withColumn("_b", bucket)
+    sizes = runs.groupBy("run_id", "rule_pos", "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("run_id").orderBy("rule_pos", "_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("run_id", "rule_pos", "_b", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("run_id", "rule_pos", "_b").orderBy(*order))
+    out = runs.withColumn("_place", place).join(starts.hint("merge"), ["run_id", "rule_pos", "_b"])
+    return out.withColumns({"seq": (F.col("_before") + F.col("_place") - 1).cast("long"), "x": F.col("loc_x"), "y": F.col("loc_y")}).drop("_b", "_place", "_before")
+
+
+#: Subjects of a rule that are numbered together.
+SUBJECTS = 16_384
+
+
 def issue_rows(results: DataFrame, rules: list[dict]) -> DataFrame:
-    """Rows of evaluate.issue_ids() as a run stores them: seq within the run in rule order, limits of the rule, details as JSON."""
+    """Rows of evaluate.issue_ids() as a run stores them, with the limits of their rule and details as JSON."""
     limits = [(r["id"], r["severity"], r["measurement"], r["operator"], float(r["value"]) if r.get("value") is not None else None, r.get("unit")) for r in rules]
     known = results.sparkSession.createDataFrame(limits, "rule_id string, severity string, measurement string, required_op string, required_value double, unit string")
-    seq = F.row_number().over(Window.partitionBy("run_id").orderBy("rule_pos", "subject_seq", "target_handles")) - 1
-    details = F.to_json(F.struct("violations", "contained"))
     # the list of rules is part of the job's text, so its size is known
-    out = results.withColumnRenamed("drawing_key", "run_id").withColumn("seq", seq.cast("long")).join(F.broadcast(known), "rule_id")
-    return out.withColumns({"details_json": details, "x": F.col("loc_x"), "y": F.col("loc_y")})
+    return with_details(numbered(results).join(F.broadcast(known), "rule_id"))
+
+
+def with_details(issues: DataFrame) -> DataFrame:
+    """Adds details_json: violations with handles, closest points, components, matches, surroundings, routes and reasons, as far as there are any."""
+    has = set(issues.columns)
+    parts = [F.struct(F.col("violations").alias("count"), F.col("listed_handles").alias("handles")).alias("violations")] if "listed_handles" in has else [F.col("violations")]
+    parts += [F.col(c).alias(n) for c, n in (("contained", "contained"), ("closest", "closest_points"), ("groups", "components"), ("nearby", "nearby"), ("route_ids", "route_ids"), ("confidence_reasons", "confidence_reasons")) if c in has]
+    return issues.withColumn("details_json", F.to_json(F.struct(*parts)))
 
 
 def issue_links(issues: DataFrame) -> DataFrame:
@@ -132,13 +163,25 @@ def payload(issues: DataFrame, passes: int = PASS_ROWS) -> DataFrame:
     return shown.withColumns({"measured_text": measured_text(m, F.col("measured"), u), "required_text": required_text(m, F.col("required_op"), F.col("required_value"), u)})
 
 
+def _worded(words: dict, c: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in words.items() for x in kv]), c), c, F.lit(""))
+
+
+def with_reference(issues: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Issues with evidence_ref, the file, page and lines of their evidence, and its text; empty and null where there is none."""
+    said = chunks.select(F.col("id").alias("evidence_id"), evidence_reference(F.col("filename"), F.col("page"), F.col("line_start"), F.col("line_end")).alias("evidence_ref"), F.col("text").alias("evidence_text"))
+    return issues.join(said.hint("merge"), "evidence_id", "left").withColumn("evidence_ref", F.coalesce("evidence_ref", F.lit("")))
+
+
 def csv_rows(issues: DataFrame, project: str) -> DataFrame:
-    """Issues in the columns of the CSV file; texts that a spreadsheet would run are made harmless."""
+    """Issues in the columns of the CSV file; texts that a spreadsheet would run are made harmless. What issues do not carry is empty."""
     empty, m, u = F.lit(""), F.col("measurement"), F.col("unit")
+    own = lambda c: F.coalesce(F.col(c), empty) if c in issues.columns else empty
     cells = [
-        F.col("issue_id"), F.col("status"), F.col("severity"), empty, safe_cell(F.col("rule_id")), empty, m, safe_cell(F.col("layer")), safe_cell(F.col("system")), safe_cell(F.col("handle")),
-        F.coalesce(F.format_string("%.3f", "x"), empty), F.coalesce(F.format_string("%.3f", "y"), empty), F.when(F.col("measured").isNull(), "").otherwise(general(F.col("measured"))),
-        required_text(m, F.col("required_op"), F.col("required_value"), u), F.coalesce(u, empty), empty, empty, empty, empty, empty, empty, safe_cell(F.lit(project)),
+        F.col("issue_id"), _worded(STATUS_WORDS, F.col("status")), F.col("severity"), _worded(CONFIDENCE_WORDS, own("confidence")), safe_cell(F.col("rule_id")), safe_cell(own("rule_name")), _worded(MEASURED, m), safe_cell(F.col("layer")), safe_cell(F.col("system")),
+        safe_cell(F.col("handle")), F.coalesce(fixed(F.col("x"), 3), empty), F.coalesce(fixed(F.col("y"), 3), empty), F.when(F.col("measured").isNull(), "").otherwise(general(F.col("measured"))),
+        required_text(m, F.col("required_op"), F.col("required_value"), u), F.coalesce(u, empty), own("evidence_id"), safe_cell(own("evidence_ref")), safe_cell(own("message")), safe_cell(own("reason")), safe_cell(own("fix")),
+        _worded(STATE_WORDS, own("baseline_state")), safe_cell(F.lit(project)),
     ]
     return issues.select(*[c.alias(n) for c, n in zip(cells, CSV_COLUMNS, strict=True)])
 
@@ -151,7 +194,7 @@ def marker_label(issue_id: Column, status: Column, measured: Column, op: Column,
 
 
 def markers(issues: DataFrame, extents: DataFrame, most: int = MARKERS) -> DataFrame:
-    """Circle, cross hairs and label of every located issue that does not pass. extents: (run_id, span, unit_to_mm), one row a run."""
+    """Circle, cross hairs and label of every located issue that does not pass, and a line between closest points that lie apart. extents: (run_id, span, unit_to_mm), one row a run."""
     located = issues.where("status <> 'PASS' AND x IS NOT NULL").withColumn("rank", F.row_number().over(Window.partitionBy("run_id").orderBy(severity_rank(F.col("status")), "seq"))).where(F.col("rank") <= most)
     m = located.join(extents.hint("merge"), "run_id").withColumn("size", F.greatest(F.col("span") * 0.006, F.lit(20.0) / F.col("unit_to_mm")))
     x, y, s = F.col("x"), F.col("y"), F.col("size")
@@ -160,6 +203,10 @@ def markers(issues: DataFrame, extents: DataFrame, most: int = MARKERS) -> DataF
         return F.struct(F.lit(kind).alias("kind"), x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"))
 
     shapes = F.array(mark("circle", x, y, x + s, y), mark("line", x - s, y, x + s, y), mark("line", x, y - s, x, y + s), mark("text", x + s * 1.3, y + s * 0.3, x + s * 1.3, y + s * 1.1))
+    if "closest" in issues.columns:
+        a, b = F.col("closest.pa"), F.col("closest.pb")
+        apart = a.isNotNull() & b.isNotNull() & ((a["x"] != b["x"]) | (a["y"] != b["y"]))
+        shapes = F.when(apart, F.concat(shapes, F.array(mark("closest", a["x"], a["y"], b["x"], b["y"])))).otherwise(shapes)
     layer = F.coalesce(*[F.when(F.col("status") == k, v) for k, v in MARKER_LAYERS.items()])
     label = marker_label(F.col("issue_id"), F.col("status"), F.col("measured"), F.col("required_op"), F.col("required_value"), F.col("unit"))
     return m.select("run_id", "issue_id", layer.alias("marker_layer"), label.alias("label"), F.explode(shapes).alias("m")).select("run_id", "issue_id", "marker_layer", "label", "m.*")

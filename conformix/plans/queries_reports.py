@@ -84,9 +84,12 @@ _REQ = "CASE rule_id WHEN 'LENGTH' THEN '<= 3.5 m' ELSE '交叉數 == 0' END"
 _MEAS = "CASE WHEN measured IS NULL THEN '' WHEN rule_id='LENGTH' THEN printf('%g', measured)||' m' WHEN measured>=1 THEN '有交叉' ELSE '沒有交叉' END"
 
 
+_STATUS = "CASE status WHEN 'FAIL' THEN '不合格' WHEN 'WARNING' THEN '警告' WHEN 'PASS' THEN '合格' ELSE '無法判定' END"
+
+
 @query(
     "s10_csv_file",
-    f"WITH {_RES} SELECT 'P' AS project, status, rule_id, handle, CASE WHEN measured IS NULL THEN NULL ELSE printf('%g', measured) END measured, {_REQ} required, CASE rule_id WHEN 'LENGTH' THEN 'm' ELSE 'count' END unit FROM iss",
+    f"WITH {_RES} SELECT 'P' AS project, {_STATUS} AS status, rule_id, handle, CASE WHEN measured IS NULL THEN NULL ELSE printf('%g', measured) END measured, {_REQ} required, CASE rule_id WHEN 'LENGTH' THEN 'm' ELSE 'count' END unit FROM iss",
 )
 def s10(spark, sf_dir):
     """Written as CSV with a header, read back by its columns; empty cells come back as nulls."""
@@ -127,7 +130,7 @@ def s12(spark, sf_dir):
     return m.select("run_id", "marker_layer", "kind", F.round("x1", 2).alias("x1"), F.round("y1", 2).alias("y1"), F.substring("label", 10, 100).alias("label"))
 
 
-@query("s13_j26_plan_entities", f"WITH {_RES}, hit AS (SELECT run_id, sh h FROM iss WHERE status<>'PASS' UNION SELECT run_id, th FROM iss WHERE th IS NOT NULL) SELECT drawing_key, handle, (drawing_key, handle) IN (SELECT (run_id, h) FROM hit) AS involved, 0::bigint left_out FROM ent WHERE kind<>'text'")
+@query("s13_j26_plan_entities", f"WITH {_RES}, hit AS (SELECT run_id, sh h FROM iss WHERE status<>'PASS' UNION SELECT run_id, th FROM iss WHERE th IS NOT NULL) SELECT drawing_key, ent.handle, hit.h IS NOT NULL AS involved, 0::bigint left_out FROM ent LEFT JOIN hit ON hit.run_id=drawing_key AND hit.h=ent.handle WHERE kind<>'text'")
 def s13(spark, sf_dir):
     links = R.issue_links(issues(spark, sf_dir).where("status <> 'PASS'"))
     return R.plan_entities(D.stored_entities(spark, sf_dir), links).select("drawing_key", "handle", "involved", "left_out")

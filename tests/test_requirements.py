@@ -51,3 +51,17 @@ def test_general_number_format(spark):
     values = [0.0, 3.5, 300.0, 0.0001234, 123456.0, -2.25, 0.1]
     got = spark.createDataFrame([(v,) for v in values], "v double").select(R.general(F.col("v"))).collect()
     assert [r[0] for r in got] == ["%g" % v for v in values]
+
+
+def test_decimals_of_the_exact_binary_value(spark):
+    import random
+
+    from conformix.functions.text import fixed
+
+    rng = random.Random(4)
+    values = [2.385, 1.005, 0.125, 0.375, 2.5, 1e-9, -1.005, -0.125, 0.0, 999.995, 1e12 + 0.125, 123456789.985, 4.35, 0.285, 1.115, 1e12]
+    values += [rng.randrange(10**6) / 1000 for _ in range(400)] + [rng.uniform(-1e4, 1e4) for _ in range(200)] + [rng.randrange(10**5) / 32 for _ in range(100)] + [rng.random() * 10 ** rng.randrange(-8, 12) for _ in range(200)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 2, 3, 6):
+        got = [r[0] for r in df.select(fixed(F.col("v"), digits)).collect()]
+        assert got == [f"{v:.{digits}f}" for v in values]
