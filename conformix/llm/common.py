@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 from conformix.operators.graph import components  # noqa: F401
 from conformix.sources.tables import BATCH, BATCH_BYTES, checked_join, discard, materialise, shared_dir, tasks  # noqa: F401
@@ -16,6 +18,27 @@ def small_batches(spark) -> None:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Returns memory that Arrow and the allocator hold unused: a worker process outlives its task, and several wait idle in an executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # only some C libraries have it
+        pass
+
+
+def tidied(run):
+    """A task function over batches that gives unused memory back when it is through."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
+
+
 # --- text as bytes -----------------------------------------------------------------------------
 
 #: Bytes of text that a task holds at once.

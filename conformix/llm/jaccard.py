@@ -8,7 +8,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from conformix.llm.common import components, discard, materialise, mix, tasks, words_of
+from conformix.llm.common import components, discard, materialise, mix, tasks, tidied, words_of
 from conformix.llm.exchange import ROWS_SQL, answers, asking, by_value, chunked, each, joined, numbers, packed, summed
 
 _U = np.uint64
@@ -174,7 +174,7 @@ def _joined(docs: DataFrame, width: int, percent: int, key: str, text: str, bloc
             made = [pa.array([x], pa.list_(pa.int64())) for x in listed] + [pa.array([np.array([len(t) for t in held], np.int64).tobytes()], pa.binary()), pa.array([b"".join(held)], pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array([start + seq]), *made], ["chunk", "ids", "hs", "ns", "ks", "sizes", "texts"])
 
-    own = materialise(raw.mapInArrow(sets, "chunk long, ids array<long>, hs array<long>, ns array<long>, ks array<long>, sizes binary, texts binary"), "sets")
+    own = materialise(raw.mapInArrow(tidied(sets), "chunk long, ids array<long>, hs array<long>, ns array<long>, ks array<long>, sizes binary, texts binary"), "sets")
     each_row = own.select(F.explode(F.arrays_zip("ids", "hs", "ns", "ks")).alias("r"))
     known = materialise(each_row.select(F.col("r.ids").alias("doc_id"), F.col("r.hs").alias("h"), F.col("r.ns").alias("n_shingles"), F.col("r.ks").alias("node")), "known")
     classes = materialise(known.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n")), "classes")
@@ -250,14 +250,14 @@ def _candidates(own: DataFrame, width: int, percent: int, parts: int) -> DataFra
                 last_sig, last = s[-1], head[-1]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
 
-    told = own.mapInArrow(ask, ROWS_SQL).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(total, ROWS_SQL)
+    told = own.mapInArrow(tidied(ask), ROWS_SQL).repartition(parts, "part").sortWithinPartitions("part").mapInArrow(tidied(total), ROWS_SQL)
     told = materialise(told, "told")
     whole = own.select(F.lit(None).cast("int").alias("part"), "chunk", F.lit(SETS).alias("kind"), F.lit(0).alias("seq"), F.col("sizes").alias("x"), F.col("texts").alias("y"), F.lit(None).cast("binary").alias("z"))
     dealt = told.union(whole).repartition(parts, "chunk").sortWithinPartitions("chunk")
-    columns = materialise(dealt.mapInArrow(firsts, "gram long, node long, low long"), "columns")
+    columns = materialise(dealt.mapInArrow(tidied(firsts), "gram long, node long, low long"), "columns")
     discard(told)
     # a column has one row a chunk at most that is not linked yet, however many classes have it
-    star = columns.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(starred, "a long, b long")
+    star = columns.repartition(parts, "gram").sortWithinPartitions("gram").mapInArrow(tidied(starred), "a long, b long")
     star = materialise(star.where("a <> b").groupBy("a", "b").agg(F.count("*").alias("agree")), "star")
     discard(columns)
     return star
@@ -303,7 +303,7 @@ def _bags(own: DataFrame, star: DataFrame, width: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 1000]), pa.array([g.tobytes() for g in sets[i : i + 1000]], pa.binary())], ["node", "grams"])
 
     some = materialise(star.select(F.col("a").alias("node")).union(star.select("b")).distinct(), "some")
-    sets = own.select("sizes", "texts").mapInArrow(split, "node long, grams binary")
+    sets = own.select("sizes", "texts").mapInArrow(tidied(split), "node long, grams binary")
     bags = materialise(sets.join(some.hint("merge"), "node", "left_semi").dropDuplicates(["node"]), "grams")
     discard(some)
     return bags
@@ -358,7 +358,7 @@ def _products(placed: DataFrame, bags: DataFrame, percent: int, wide: int) -> Da
 
     full = placed.join(bags.hint("merge"), "node").select("grp", "tile1", "tile2", "blk", "node", "grams")
     dealt = full.repartition(wide, "grp", "tile1", "tile2").sortWithinPartitions("grp", "tile1", "tile2")
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidied(run), "a long, b long")
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conformix.llm.common import _LOWER, small_batches
+from conformix.llm.common import _LOWER, small_batches, tidied
 
 #: Lengths of the byte n-grams of the blended spectrum, and the size of the hashed feature space of their presence.
 NGRAMS, SPACE = (1, 2, 3, 4), 1 << 14
@@ -86,7 +86,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
                 bits = np.packbits(presence(part.column(1).to_pylist()), axis=1)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in bits], pa.binary()), part.column(2)], ["h", "bits", "l"])
 
-    got = held.where(F.col("h") <= ids).mapInArrow(run, "h long, bits binary, l string").orderBy("h", "bits").limit(rows).collect()
+    got = held.where(F.col("h") <= ids).mapInArrow(tidied(run), "h long, bits binary, l string").orderBy("h", "bits").limit(rows).collect()
     seen = np.unpackbits(np.stack([np.frombuffer(bytes(r["bits"]), np.uint8) for r in got]), axis=1).astype(bool)
     return fit_kernel(seen, [r["l"] for r in got])
 
@@ -118,4 +118,4 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
                         named[j], top[j] = model.langs[k], min(1.0, float(s))
                 yield pa.RecordBatch.from_arrays([*[part.column(n) for n in back], pa.array(named, pa.string()), pa.array(top, pa.float64())], [*back, "lang_pred", "score"])
 
-    return wide.mapInArrow(run, schema).select(*[(F.col(n).cast("string") if n == "_bytes" else F.col(n)).alias(c) for n, c in zip(names, keep)], "lang_pred", "score")
+    return wide.mapInArrow(tidied(run), schema).select(*[(F.col(n).cast("string") if n == "_bytes" else F.col(n)).alias(c) for n, c in zip(names, keep)], "lang_pred", "score")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conformix.llm.common import materialise, tasks
+from conformix.llm.common import give_back, materialise, tasks
 
 #: Weights of the sources in order of their code points, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -112,7 +112,9 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
             # large units first, so that what is left to land is small
             pdf = pdf.sort_values(["size", "_h", "_i"], ascending=[False, True, True], kind="stable")
             seed = int(np.bitwise_xor.reduce(pdf["_h"].to_numpy().view(np.uint64))) & 0x7FFFFFFF
-            return pdf.assign(_p=flight(pdf["_p"].to_numpy(), pdf["size"].to_numpy().astype(float), seed, last))[["_h", "size", "_src", "_i", "_p"]]
+            out = pdf.assign(_p=flight(pdf["_p"].to_numpy(), pdf["size"].to_numpy().astype(float), seed, last))[["_h", "size", "_src", "_i", "_p"]]
+            give_back()
+            return out
 
         return run
 

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from conformix.llm.common import materialise, tasks
+from conformix.llm.common import materialise, tasks, tidied
 
 SEQUENCE = 2048
 #: A bin with at most this much room left is finished in the round that makes it.
@@ -93,7 +93,7 @@ def pieces(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, key:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)).mapInArrow(tidied(run), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(fills: np.ndarray, size: int) -> list[list[int]]:
@@ -167,7 +167,7 @@ def pack(docs: DataFrame, path: str | None = None, size: int = SEQUENCE, nearly:
     parts = max(1, min(tasks(spark), -(-count // 2000)), -(-count // merge_bins))
     while count:
         spread = F.xxhash64(F.element_at("items", 1)["doc_id"], F.element_at("items", 1)["piece"], F.lit(parts))
-        now = rest.withColumn("_s", F.pmod(spread, F.lit(parts * 8))).repartition(parts, "_s").select("fill", "items").mapInArrow(run, schema)
+        now = rest.withColumn("_s", F.pmod(spread, F.lit(parts * 8))).repartition(parts, "_s").select("fill", "items").mapInArrow(tidied(run), schema)
         now = materialise(now, "bins")
         finished.append(now.where("done").select("fill", "items"))
         rest = now.where("not done").select("fill", "items")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from conformix.llm.common import PrefixHash, chunks, discard, materialise, tasks
+from conformix.llm.common import chunks, discard, materialise, PrefixHash, tasks, tidied
 
 _U = np.uint64
 #: Length of the repeated strings, and of the grams among which their anchors are chosen.
@@ -140,7 +140,7 @@ def _solve(entries: DataFrame, length: int, group: int, level: int = 0) -> DataF
             yield build()
 
     dealt = small.select("id", "key", "ctx", "o1").repartition(parts, "key").sortWithinPartitions("o1", "key")
-    found = dealt.mapInArrow(run, "id binary, lo int, hi int")
+    found = dealt.mapInArrow(tidied(run), "id binary, lo int, hi int")
     if not n_hot:
         return found
     found = materialise(found, "found")
@@ -160,7 +160,7 @@ def _solve(entries: DataFrame, length: int, group: int, level: int = 0) -> DataF
                         rows.append((pid, _digest(k, part), k, m, o1 + a, w, part))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["pid", "id", "key", "m", "o1", "width", "ctx"])
 
-    cut = materialise(hot.select("id", "key", "m", "o1", "width", "ctx").mapInArrow(halve, "pid binary, " + ENTRY), "halves")
+    cut = materialise(hot.select("id", "key", "m", "o1", "width", "ctx").mapInArrow(tidied(halve), "pid binary, " + ENTRY), "halves")
     one = materialise(cut.groupBy("id").agg(F.first("key").alias("key"), F.sum("m").alias("m"), F.first("o1").alias("o1"), F.first("width").alias("width"), F.first("ctx").alias("ctx")), "entries")
     below = _solve(one, length, group, level + 1).union(_whole(one, length))
     back = cut.select("pid", "id").join(below.groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).hint("merge"), "id")
@@ -175,7 +175,7 @@ def _whole(entries: DataFrame, length: int) -> DataFrame:
             rows = [(i, o1 + v[0], o1 + v[1]) for i, o1, c in zip(*(b.column(k).to_pylist() for k in range(3))) for v in [valid_range(c, length)] if v[1] >= v[0]]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.int32()))], ["id", "lo", "hi"])
 
-    return entries.where("m > 1").select("id", "o1", "ctx").mapInArrow(run, "id binary, lo int, hi int")
+    return entries.where("m > 1").select("id", "o1", "ctx").mapInArrow(tidied(run), "id binary, lo int, hi int")
 
 
 def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -190,7 +190,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
                 sizes = [len(x[1]) for x in got]
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[1] for x in got]).view(np.int64)), pa.array(np.repeat(np.array([x[0] for x in got], np.int64), sizes)), pa.array(np.concatenate([x[2] for x in got]).astype(np.int32))], ["h", "_row", "pos"])
 
-    marks = materialise(rows.mapInArrow(find, "h long, _row long, pos int"), "anchors")
+    marks = materialise(rows.mapInArrow(tidied(find), "h long, _row long, pos int"), "anchors")
     repeated = materialise(marks.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "repeated")
     # sides that grow with the texts are never broadcast, at any size
     places = marks.join(repeated.hint("merge"), "h").groupBy("_row").agg(F.collect_set("pos").alias("at"))
@@ -211,7 +211,7 @@ def repeated_spans(docs: DataFrame, key: str, text: str, length: int = LENGTH, g
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()))], ["id", "key", "_row", "pos", "ctx"])
 
     held = rows.join(places.hint("merge"), "_row").select("_row", "t", "at")
-    seen = materialise(held.mapInArrow(cut, "id binary, key binary, _row long, pos int, ctx binary"), "contexts")
+    seen = materialise(held.mapInArrow(tidied(cut), "id binary, key binary, _row long, pos int, ctx binary"), "contexts")
     one = seen.groupBy("id").agg(F.first("key").alias("key"), F.count("*").alias("m"), F.first("ctx").alias("ctx"))
     one = materialise(one.select("id", "key", "m", F.lit(-reach).alias("o1"), F.lit(reach).alias("width"), "ctx"), "entries")
     found = materialise(_solve(one, length, group).union(_whole(one, length)).groupBy("id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), "results")
@@ -269,7 +269,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
                     out.append((len(t or b""), gone, runs, hashlib.sha256(rest or b"").hexdigest(), rest))
                 yield pa.RecordBatch.from_arrays([*part.columns[2:], *(pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())))], [*names, *new])
 
-    return wide.mapInArrow(run, schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *new)
+    return wide.mapInArrow(tidied(run), schema).select(*[F.col(n).alias(c) for n, c in zip(names, keep)], *new)
 
 
 def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFrame:
@@ -283,4 +283,4 @@ def without_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -
             yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if c == text else b.column(c) for c in columns], columns)
 
     others = [c for c in docs.columns if c != text]
-    return dedup(docs, text=text, length=length, keep=others).mapInArrow(decode, docs.schema)
+    return dedup(docs, text=text, length=length, keep=others).mapInArrow(tidied(decode), docs.schema)
