@@ -72,6 +72,13 @@ def line_intersection(a: Column, b: Column, c: Column, d: Column) -> Column:
 
 
 
+def shared_point(a: Column, b: Column, c: Column, d: Column) -> Column:
+    """A point of two segments that touch: where their lines meet; of parallel ones the first of c, d, a, b that lies on the other segment, else a."""
+    near = tol(a, b, c, d) * 10
+    on = lambda p, u, v: F.when(point_segment_distance(p, u, v) <= near, p)
+    return F.coalesce(line_intersection(a, b, c, d), on(c, a, b), on(d, a, b), on(a, c, d), on(b, c, d), a)
+
+
 def polygon_edges(poly: Column) -> Column:
     """Consecutive vertices and the closing edge."""
     return F.zip_with(poly, F.concat(F.slice(poly, F.lit(2), F.greatest(F.size(poly) - 1, F.lit(0))), F.slice(poly, 1, 1)), lambda a, b: F.struct(a.alias("a"), b.alias("b")))

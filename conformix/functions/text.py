@@ -61,6 +61,12 @@ def quantities_in(c: Column, with_text: bool = False) -> Column:
     return F.zip_with(values, units, lambda v, u: F.struct(F.replace(v, F.lit(","), F.lit("")).cast("double").alias("value"), canonical_unit(u).alias("unit")))
 
 
+def suggest_values(c: Column) -> Column:
+    """array<struct<value, unit>>: numbers with units; if there are none, all numbers without one."""
+    found, bare = quantities_in(c), F.transform(numbers_in(c), lambda n: F.struct(n.alias("value"), F.lit(None).cast("string").alias("unit")))
+    return F.when(F.size(found) > 0, found).otherwise(bare)
+
+
 def is_heading(line: Column) -> Column:
     s = F.trim(line)
     return (F.length(s) > 0) & (F.length(s) <= 80) & s.rlike(HEADING)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conformix.functions import geometry as G
 from conformix.functions import kernels
+from conformix.sources.tables import materialise
 
 #: An entity that covers more cells than this is joined by its drawing instead.
 MANY_CELLS = 4096
@@ -89,6 +90,24 @@ def zone_relations(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("rel", kernels.zone_udf()(_shape(F.col("s")), _shape(F.col("t"))))
 
 
+def touching_points(left: DataFrame, right: DataFrame, cell: float | Column) -> DataFrame:
+    """(drawing_key, s_seq, t_seq, points): of entities that touch, one point for each pair of their segments that do, in the order of the segments.
+
+    Candidate pairs by boxes, then pairs of segments whose boxes overlap as rows, tested by columns; points of a pair are gathered again. Circles
+    count as their polygons. Where collinear segments share a stretch, the first end that lies on the other one stands for it.
+    """
+    pairs = candidates(left, right, cell).where("s.seq <> t.seq").select("drawing_key", F.col("s.seq").alias("s_seq"), F.col("t.seq").alias("t_seq"), G.segments(F.col("s")).alias("_s"), G.segments(F.col("t")).alias("_t"))
+    # written before the segments come out as rows, so that both sides are cut into segments once
+    pairs = materialise(pairs, "touching")
+    one = pairs.select("drawing_key", "s_seq", "t_seq", F.posexplode("_s").alias("i", "p"), "_t").select("drawing_key", "s_seq", "t_seq", "i", "p", F.posexplode("_t").alias("j", "q"))
+    a, b, c, d = F.col("p.a"), F.col("p.b"), F.col("q.a"), F.col("q.b")
+    low, high = lambda u, v, n: F.least(u[n], v[n]), lambda u, v, n: F.greatest(u[n], v[n])
+    boxes = (low(a, b, "x") <= high(c, d, "x")) & (low(c, d, "x") <= high(a, b, "x")) & (low(a, b, "y") <= high(c, d, "y")) & (low(c, d, "y") <= high(a, b, "y"))
+    hit = one.where(boxes).where(G.segments_intersect(a, b, c, d)).withColumn("at", G.shared_point(a, b, c, d))
+    listed = F.array_sort(F.collect_list(F.struct("i", "j", "at")))
+    return hit.groupBy("drawing_key", "s_seq", "t_seq").agg(F.transform(listed, lambda x: x["at"]).alias("points"))
+
+
 def within(left: DataFrame, right: DataFrame, cell, radius, cutoff: Column | None = None) -> DataFrame:
     """Pairs of different entities whose exact distance is at most radius + EPS."""
     from conformix.schema import EPS
