@@ -105,6 +105,23 @@ def bbox_distance(a: Column, b: Column) -> Column:
     return F.hypot(dx, dy)
 
 
+def bbox_reach(a: Column, b: Column) -> Column:
+    """No two points of entities in these boxes are farther apart."""
+    return F.hypot(F.greatest(a["maxx"], b["maxx"]) - F.least(a["minx"], b["minx"]), F.greatest(a["maxy"], b["maxy"]) - F.least(a["miny"], b["miny"]))
+
+
+def line_to_circle(s: Column, t: Column) -> Column:
+    """Distance of an open two-point line and a circle, either way round, where the line stays outside the circle; null for all else."""
+
+    def one(line: Column, ring: Column) -> Column:
+        a, b, c = F.get(line["points"], F.lit(0)), F.get(line["points"], F.lit(1)), point(ring["cx"], ring["cy"])
+        d = dist(c, closest_on_segment(c, a, b)) - ring["radius"]
+        plain = (line["kind"] == "polyline") & (F.size(line["points"]) == 2) & ~F.coalesce(line["closed"], F.lit(False)) & (ring["kind"] == "circle")
+        return F.when(plain & (d >= 0), d)
+
+    return F.coalesce(one(s, t), one(t, s))
+
+
 def bbox_overlaps(a: Column, b: Column, by=0.0) -> Column:
     return (a["minx"] - by <= b["maxx"]) & (b["minx"] <= a["maxx"] + by) & (a["miny"] - by <= b["maxy"]) & (b["miny"] <= a["maxy"] + by)
 

@@ -10,9 +10,12 @@ from conformix.functions import predicates as P
 from conformix.operators import spatial
 from conformix.operators.graph import components
 from conformix.schema import EPS, UNIT_MM
+from conformix.sources.tables import materialise
 
 #: How many handles a result lists: entities that match a count, violating targets.
 MATCHED, VIOLATING = 200, 20
+#: What a rule looks at once its sides are selected.
+MEASURED_BY = ("seq", "handle", "layer", "system", "kind", "entity_type", "points", "closed", "cx", "cy", "radius", "z_known", "z_min", "z_max", "height", "minx", "miny", "maxx", "maxy")
 DISTANCES = ("distance", "minimum_distance", "horizontal_clearance")
 OUT = ["drawing_key", "rule_id", "rule_pos", "status", "subject_seq", "subject_handle", "layer", "system", "target_handles", "measured", "loc_x", "loc_y", "violations", "contained"]
 
@@ -62,7 +65,7 @@ class Evaluator:
 
     def side(self, pred: dict, name: str) -> DataFrame:
         e = self.entities.where(P.selects(pred))
-        return e.select("drawing_key", "unit_to_mm", F.struct(*[c for c in e.columns if c not in ("drawing_key", "unit_to_mm")]).alias(name))
+        return e.select("drawing_key", "unit_to_mm", F.struct(*[c for c in MEASURED_BY if c in e.columns]).alias(name))
 
     @staticmethod
     def unit_mm(rule: dict) -> float:
@@ -308,8 +311,73 @@ class Evaluator:
         the grid join finds the pairs; the eligible targets outside are eligible - found - skipped, and the first of
         them is the smallest rank that the window does not hold.
         """
-        reach = F.greatest(self.to_drawing(float(rule["value"]), rule), F.lit(EPS)) + self.to_drawing(EPS, rule)
-        found = self.found(rule, asked, targets, reach)
+        if not rule.get("pair_filter") and rule["measurement"] in ("distance", "minimum_distance"):
+            return self.counted_within(rule, asked, targets)
+        return self.listed_within(rule, asked, targets)
+
+    def reach(self, rule: dict) -> Column:
+        return F.greatest(self.to_drawing(float(rule["value"]), rule), F.lit(EPS)) + self.to_drawing(EPS, rule)
+
+    def counted_within(self, rule: dict, asked: DataFrame, targets: DataFrame) -> DataFrame:
+        """all_within() for plain distances, where every target is eligible for every subject: pairs in the window are counted first, and
+        only subjects that have all targets in it, which are few in large drawings, need each pair's value.
+
+        A pair counts as inside by its boxes alone if they leave no doubt, lines and circles are measured by columns, and what is left goes
+        to the kernel.
+        """
+        value, shape = float(rule["value"]), ("seq", "kind", "points", "closed", "cx", "cy", "radius", "minx", "miny", "maxx", "maxy")
+        group = F.struct(F.lower(F.col("t.layer")).alias("layer"), F.lower(F.col("t.system")).alias("system"))
+        own = targets.withColumn("tg", group)
+        sizes = own.groupBy("drawing_key", "tg").agg(F.count("*").alias("size"), F.min("t.seq").alias("first"))
+        before = F.coalesce(F.sum("size").over(Window.partitionBy("drawing_key").orderBy("first").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.select("drawing_key", "tg", before.alias("before"))
+        k = F.row_number().over(Window.partitionBy("drawing_key", "tg").orderBy("t.seq"))
+        ranked = own.withColumn("k", k).join(starts.hint("merge"), ["drawing_key", "tg"]).withColumn("rank", (F.col("k") + F.col("before")).cast("long"))
+        ranked = materialise(ranked.select("drawing_key", "unit_to_mm", "t", "rank"), "ranked")
+        narrow = lambda df, c, *more: df.select("drawing_key", "unit_to_mm", F.struct(*[F.col(f"{c}.{n}") for n in shape], *more).alias(c))
+        reach = self.reach(rule)
+        s, t = narrow(asked, "s"), narrow(ranked, "t", F.col("rank"))
+        pairs = spatial.candidates(s, t, self.cell(rule, reach), reach).where("s.seq <> t.seq")
+        pairs = pairs.where(G.bbox_distance(F.col("s"), F.col("t")) <= reach + EPS)
+        plain = G.line_to_circle(F.col("s"), F.col("t"))
+        sure = G.bbox_reach(F.col("s"), F.col("t")) <= self.to_drawing(value, rule) * (1 - 1e-9) - EPS
+        seen = pairs.select("drawing_key", "unit_to_mm", F.col("s.seq").alias("seq"), F.col("t.rank").alias("rank"), plain.alias("d"), sure.alias("sure"))
+        easy = seen.where("d IS NOT NULL OR sure").where(F.col("sure") | (F.col("d") <= reach + EPS))
+        hard = spatial.distances(pairs.where(plain.isNull() & ~sure), reach + EPS)
+        hard = hard.select("drawing_key", "unit_to_mm", F.col("s.seq").alias("seq"), F.col("t.rank").alias("rank"), F.col("distance").alias("d"), F.lit(False).alias("sure"))
+        every = easy.unionByName(hard)
+        fails = ~F.col("sure") & ~compare(self.to_rule(F.col("d"), rule), rule["operator"], value)
+        agg = every.groupBy("drawing_key", "seq").agg(F.count("*").alias("near"), F.array_sort(F.collect_list("rank")).alias("held"), F.count_if(F.coalesce(fails, F.lit(False))).alias("failing"), F.array_sort(F.collect_list(F.when(fails, F.col("rank")))).alias("bad_ranks"))
+        eligible = ranked.groupBy("drawing_key").agg(F.count("*").alias("eligible"))
+        mine = ranked.select("drawing_key", F.col("t.seq").alias("seq"), F.col("rank").alias("own"))
+        out = asked.withColumn("seq", F.col("s.seq")).join(agg.hint("merge"), ["drawing_key", "seq"], "left").join(mine.hint("merge"), ["drawing_key", "seq"], "left").join(eligible.hint("merge"), "drawing_key", "left")
+        held = F.array_sort(F.array_compact(F.concat(F.coalesce("held", F.array().cast("array<long>")), F.array(F.col("own")))))
+        out = out.withColumn("held", held).withColumn("far", F.coalesce("eligible", F.lit(0)) - F.coalesce("near", F.lit(0)) - F.col("own").isNotNull().cast("long"))
+        out = materialise(out.drop("eligible", "near", "own"), "within")
+        inside = out.where("far <= 0").select("drawing_key", "unit_to_mm", "s")
+        good = self.listed_within(rule, inside, targets)
+        gap = F.coalesce(F.array_min(F.filter(F.transform("held", lambda r, i: F.when(r != i + 1, i + 1)), lambda x: x.isNotNull())), F.size("held") + 1).cast("long")
+        beyond = out.where("far > 0").withColumn("rank", gap).join(ranked.select("drawing_key", "rank", "t").hint("merge"), ["drawing_key", "rank"])
+        none = F.lit(None).cast("array<string>")
+        if self.far_handles:
+            wanted = F.slice(F.concat(F.slice(F.array_except(F.sequence(F.lit(1).cast("long"), F.size("held") + F.lit(VIOLATING).cast("long")), "held"), 1, VIOLATING), F.coalesce("bad_ranks", F.array().cast("array<long>"))), 1, 2 * VIOLATING)
+            asked_for = beyond.select("drawing_key", "seq", F.posexplode(wanted).alias("at", "rank")).join(ranked.select("drawing_key", "rank", F.col("t.handle").alias("handle")).hint("merge"), ["drawing_key", "rank"])
+            got = asked_for.groupBy("drawing_key", "seq").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct("at", "handle"))), lambda x: x["handle"]), 1, VIOLATING).alias("listed"))
+            beyond = beyond.join(got.hint("merge"), ["drawing_key", "seq"], "left")
+        else:
+            beyond = beyond.withColumn("listed", none)
+        return good.unionByName(self.first_beyond(rule, beyond))
+
+    def first_beyond(self, rule: dict, beyond: DataFrame) -> DataFrame:
+        """Results of subjects with targets beyond the limit: the first of those, measured."""
+        beyond = spatial.distances(beyond.select("drawing_key", "unit_to_mm", "s", "t", "far", "failing", "listed"), F.lit(float("inf")))
+        beyond = beyond.withColumn("v", self.to_rule(F.col("distance"), rule))
+        p = F.struct(F.col("t.handle").alias("handle"), "v", "pa", "pb", "contained")
+        return self.picked(beyond.select("drawing_key", "s", classify(F.col("v"), rule).alias("status"), p.alias("p"), (F.col("far") + F.coalesce("failing", F.lit(0))).alias("violations"), "listed"))
+
+    def listed_within(self, rule: dict, asked: DataFrame, targets: DataFrame) -> DataFrame:
+        """all_within() with every pair in the window measured and kept until its subject is decided."""
+        found = self.found(rule, asked, targets, self.reach(rule))
         group = lambda c: F.struct(F.lower(F.col(f"{c}.layer")).alias("layer"), F.lower(F.col(f"{c}.system")).alias("system"))
         g_t = targets.withColumn("tg", group("t")).groupBy("drawing_key", "tg").agg(F.count("*").alias("size"), F.min("t.seq").alias("first"))
         g_s = asked.withColumn("sg", group("s")).select("drawing_key", "sg").distinct()
@@ -353,11 +421,7 @@ class Evaluator:
         else:
             beyond = beyond.withColumn("listed", F.lit(None).cast("array<string>"))
         beyond = beyond.join(ranked.hint("shuffle_hash"), ["drawing_key", "sg", "rank"]).withColumn("t", F.col("rt"))
-        beyond = spatial.distances(beyond.select("drawing_key", "unit_to_mm", "s", "t", "far", "failing", "listed"), F.lit(float("inf")))
-        beyond = beyond.withColumn("v", self.to_rule(F.col("distance"), rule))
-        p = F.struct(F.col("t.handle").alias("handle"), "v", "pa", "pb", "contained")
-        bad = self.picked(beyond.select("drawing_key", "s", classify(F.col("v"), rule).alias("status"), p.alias("p"), (F.col("far") + F.coalesce("failing", F.lit(0))).alias("violations"), "listed"))
-        return good.unionByName(bad)
+        return good.unionByName(self.first_beyond(rule, beyond))
 
     def with_far(self, beyond: DataFrame, ranked: DataFrame) -> DataFrame:
         """Adds listed: handles of the first VIOLATING eligible targets that the window does not hold, then of failing ones in it."""

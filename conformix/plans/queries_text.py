@@ -117,6 +117,15 @@ def u04(spark, sf_dir):
     return Docs.scan_diff(*spec_files(spark, sf_dir)).groupBy("action").agg(F.count("*").alias("n"))
 
 
+@query("u04_orphaned_documents", "SELECT doc_id AS document_id FROM documents WHERE doc_id%5<>0 AND doc_id%4<>1 AND (doc_id%7=0 OR doc_id%11=0)")
+def u04_orphans(spark, sf_dir):
+    """Documents of files that are gone or changed: those that a scan made, and that no file refers to any more."""
+    k = F.col("doc_id")
+    stored = D.read(spark, sf_dir, "documents").where(k % 5 != 0).select(k.cast("string").alias("d"), (k % 4 != 1).alias("created_document"), "doc_id").select(F.col("d").alias("document_id"), "created_document", "doc_id")
+    after = stored.where((k % 7 != 0) & (k % 11 != 0)).unionByName(stored.where((k % 7 != 0) & (k % 11 == 0)).withColumn("document_id", F.concat("document_id", F.lit("-new"))))
+    return Docs.orphans(stored, after).select(F.col("document_id").cast("long").alias("document_id"))
+
+
 @query("j25_content_duplicates", "SELECT source||'/'||doc_id rel_path, min(source||'/'||doc_id) OVER (PARTITION BY sha256(text)) AS \"first\" FROM documents")
 def j25(spark, sf_dir):
     files = D.read(spark, sf_dir, "documents").select(F.lit("root").alias("root"), F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("rel_path"), F.sha2("text", 256).alias("sha256"))
@@ -132,14 +141,14 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("user_id", "event_id", F.posexplode(more).alias("i", "line"))
 
 
-_LOG = "SELECT event_id, CASE event_type WHEN 'error' THEN '2024-01-01 00:00:00 ERROR worker said: ValueError: <message>' WHEN 'click' THEN '2024-01-01 00:00:00 INFO open <data>' ELSE '2024-01-01 00:00:00 INFO '||event_type END line FROM events"
+_LOG = "SELECT event_id, CASE event_type WHEN 'error' THEN '2024-01-01 00:00:00 ERROR worker said: ValueError: <內容已省略>' WHEN 'click' THEN '2024-01-01 00:00:00 INFO open <data>/projects/p_'||lpad(printf('%x', event_id),16,'0')||'/drawings/<file>' ELSE '2024-01-01 00:00:00 INFO '||event_type END line FROM events"
 
 
 @query("l01_l02_log_redaction", _LOG)
 def l01(spark, sf_dir):
     # a record is one event, so continuations are dropped within it
     kept = Docs.drop_continuations(log_lines(spark, sf_dir), "event_id", "i")
-    return Docs.redact(kept).select("event_id", "line")
+    return Docs.scrub(Docs.redact(kept), {"/srv/data": "<data>", "/srv": "<app>"}).select("event_id", "line")
 
 
 @query("o02_paging", "SELECT doc_id, n_chars FROM documents ORDER BY n_chars DESC, doc_id LIMIT 100 OFFSET 50")
