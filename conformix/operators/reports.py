@@ -155,6 +155,35 @@ def details(issues: DataFrame, most: int = DETAILS) -> DataFrame:
     return bad.where(F.col("rank") <= most).withColumn("hidden", F.greatest(F.col("_n") - most, F.lit(0))).drop("_n")
 
 
+# How a report says that units were assumed.
+UNITS_ASSUMED = "圖面未宣告單位，以 mm 推定"
+
+
+def report_lines(issues: DataFrame, drawings: DataFrame) -> DataFrame:
+    """(run_id, section, item, content): the tables of a report beside its details, as lines.
+
+    header: units; coverage: rules that were evaluated, and how they ended; result: issues by status; rule: counts by status and outcome of every
+    rule; comparison: issues by their state against the baseline, if they carry one. drawings: (drawing_key, unit_to_mm, units_assumed).
+    """
+    line = lambda section, item, content: F.struct(F.lit(section).alias("section"), (F.lit(item) if isinstance(item, str) else item).alias("item"), content.cast("string").alias("content"))
+    count = lambda s: F.count_if(F.col("status") == s).alias(s)
+    statuses = ("FAIL", "WARNING", "UNKNOWN", "PASS")
+    per = issues.groupBy("run_id", "rule_id").agg(*map(count, statuses))
+    outcome = F.coalesce(*[F.when(F.col(s) > 0, s) for s in statuses])
+    rules = per.select("run_id", line("rule", F.col("rule_id"), F.concat_ws(" ", *[F.concat(F.lit(f"{s}="), F.col(s)) for s in statuses], outcome)).alias("l"))
+    ended = per.withColumn("o", outcome).groupBy("run_id").agg(F.count("*").alias("evaluated"), *[F.count_if(F.col("o") == s).alias(s) for s in statuses])
+    coverage = ended.select("run_id", F.explode(F.array(line("coverage", "evaluated", F.col("evaluated")), *[line("coverage", s, F.col(s)) for s in statuses])).alias("l"))
+    totals = per.groupBy("run_id").agg(*[F.sum(s).alias(s) for s in statuses])
+    result = totals.select("run_id", F.explode(F.array(*[line("result", s, F.col(s)) for s in statuses])).alias("l"))
+    units = F.when(F.col("units_assumed"), UNITS_ASSUMED).otherwise(F.concat(F.lit("1 圖面單位 = "), general(F.col("unit_to_mm")), F.lit(" mm")))
+    header = drawings.select(F.col("drawing_key").alias("run_id"), line("header", "單位", units).alias("l"))
+    out = header.unionByName(coverage).unionByName(result).unionByName(rules)
+    if "baseline_state" in issues.columns:
+        states = issues.where("baseline_state IS NOT NULL").groupBy("run_id", "baseline_state").agg(F.count("*").alias("n"))
+        out = out.unionByName(states.select("run_id", line("comparison", F.col("baseline_state"), F.col("n")).alias("l")))
+    return out.select("run_id", "l.section", "l.item", "l.content")
+
+
 def payload(issues: DataFrame, passes: int = PASS_ROWS) -> DataFrame:
     """What a report page shows: every issue that does not pass and the first passes of a run, with texts."""
     n = F.row_number().over(Window.partitionBy("run_id", F.col("status") == "PASS").orderBy("seq"))

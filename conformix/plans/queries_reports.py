@@ -108,6 +108,22 @@ def s11(spark, sf_dir):
     return R.details(issues(spark, sf_dir)).select("run_id", "seq", "rank", "hidden")
 
 
+_ST = ("FAIL", "WARNING", "UNKNOWN", "PASS")
+_BY = ", ".join(f"count(*) FILTER (WHERE status='{s}') {s.lower()}_" for s in _ST)
+
+
+@query(
+    "s11_report_lines",
+    f"""WITH {_RES}, pr AS (SELECT run_id, rule_id, {_BY} FROM iss GROUP BY 1, 2), oc AS (SELECT *, CASE WHEN fail_>0 THEN 'FAIL' WHEN warning_>0 THEN 'WARNING' WHEN unknown_>0 THEN 'UNKNOWN' ELSE 'PASS' END o FROM pr)
+SELECT DISTINCT drawing_key run_id, 'header' AS section, '單位' item, CASE WHEN units_assumed THEN '圖面未宣告單位，以 mm 推定' ELSE '1 圖面單位 = '||printf('%g', unit_to_mm)||' mm' END AS content FROM ent
+UNION ALL SELECT run_id, 'coverage', 'evaluated', count(*)::varchar FROM oc GROUP BY 1 UNION ALL {" UNION ALL ".join(f"SELECT run_id, 'coverage', '{s}', (count(*) FILTER (WHERE o='{s}'))::varchar FROM oc GROUP BY 1 UNION ALL SELECT run_id, 'result', '{s}', sum({s.lower()}_)::bigint::varchar FROM pr GROUP BY 1" for s in _ST)}
+UNION ALL SELECT run_id, 'rule', rule_id, 'FAIL='||fail_||' WARNING='||warning_||' UNKNOWN='||unknown_||' PASS='||pass_||' '||o FROM oc""",
+)
+def s11_lines(spark, sf_dir):
+    """Units, coverage, totals and rules of every run's report."""
+    return R.report_lines(issues(spark, sf_dir), D.drawings(spark, sf_dir))
+
+
 @query("s14_payload", f"WITH {_RES}, p AS (SELECT *, row_number() OVER (PARTITION BY run_id, status='PASS' ORDER BY seq) n FROM iss) SELECT run_id, seq, status, {_MEAS} measured_text, {_REQ} required_text FROM p WHERE status<>'PASS' OR n<=300")
 def s14(spark, sf_dir):
     return R.payload(issues(spark, sf_dir)).select("run_id", "seq", "status", "measured_text", "required_text")
@@ -196,6 +212,12 @@ def runs(spark, sf_dir):
     return D.read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("project"), F.col("o_orderpriority").alias("logical_name"), status.alias("status"), F.col("o_orderdate").alias("finished_at"))
 
 
+@query("o07_active_runs", "SELECT o_orderkey run_id FROM orders WHERE o_orderstatus NOT IN ('F','O') ORDER BY o_orderdate, o_orderkey LIMIT 50")
+def o07_active(spark, sf_dir):
+    """Runs that are not through, oldest first."""
+    return runs(spark, sf_dir).where("status = 'running'").orderBy("finished_at", "run_id").limit(50).select("run_id")
+
+
 @query(
     "j15_default_baseline",
     """SELECT r.o_orderkey run_id, (SELECT max_by(b.o_orderkey, (b.o_orderdate, b.o_orderkey)) FROM orders b WHERE b.o_custkey=r.o_custkey AND b.o_orderpriority=r.o_orderpriority AND b.o_orderstatus='F' AND b.o_orderkey<>r.o_orderkey) baseline FROM orders r""",

@@ -77,3 +77,12 @@ def test_handles_of_violations_and_matches(spark):
     assert (few["violations"], few["listed_handles"]) == (3, ["H48", "H49", "H47"])
     count = ev.rule(normalise({"id": "N", "subject": {"layer_equals": "T"}, "measurement": "entity_count", "operator": ">=", "value": 50})).first()
     assert (count["status"], count["listed_handles"][:2], len(count["listed_handles"])) == ("FAIL", ["H10", "H11"], 40)
+
+
+def test_repeated_issues_are_numbered_within_their_drawing(spark):
+    rows = [("d1", "R", 0, i, "H1", ["H2"], 1.2, 3.4) for i in range(3)] + [("d2", "R", 0, 1, "H1", ["H2"], 1.2, 3.4), ("d1", "R", 0, 9, None, [], None, None)]
+    df = spark.createDataFrame(rows, "drawing_key string, rule_id string, rule_pos int, subject_seq long, subject_handle string, target_handles array<string>, loc_x double, loc_y double")
+    got = [(r["drawing_key"], r["subject_seq"], r["issue_id"], r["handle"]) for r in E.issue_ids(df.withColumn("name", F.lit("plan")), "name").orderBy("drawing_key", "subject_seq").collect()]
+    ids = [x[2] for x in got]
+    assert ids[1] == f"{ids[0]}-1" and ids[2] == f"{ids[0]}-2" and ids[4] == ids[0] and ids[3] != ids[0] and len(ids[0]) == 20
+    assert got[0][3] == "H1,H2" and got[3][3] == ""
