@@ -210,7 +210,7 @@ def a17(spark, sf_dir):
 
 @query(
     "w01_symmetric_pairs",
-    f"""WITH {O.entities()}, p AS (SELECT s.drawing_key, s.seq a, t.seq b, (sqrt(pow(s.cx-t.cx,2)+pow(s.cy-t.cy,2))-180)*s.unit_to_mm v FROM ent s JOIN ent t ON s.drawing_key=t.drawing_key AND s.layer='SUPPORT' AND t.layer='SUPPORT' AND s.seq<t.seq AND abs(s.cx-t.cx)<=1000/s.unit_to_mm AND abs(s.cy-t.cy)<=1000/s.unit_to_mm)
+    f"""WITH {O.entities()}, p AS (SELECT s.drawing_key, s.seq a, t.seq b, (sqrt(pow(s.cx-t.cx,2)+pow(s.cy-t.cy,2))-180)*s.unit_to_mm v FROM ent s JOIN ent t ON s.drawing_key=t.drawing_key AND s.layer='SUPPORT' AND t.layer='SUPPORT' AND s.seq<t.seq AND abs(s.cx-t.cx)<=180+1000/s.unit_to_mm AND abs(s.cy-t.cy)<=180+1000/s.unit_to_mm)
 SELECT drawing_key, a subject_seq, printf('%X', b) target, round(greatest(v,0),3) measured FROM p WHERE greatest(v,0)<400-1e-6""",
 )
 def w01(spark, sf_dir):
