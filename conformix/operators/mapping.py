@@ -23,8 +23,10 @@ DEFAULT_GLOSSARY = {
     "號誌": ["SIGNAL", "SIGNAL-*", "SIG", "SIG-*"],
 }
 SELECTOR = "struct<kind:string,values:array<string>>"
-#: Characters of the pieces by which patterns and layers meet, and phrases and names.
-PIECE, PAIR = 3, 2
+#: Characters at most of the pieces by which patterns and layers meet, systems and layers, and phrases and names.
+PIECE = 32
+#: Expressions that are a text with anchors at most; characters that no other one equals but for ASCII's letters and their capitals.
+_PLAIN, _OTHER = r"^\^?([^\\.\[\](){}*+?|^$]+)\$?$", r"[^\x00-\x7F\p{Lo}\p{P}]"
 
 
 def selector(kind: Column | str, values: Column) -> Column:
@@ -100,23 +102,29 @@ def _grams(c: Column, size: Column | int) -> Column:
     return F.when((n >= 0) & (size > 0), F.array_distinct(F.transform(F.sequence(F.lit(1), n + 1), lambda i: F.substring(c, i, size)))).otherwise(F.array().cast("array<string>"))
 
 
+def _meet(asked: DataFrame, held: DataFrame, text: str) -> DataFrame:
+    """Rows of held (project, text, ...) beside every piece of asked (project, piece) that their text holds: an equi-join of pieces with the
+    texts' own substrings of those lengths, so that its work grows with texts and matches, not with their product."""
+    asked = materialise(asked.select("project", "piece").distinct(), "pieces")
+    # PIECE lengths at most
+    lengths = sorted(r[0] for r in asked.select(F.length("piece")).distinct().collect())
+    if not lengths:
+        return held.withColumn("piece", F.lit(None).cast("string")).where("false")
+    parts = F.array_distinct(F.flatten(F.transform(F.array(*map(F.lit, lengths)), lambda n: _grams(F.col(text), n))))
+    return held.withColumn("piece", F.explode(parts)).join(asked.hint("merge"), ["project", "piece"], "left_semi")
+
+
 def layers_of_patterns(patterns: DataFrame, layers: DataFrame) -> DataFrame:
     """(project, pattern, layer): which layers of its project a wildcard pattern matches, in any case.
 
-    A pattern meets the layers that hold the rarest gram (PIECE characters, or all of a shorter piece) of its longest piece; patterns
-    without one, like *, meet all layers of their project, which most of them match. What meets is matched by its expression.
+    A pattern meets the layers that hold its longest piece (the first PIECE characters of it); patterns without one, like *, meet all layers of
+    their project, which most of them match. What meets is matched by its expression.
     """
-    p = patterns.select("project", "pattern").distinct().withColumns({"low": F.lower("pattern")}).withColumns({"piece": longest_piece(F.col("low")), "regex": wildcard_regex(F.col("low"))})
-    p = materialise(p.withColumn("size", F.least(F.length("piece"), F.lit(PIECE))), "patterns")
+    p = patterns.select("project", "pattern").distinct().withColumns({"low": F.lower("pattern")})
+    p = materialise(p.withColumns({"piece": F.substring(longest_piece(F.col("low")), 1, PIECE), "regex": wildcard_regex(F.col("low"))}).drop("low"), "patterns")
     y = materialise(layers.where("layer <> ''").select("project", "layer", F.lower("layer").alias("low_layer")).distinct(), "layers")
-    held = y.select("project", "layer", "low_layer", F.explode(F.flatten(F.array(*[F.transform(_grams(F.col("low_layer"), n), lambda g: g) for n in range(1, PIECE + 1)]))).alias("gram"))
-    asked = p.where("size > 0").select("project", "pattern", "regex", F.explode(_grams(F.col("piece"), F.col("size"))).alias("gram"))
-    held = materialise(held.join(asked.select("project", "gram").distinct().hint("merge"), ["project", "gram"], "left_semi"), "grams")
-    counted = held.groupBy("project", "gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(counted.hint("merge"), ["project", "gram"], "left").groupBy("project", "pattern", "regex").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k"))
-    rarest = materialise(rarest.where("k.n > 0").select("project", "pattern", "regex", "k.gram"), "rarest")
-    met = held.join(rarest.hint("merge"), ["project", "gram"]).select("project", "pattern", "regex", "layer", "low_layer")
-    free = p.where("size = 0").select("project", "pattern", "regex").join(y.hint("merge"), "project").select("project", "pattern", "regex", "layer", "low_layer")
+    met = _meet(p.where("piece <> ''"), y, "low_layer").join(p.where("piece <> ''").hint("merge"), ["project", "piece"]).select("project", "pattern", "regex", "layer", "low_layer")
+    free = p.where("piece = ''").select("project", "pattern", "regex").join(y.hint("merge"), "project").select("project", "pattern", "regex", "layer", "low_layer")
     return met.unionByName(free).where(F.expr("regexp_like(low_layer, regex)")).select("project", "pattern", "layer")
 
 
@@ -132,11 +140,23 @@ class Context:
     glossary: DataFrame
 
     def system_layers(self) -> DataFrame:
-        """(project, name, pos, layers): layers in which a system's expression is found; systems are short lists, matched project by project."""
-        y = self.layers.where("layer <> ''").select("project", "layer").distinct()
-        hit = self.systems.join(y.hint("merge"), "project", "left")
-        found = F.when(F.expr("regexp_like(substring(layer, 1, 2000), concat('(?iu)', layer_regex))"), F.col("layer"))
-        return hit.groupBy("project", "name", "pos").agg(F.sort_array(F.collect_set(found)).alias("layers"))
+        """(project, name, pos, layers): layers in which a system's expression is found.
+
+        An expression that is a text but for its anchors meets the layers that hold that text; any other one meets all layers of its project, and so
+        does every expression a layer with letters beyond ASCII that have capitals. What meets is matched by the expression.
+        """
+        text = F.regexp_extract("layer_regex", _PLAIN, 1)
+        piece = F.when((text != "") & ~text.rlike(_OTHER), F.substring(F.lower(text), 1, PIECE))
+        s = materialise(self.systems.select("project", "name", "pos", "layer_regex", piece.alias("piece")), "systems")
+        head = F.substring("layer", 1, 2000)
+        y = materialise(self.layers.where("layer <> ''").select("project", "layer", head.alias("head"), F.lower(head).alias("low"), head.rlike(_OTHER).alias("other")).distinct(), "layers")
+        asked, rest = s.where("piece IS NOT NULL"), s.where("piece IS NULL").drop("piece")
+        pick = lambda df: df.select("project", "name", "pos", "layer_regex", "layer", "head")
+        met = pick(_meet(asked, y.where("NOT other"), "low").join(asked.hint("merge"), ["project", "piece"]))
+        met = met.unionByName(pick(asked.join(y.where("other").hint("merge"), "project"))).unionByName(pick(rest.join(y.hint("merge"), "project")))
+        hit = met.where(F.expr("regexp_like(head, concat('(?iu)', layer_regex))")).select("project", "name", "pos", "layer")
+        every = s.select("project", "name", "pos", F.lit(None).cast("string").alias("layer"))
+        return hit.unionByName(every).groupBy("project", "name", "pos").agg(F.sort_array(F.collect_set("layer")).alias("layers"))
 
     def concept_layers(self) -> DataFrame:
         """(project, concept, pos, layers) of concepts that match any layer."""
@@ -175,35 +195,36 @@ def named(context: Context) -> DataFrame:
 
 
 def _containing(inner: DataFrame, outer: DataFrame, a: str, b: str) -> DataFrame:
-    """Rows of inner and outer of one project where text a (of inner) is part of text b: they meet on a's rarest pair of characters."""
-    held = outer.select("project", b, F.explode(_grams(F.col(b), PAIR)).alias("gram")).distinct()
-    asked = inner.select("project", a, F.explode(_grams(F.col(a), PAIR)).alias("gram")).distinct()
-    held = materialise(held.join(asked.select("project", "gram").distinct().hint("merge"), ["project", "gram"], "left_semi"), "pairs")
-    counted = held.groupBy("project", "gram").agg(F.count("*").alias("n"))
-    rarest = asked.join(counted.hint("merge"), ["project", "gram"], "left").groupBy("project", a).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("k")).where("k.n > 0")
-    rarest = materialise(rarest.select("project", a, "k.gram"), "rarest")
-    return held.join(rarest.hint("merge"), ["project", "gram"]).where(F.contains(F.col(b), F.col(a))).select("project", a, b)
+    """Rows of inner and outer of one project where text a (of inner) is part of text b: they meet on a's first PIECE characters."""
+    asked = inner.select("project", a, F.substring(a, 1, PIECE).alias("piece"))
+    met = _meet(asked, outer.select("project", b), b).join(asked.hint("merge"), ["project", "piece"])
+    return met.where(F.contains(F.col(b), F.col(a))).select("project", a, b)
 
 
 def candidates(tokens: DataFrame, names: DataFrame) -> DataFrame:
     """(project, token, tier, sets, selector, layers): for each phrase its best tier, how many layer sets that gives, and the first of them.
 
     Tier 0: the phrase is the name; tier 1: it holds the name of a system or concept or is held by it, both of two characters at least. Names
-    that cover the same layers count once, a system before others.
+    that cover the same layers count once, a system before others. Sets of layers go by a number until the first of the best tier is known,
+    since any number of phrases may hold the name of one large system.
     """
     t = materialise(tokens.select("project", "token").distinct().withColumn("tn", X.norm_text(F.col("token"))), "phrases")
-    n = materialise(names, "names")
+    names = materialise(names, "names")
+    layers = materialise(names.select("project", "layers").distinct().withColumn("set", F.monotonically_increasing_id()), "layer-sets")
+    n = materialise(names.join(layers.hint("merge"), ["project", "layers"]).drop("layers"), "numbered")
     own = n.where("rank = 0 OR norm <> ''")
     equal = t.join(own.withColumnRenamed("norm", "tn").hint("merge"), ["project", "tn"]).withColumn("tier", F.lit(0))
     long_t, long_n = t.where(F.length("tn") >= 2).select("project", "tn").distinct(), n.where((F.col("rank") > 0) & (F.length("norm") >= 2)).select("project", "norm").distinct()
     met = _containing(long_n, long_t, "norm", "tn").select("project", "tn", "norm").union(_containing(long_t, long_n, "tn", "norm").select("project", "tn", "norm")).where("tn <> norm").distinct()
     part = t.join(materialise(met, "contained").hint("merge"), ["project", "tn"]).join(n.where("rank > 0").hint("merge"), ["project", "norm"]).withColumn("tier", F.lit(1))
-    every = equal.select("project", "token", "tier", "rank", "pos", "selector", "layers").unionByName(part.select("project", "token", "tier", "rank", "pos", "selector", "layers"))
+    every = equal.select("project", "token", "tier", "rank", "pos", "selector", "set").unionByName(part.select("project", "token", "tier", "rank", "pos", "selector", "set"))
     first = F.struct((F.col("rank") != 1).alias("other"), "rank", "pos", "selector")
-    sets = every.groupBy("project", "token", "tier", "layers").agg(F.min(first).alias("f"))
-    tiers = sets.groupBy("project", "token", "tier").agg(F.count("*").alias("sets"), F.min(F.struct("f.rank", "f.pos", "layers", "f.selector")).alias("g"))
-    best = tiers.groupBy("project", "token").agg(F.min(F.struct("tier", "sets", "g")).alias("b"))
-    return best.select("project", "token", "b.tier", "b.sets", "b.g.selector", "b.g.layers")
+    sets = materialise(every.groupBy("project", "token", "tier", "set").agg(F.min(first).alias("f")), "sets")
+    tiers = sets.groupBy("project", "token", "tier").agg(F.count("*").alias("sets"), F.min(F.struct("f.rank", "f.pos")).alias("g"))
+    best = tiers.groupBy("project", "token").agg(F.min(F.struct("tier", "sets", "g")).alias("b")).select("project", "token", "b.tier", "b.sets", "b.g")
+    lead = sets.join(best.hint("merge"), ["project", "token", "tier"]).where(F.struct("f.rank", "f.pos") == F.col("g"))
+    lead = lead.join(layers.hint("merge"), ["project", "set"]).groupBy("project", "token", "tier", "sets").agg(F.min(F.struct("layers", "f.selector")).alias("c"))
+    return lead.select("project", "token", "tier", "sets", "c.selector", "c.layers")
 
 
 def split_phrases(text: Column) -> Column:
