@@ -16,3 +16,20 @@ def test_grid_join_equals_brute_force(spark):
     pairs = lambda p: sorted((r[0], r[1]) for r in p.select("s.seq", "t.seq").collect())
     grid, brute = pairs(spatial.candidates(s, t, 90.0, 50.0)), pairs(spatial.brute_candidates(s, t, 50.0))
     assert len(grid) == len(set(grid)) and grid == brute
+
+
+def test_far_from_the_origin_entities_touch_no_sooner(spark):
+    schema = "kind string, points array<struct<x:double,y:double>>, closed boolean, cx double, cy double, radius double, minx double, miny double, maxx double, maxy double"
+    line = lambda x, y, *ps: ("polyline", [(px + x, py + y) for px, py in ps], False, None, None, None, min(p[0] for p in ps) + x, min(p[1] for p in ps) + y, max(p[0] for p in ps) + x, max(p[1] for p in ps) + y)
+    ring = lambda x, y, r: ("circle", None, False, float(x), float(y), float(r), x - r + 0.0, y - r + 0.0, x + r + 0.0, y + r + 0.0)
+    # a line that ends 0.05 beside a rim, one whose end lies 0.3 beside another line, and one with an end in the disc
+    made = lambda x, y: [(line(x, y, (0, 0), (100, 0)), ring(x + 190.05, y, 90)), (line(x, y, (0, 0), (100, 0)), line(x, y, (50, 0.3), (50, 90))), (line(x, y, (0, 0), (100, 0)), ring(x + 120, y, 90))]
+
+    def measured(x, y):
+        df = spark.createDataFrame(made(x, y), f"s struct<{schema.replace(' ', ':').replace(',:', ',')}>, t struct<{schema.replace(' ', ':').replace(',:', ',')}>")
+        rows = spatial.distances(df, F.lit(1000.0)).select("distance", "pa.x", "pa.y", "contained").collect()
+        return sorted((round(r[0], 6), round(r[1] - x, 6), round(r[2] - y, 6), r[3]) for r in rows)
+
+    near = measured(0.0, 0.0)
+    assert [r[0] for r in near] == [0.0, 0.05, 0.3]
+    assert [(round(a, 4), *map(lambda v: round(v, 4), b[:2]), c) for a, *b, c in measured(6000.0, 4.2e8)] == [(round(a, 4), *map(lambda v: round(v, 4), b[:2]), c) for a, *b, c in near]
