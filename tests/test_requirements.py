@@ -65,3 +65,14 @@ def test_decimals_of_the_exact_binary_value(spark):
     for digits in (0, 2, 3, 6):
         got = [r[0] for r in df.select(fixed(F.col("v"), digits)).collect()]
         assert got == [f"{v:.{digits}f}" for v in values]
+
+
+def test_equal_sentences_are_read_once(spark, monkeypatch):
+    """What a sentence requires depends on its text alone: rows beyond the different sentences cost a join, not a reading."""
+    seen, read = [], Q._read
+    monkeypatch.setattr(Q, "_read", lambda df: seen.append(df.count()) or read(df))
+    said = ["電纜長度不得大於 5 m。", "SCADA 電纜與電力電纜之水平淨距不得小於 30 mm，垂直淨距不得小於 20 mm。", "無要求", None]
+    rows = Q.requirements(spark.createDataFrame([(i, said[i % 4]) for i in range(40)], "id int, sentence string"), ["id"])
+    assert seen == [3]
+    got = rows.groupBy("sentence").count().collect()
+    assert sorted(r["count"] for r in got) == [10, 20] and rows.where("id % 4 = 0 AND value = 5000").count() == 10
