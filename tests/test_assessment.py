@@ -131,3 +131,12 @@ def test_logs_merge_in_any_split(spark):
     shuffled = log[:]
     rng.shuffle(shuffled)
     assert table(log) == want and table(log[30:], log[:30], log[30:]) == want and table(shuffled[:20], shuffled[20:]) == want and len(want) >= 4
+
+
+def test_summary_of_columns_that_differ_by_case_can_be_written(spark, tmp_path):
+    from conformix.plans.registry import QUERIES
+
+    before = spark.conf.get("spark.sql.caseSensitive")
+    got = QUERIES["a18_candidate_summary"](spark, "/root/testdata/sf0.001")
+    got.write.parquet(str(tmp_path / "t"))
+    assert {"not_enforceable", "NOT_ENFORCEABLE"} <= set(got.columns) and spark.conf.get("spark.sql.caseSensitive") == before
