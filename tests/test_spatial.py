@@ -33,3 +33,35 @@ def test_far_from_the_origin_entities_touch_no_sooner(spark):
     near = measured(0.0, 0.0)
     assert [r[0] for r in near] == [0.0, 0.05, 0.3]
     assert [(round(a, 4), *map(lambda v: round(v, 4), b[:2]), c) for a, *b, c in measured(6000.0, 4.2e8)] == [(round(a, 4), *map(lambda v: round(v, 4), b[:2]), c) for a, *b, c in near]
+
+
+def test_entities_are_never_dealt_by_layer(spark):
+    """Most entities may be of one layer: systems reach them without a shuffle by layer, whatever is broadcast of its own accord."""
+    from conformix.operators import evaluate as E
+
+    e = spark.range(2000).selectExpr("CASE WHEN id % 10 = 0 THEN 'POWER' ELSE 'SUPPORT' END AS layer", "id AS seq")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = E.classify_systems(e, [("P", "^power")])
+        assert got.where("system = 'P'").count() == 200 and got.count() == 2000
+        assert "hashpartitioning(layer" not in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_entities_come_out_of_several_tasks(spark):
+    """A file of one row group is dealt anew before it becomes entities."""
+    from conformix.sources import derived as D
+
+    assert D.drawing_entities(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > 1
+
+
+def test_rules_are_evaluated_once_for_numbering(spark):
+    from conformix.operators import reports as R
+
+    rows = [("d", 0, i, [str(i)], 1.0, 2.0) for i in range(30)] + [("d", 1, None, [], None, None)]
+    df = spark.createDataFrame(rows, "drawing_key string, rule_pos int, subject_seq long, target_handles array<string>, loc_x double, loc_y double")
+    got = R.numbered(df)
+    assert "ExistingRDD" not in got._jdf.queryExecution().executedPlan().toString()
+    assert [r.seq for r in got.orderBy("rule_pos", "subject_seq").collect()] == list(range(31))
