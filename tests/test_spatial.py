@@ -57,6 +57,13 @@ def test_entities_come_out_of_several_tasks(spark):
     assert D.drawing_entities(spark, "/root/testdata/sf0.01").rdd.getNumPartitions() > 1
 
 
+def test_the_longest_segment_is_looked_for_once():
+    from conformix.functions import geometry as G
+
+    e = {n: F.col(n) for n in ("points", "closed", "kind")}
+    assert str(G.principal_angle(e)).count("aggregate(") == 1
+
+
 def test_rules_are_evaluated_once_for_numbering(spark):
     from conformix.operators import reports as R
 
