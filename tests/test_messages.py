@@ -3,8 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
+from conformix.functions.text import fixed
 from conformix.operators import evaluate as E
 from conformix.operators import messages as Msg
+from conformix.operators import reports as R
+from conformix.operators.reports import general
 from conformix.plans.rules import normalise
 from tests.test_routes import frame, line
 
@@ -76,3 +79,28 @@ def test_requirements_in_words(spark):
     rows = [("inside_zone", "==", 1.0, "count", "必須完全位於指定區域內"), ("outside_zone", "==", 1.0, "count", "不得進入指定區域"), ("intersection", "==", 0.0, "count", "交叉數 == 0"), ("length", "<=", 6.5, "m", "<= 6.5 m")]
     df = spark.createDataFrame(rows, "m string, o string, v double, u string, want string")
     assert [r[0] for r in df.select(Msg.described(F.col("m"), F.col("o"), F.col("v"), F.col("u")) == F.col("want")).collect()] == [True] * 4
+
+
+def test_numbers_are_written_once_a_row_and_not_once_a_case(spark, drawing):
+    """Every number's text is a long expression: messages take it from a column, so that their plan stays short."""
+    assert general(F.col("x")).cast("string")._jc.toString().count("134217729") <= 2
+    rule = normalise({"id": "R", "subject": S, "target": T, "measurement": "distance", "operator": ">=", "value": 250, "warn_margin": 20})
+    e, d = drawing
+    out = Msg.with_messages(E.Evaluator(e, d).rule(rule), Msg.rule_words(spark, [rule]), e)
+    assert out._jdf.queryExecution().analyzed().toString().count("134217729") == 0
+
+
+def test_texts_of_numbers_whose_digits_differ_by_row(spark):
+    values = [0.0, 2.385, 0.5, 2.5, -3.25, 0.00012345678, 123456.5, 99999.95, 330.0, 12.0050001]
+    got = spark.createDataFrame([(v,) for v in values], "v double").select("v", general(F.col("v")).alias("g"), fixed(F.col("v"), F.lit(3)).alias("f"), fixed(F.col("v"), F.lit(0)).alias("w")).collect()
+    assert [(r["g"], r["f"], r["w"]) for r in got] == [("%g" % r["v"], f"{r['v']:.3f}", f"{r['v']:.0f}") for r in got]
+
+
+def test_evidence_of_one_rule_is_no_task_of_its_own(spark):
+    """Issues meet the few chunks that they rest on without a shuffle by chunk; chunks that nothing rests on do not come along."""
+    issues = spark.range(1000).selectExpr("id AS seq", "CASE WHEN id < 990 THEN 'E1' WHEN id < 995 THEN 'E2' END AS evidence_id")
+    chunks = spark.createDataFrame([(f"E{i}", "a.md", 1, i, i, f"text {i}") for i in range(1, 9)], "id string, filename string, page int, line_start int, line_end int, text string")
+    out = R.with_reference(issues, chunks)
+    assert "SortMergeJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r["evidence_id"], r["evidence_ref"], r["evidence_text"]): r["count"] for r in out.groupBy("evidence_id", "evidence_ref", "evidence_text").count().collect()}
+    assert got == {("E1", "a.md 第1頁 第1行", "text 1"): 990, ("E2", "a.md 第1頁 第2行", "text 2"): 5, (None, "", None): 5}
