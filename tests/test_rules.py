@@ -100,3 +100,28 @@ def test_concave_zone_is_left_in_the_middle():
 
 def test_overlap_length():
     assert K.overlap_of(np.array([[0, 0, 10, 0.0]]), np.array([[4, 0, 20, 0.0], [0, 1, 10, 1]]), 1e-6) == 6
+
+
+def test_rules_that_are_counted_leave_no_tables_of_their_own(spark):
+    """counts() gives what evaluate() gives, and deletes what a rule has written before the next one begins."""
+    from conformix.operators import evaluate as E
+    from conformix.sources.tables import materialise, scratch
+    from tests.test_routes import frame, line
+
+    rows = [line("d", i, (0, i * 300), (1000, i * 300), layer="A" if i % 2 else "B", system=None) for i in range(8)]
+    e, d = frame(spark, rows), spark.createDataFrame([("d", 1.0)], "drawing_key string, unit_to_mm double")
+    raw = [{"id": "N", "operator": ">=", "value": 400}, {"id": "L", "measurement": "length", "operator": "<=", "value": 900}]
+    rules = [R.normalise({"subject": {"layer_equals": "A"}, "target": {"layer_equals": "B"}, **{"measurement": "distance", **r}}) for r in raw]
+    with scratch() as written:
+        got = E.Evaluator(e, d).counts(rules)
+        there = [t for t in written if _exists(spark, t._conformix_path)]
+        assert len(written) > len(there) == len(rules)
+        want = E.Evaluator(e, d).evaluate(rules).groupBy("rule_id", "status").count()
+        assert {tuple(r) for r in got.collect()} == {tuple(r) for r in want.collect()}
+        kept = materialise(d, "kept")
+    assert not _exists(spark, kept._conformix_path)
+
+
+def _exists(spark, path):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
