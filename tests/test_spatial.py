@@ -18,6 +18,25 @@ def test_grid_join_equals_brute_force(spark):
     assert len(grid) == len(set(grid)) and grid == brute
 
 
+def test_large_boxes_are_joined_only_where_there_are_any(spark):
+    rng = random.Random(4)
+    small = [(i, rng.uniform(0, 3000), rng.uniform(0, 3000), rng.uniform(0, 300), rng.uniform(0, 300)) for i in range(60)]
+    large = [(60, 0.0, 2000.0, 400000.0, 1.0)]
+
+    def side(boxes, n):
+        df = spark.createDataFrame(boxes, "seq long, x double, y double, w double, h double")
+        box = [F.col("x").alias("minx"), F.col("y").alias("miny"), (F.col("x") + F.col("w")).alias("maxx"), (F.col("y") + F.col("h")).alias("maxy")]
+        return df.select(F.lit("d").alias("drawing_key"), F.struct("seq", *box).alias(n))
+
+    pairs = lambda p: sorted((r[0], r[1]) for r in p.select("s.seq", "t.seq").collect())
+    for left, right, joins in ((small, small, 1), (small + large, small, 2), (small, small + large, 2), (small + large, small + large, 3)):
+        s, t = side(left, "s"), side(right, "t")
+        found = spatial.candidates(s, t, 90.0, 50.0)
+        # a join by drawing alone deals out the whole other side, so there is none without a large box
+        assert found._jdf.queryExecution().analyzed().toString().count("Join Inner") == joins
+        assert pairs(found) == pairs(spatial.brute_candidates(s, t, 50.0))
+
+
 def test_far_from_the_origin_entities_touch_no_sooner(spark):
     schema = "kind string, points array<struct<x:double,y:double>>, closed boolean, cx double, cy double, radius double, minx double, miny double, maxx double, maxy double"
     line = lambda x, y, *ps: ("polyline", [(px + x, py + y) for px, py in ps], False, None, None, None, min(p[0] for p in ps) + x, min(p[1] for p in ps) + y, max(p[0] for p in ps) + x, max(p[1] for p in ps) + y)

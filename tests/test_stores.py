@@ -97,6 +97,24 @@ def test_stream_of_landed_files(spark, tmp_path):
     assert state(spark, out)[0] == WANT
 
 
+def test_a_batch_of_many_files_is_one_and_known_runs_are_not_moved(spark, tmp_path):
+    for i, run in enumerate(HISTORY):
+        landed(spark, [run]).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    out = str(tmp_path / "out")
+    stream = Inc.analyse_stream(spark, str(tmp_path / "in"), out, str(tmp_path / "checkpoint"), RULES, [("S", "^A")], files_per_batch=None)
+    stream.awaitTermination()
+    assert len({r["attempt"] for r in Inc.stored_runs(spark, out).collect()}) == 1 and state(spark, out)[0] == WANT
+    joins = []
+    keep, Inc.materialise = Inc.materialise, lambda df, name: (joins.append((name, df._jdf.queryExecution().optimizedPlan().toString())), keep(df, name))[1]
+    try:
+        Inc.append(landed(spark, HISTORY[1:3]), out, RULES, [("S", "^A")])
+    finally:
+        Inc.materialise = keep
+    # a known run's entities are dropped where they are read: its id is not sought by dealing out all of the batch
+    assert [n for n, _ in joins] == ["landed", "runs"] and "strategy=broadcast" in joins[0][1]
+    assert state(spark, out)[2] == 11
+
+
 # -- documents -----------------------------------------------------------------------------------------------
 
 TEXT = "電纜與水管\r\n淨距 300 mm\n\n末行"
