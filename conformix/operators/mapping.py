@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from conformix.functions import text as X
@@ -205,25 +205,30 @@ def candidates(tokens: DataFrame, names: DataFrame) -> DataFrame:
     """(project, token, tier, sets, selector, layers): for each phrase its best tier, how many layer sets that gives, and the first of them.
 
     Tier 0: the phrase is the name; tier 1: it holds the name of a system or concept or is held by it, both of two characters at least. Names
-    that cover the same layers count once, a system before others. Sets of layers go by a number until the first of the best tier is known,
-    since any number of phrases may hold the name of one large system.
+    that cover the same layers count once, a system before others. Sets of layers and selectors go by numbers until the first of the best tier is
+    known, since any number of phrases may hold the name of one large system or concept.
     """
     t = materialise(tokens.select("project", "token").distinct().withColumn("tn", X.norm_text(F.col("token"))), "phrases")
     names = materialise(names, "names")
     layers = materialise(names.select("project", "layers").distinct().withColumn("set", F.monotonically_increasing_id()), "layer-sets")
-    n = materialise(names.join(layers.hint("merge"), ["project", "layers"]).drop("layers"), "numbered")
+    # a selector's number is its place among those of its set, which follows rank and position
+    place = Window.partitionBy("project", "set").orderBy("rank", "pos", "selector")
+    numbered = materialise(names.join(layers.hint("merge"), ["project", "layers"]).drop("layers").withColumn("sel", F.dense_rank().over(place)), "numbered")
+    n, at = numbered.drop("selector"), ["project", "set", "sel"]
     own = n.where("rank = 0 OR norm <> ''")
     equal = t.join(own.withColumnRenamed("norm", "tn").hint("merge"), ["project", "tn"]).withColumn("tier", F.lit(0))
     long_t, long_n = t.where(F.length("tn") >= 2).select("project", "tn").distinct(), n.where((F.col("rank") > 0) & (F.length("norm") >= 2)).select("project", "norm").distinct()
     met = _containing(long_n, long_t, "norm", "tn").select("project", "tn", "norm").union(_containing(long_t, long_n, "tn", "norm").select("project", "tn", "norm")).where("tn <> norm").distinct()
     part = t.join(materialise(met, "contained").hint("merge"), ["project", "tn"]).join(n.where("rank > 0").hint("merge"), ["project", "norm"]).withColumn("tier", F.lit(1))
-    every = equal.select("project", "token", "tier", "rank", "pos", "selector", "set").unionByName(part.select("project", "token", "tier", "rank", "pos", "selector", "set"))
-    first = F.struct((F.col("rank") != 1).alias("other"), "rank", "pos", "selector")
+    every = equal.select("project", "token", "tier", "rank", "pos", "sel", "set").unionByName(part.select("project", "token", "tier", "rank", "pos", "sel", "set"))
+    first = F.struct((F.col("rank") != 1).alias("other"), "rank", "pos", "sel")
     sets = materialise(every.groupBy("project", "token", "tier", "set").agg(F.min(first).alias("f")), "sets")
     tiers = sets.groupBy("project", "token", "tier").agg(F.count("*").alias("sets"), F.min(F.struct("f.rank", "f.pos")).alias("g"))
     best = tiers.groupBy("project", "token").agg(F.min(F.struct("tier", "sets", "g")).alias("b")).select("project", "token", "b.tier", "b.sets", "b.g")
     lead = sets.join(best.hint("merge"), ["project", "token", "tier"]).where(F.struct("f.rank", "f.pos") == F.col("g"))
-    lead = lead.join(layers.hint("merge"), ["project", "set"]).groupBy("project", "token", "tier", "sets").agg(F.min(F.struct("layers", "f.selector")).alias("c"))
+    selectors = numbered.select(*at, "selector").dropDuplicates(at)
+    lead = lead.select("project", "token", "tier", "sets", "set", "f.sel").join(layers.hint("merge"), ["project", "set"]).join(selectors.hint("merge"), at)
+    lead = lead.groupBy("project", "token", "tier", "sets").agg(F.min(F.struct("layers", "selector")).alias("c"))
     return lead.select("project", "token", "tier", "sets", "c.selector", "c.layers")
 
 

@@ -123,3 +123,23 @@ def test_systems_meet_only_layers_that_hold_their_text(spark):
     pieces = systems.where("startswith(layer_regex, '-')").select("project", F.regexp_replace("layer_regex", r"\$", "").alias("piece"))
     # 400 texts and 1200 layers: 480,000 pairs, of which those stay whose layer holds the text
     assert M._meet(pieces, layers, "layer").count() < 4500
+
+
+def test_selectors_are_not_carried_by_phrases(spark, monkeypatch):
+    """Every phrase holds the name of a concept that covers all layers: what is kept of a phrase has none of them."""
+    layers = spark.createDataFrame([("p", f"SCADA-{i}") for i in range(300)], "project string, layer string")
+    systems = spark.createDataFrame([("p", 0, "泵站", "^SCADA-1$"), ("p", None, "甲方", "^SCADA-2"), ("p", None, "乙方", "^SCADA-2")], "project string, pos int, name string, layer_regex string")
+    own = spark.createDataFrame([("p", "SCADA", 0, ["SCADA-*"])], "project string, concept string, pos int, patterns array<string>")
+    written, write = {}, M.materialise
+
+    def kept(df, name):
+        written[name] = write(df, name)
+        return written[name]
+
+    monkeypatch.setattr(M, "materialise", kept)
+    tokens = spark.createDataFrame([("p", t) for t in ("SCADA-7", "scada 泵站x", "甲方乙方", *(f"SCADA no{i}" for i in range(50)))], "project string, token string")
+    got = {r["token"]: r for r in M.candidates(tokens, M.named(M.Context(layers, systems, own))).collect()}
+    assert "array<" not in written["sets"].schema.simpleString()
+    assert got["SCADA-7"]["tier"] == 0 and got["SCADA-7"]["layers"] == ["SCADA-7"] and got["scada 泵站x"]["sets"] == 2 and got["scada 泵站x"]["layers"] == ["SCADA-1"]
+    assert got["甲方乙方"]["sets"] == 1 and got["甲方乙方"]["selector"]["values"] == ["乙方"] and len(got["甲方乙方"]["layers"]) == 111
+    assert all(len(got[f"SCADA no{i}"]["selector"]["values"]) == 300 for i in range(50)) and len(got) == 53
