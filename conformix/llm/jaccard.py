@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from conformix.llm.common import components, discard, materialise, mix, tasks, tidied, words_of
@@ -14,6 +14,8 @@ from conformix.llm.exchange import ROWS_SQL, answers, asking, by_value, chunked,
 _U = np.uint64
 #: Sets of one side of a tile of the matrix product.
 BLOCK = 1024
+#: What a set of a tile takes on average (_load), at most.
+LOAD = 800
 #: Text bytes of a chunk whose sets are stored in one row, and of which one part counts the n-grams.
 CHUNK_BYTES, PART_BYTES = 4 << 20, 6 << 20
 #: Kinds of rows between chunks and parts.
@@ -267,11 +269,11 @@ def _links(own: DataFrame, classes: DataFrame, width: int, percent: int, block:
     """(a, b): links between classes that connect what all links connect."""
     star = _candidates(own, width, percent, wide)
     bags = _bags(own, star, width)
-    sure = materialise(_products(_towards(star, block), bags, percent, wide), "sure")
+    sure = materialise(_products(_towards(star, classes, block), bags, percent, wide), "sure")
     groups = _open(components(star), sure)
     discard(star)
     # blocks of a group by size: the place of a size in its group comes from sums by size, so no group is sorted in one task
-    load, most = F.col("n") + 400, block * 800
+    load, most = _load(), block * LOAD
     member = groups.join(classes.hint("merge"), "node")
     by_size = member.groupBy("grp", "n").agg(F.sum(load).alias("c"))
     before = F.coalesce(F.sum("c").over(Window.partitionBy("grp").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -309,11 +311,17 @@ def _bags(own: DataFrame, star: DataFrame, width: int) -> DataFrame:
     return bags
 
 
-def _towards(star: DataFrame, block: int) -> DataFrame:
-    """Each class placed with the class that agrees with it on most signatures: one tile a block of such followers."""
+def _load() -> Column:
+    """What a set of n n-grams takes in a tile."""
+    return F.col("n") + 400
+
+
+def _towards(star: DataFrame, classes: DataFrame, block: int) -> DataFrame:
+    """Each class placed with the class that agrees with it on most signatures: one tile a block of such followers, by what their n-grams take."""
     best = star.groupBy("a").agg(F.max(F.struct("agree", "b")).alias("m")).select("a", F.col("m.b").alias("head"))
-    tile = F.pmod(F.xxhash64("a", F.lit(3)), F.ceil(F.col("c") / block)).cast("long")
-    at = best.join(best.groupBy("head").agg(F.count("*").alias("c")).hint("merge"), "head").select("a", "head", tile.alias("tile"))
+    best = best.join(classes.select(F.col("node").alias("a"), "n").hint("merge"), "a")
+    tile = F.pmod(F.xxhash64("a", F.lit(3)), F.ceil(F.col("c") / (block * LOAD))).cast("long")
+    at = best.join(best.groupBy("head").agg(F.sum(_load()).alias("c")).hint("merge"), "head").select("a", "head", tile.alias("tile"))
     two = F.lit(1).cast("long")
     led = at.select(F.col("head").alias("grp"), "tile", F.lit(0).cast("long").alias("blk"), F.col("head").alias("node")).distinct()
     both = led.union(at.select("head", "tile", two, "a"))
